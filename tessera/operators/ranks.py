@@ -61,20 +61,23 @@ def _local_cumsum(keys: list[str], values: list[str]):
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     values: Sequence[str],
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums ``cum_<v>`` of ``values`` over ``order`` within ``keys``.
 
-    ``df`` should hold one row per (keys, order) -- pre-aggregate first, so the
-    shuffle moves distinct values, not raw rows.  Sums are doubles.
+    ``order`` is one column or a list (lexicographic).  ``df`` should hold one row
+    per (keys, order) -- pre-aggregate first, so the shuffle moves distinct
+    values, not raw rows.  Sums are doubles; values must be non-negative only
+    where callers read partition totals from them (counts always are).
     """
     keys, values = list(keys), list(values)
+    order = [order] if isinstance(order, str) else list(order)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *keys, order)
-              .sortWithinPartitions(*keys, order)
+    ranged = (df.repartitionByRange(n, *keys, *order)
+              .sortWithinPartitions(*keys, *order)
               .withColumn(PID, F.spark_partition_id()))
     out_schema = T.StructType(list(ranged.schema.fields)
                               + [T.StructField(f"cum_{v}", T.DoubleType()) for v in values])
