@@ -1,20 +1,23 @@
 """Ordered statistics without a single-task global sort.
 
-``prefix_sums`` is the two-phase running sum behind ECDFs (KS), ROC AUC and
-exact quantiles:
+``prefix_sums`` is the two-phase running sum behind ECDFs (KS), ROC AUC, exact
+quantiles and row ranks:
 
 1. range-partition the (already pre-aggregated) rows on ``keys + order`` and sort
    within partitions -- one shuffle, balanced by sampled range bounds, so a key
-   holding a third of the rows spreads over many tasks;
+   holding a third of the rows spreads over many tasks.  The result is
+   checkpointed (reliable, to the shared checkpoint folder): range bounds come
+   from a random sample, so two evaluations could partition differently, and
+   both later phases must see the same partitions.  The checkpoint also cuts the
+   lineage, so a lost executor does not recompute the shuffle;
 2. per partition, a vectorised running sum (``mapInPandas`` over Arrow batches,
-   streaming: no partition is materialised);
+   streaming: no partition is materialised in memory);
 3. per-(partition, key) totals -- at most ``partitions + keys`` rows -- turned
    into offsets by a window over that small table and joined back (AQE
    broadcasts it when it is small, otherwise it is a shuffle join).
 
-The exchange of step 1 is shared by steps 2 and 3 (Spark reuses it), so the data
-is shuffled once.  A plain ``Window.orderBy`` without ``partitionBy`` would put
-every row into one task instead.
+A plain ``Window.orderBy`` without ``partitionBy`` would put every row into one
+task instead.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import checkpoint_dir
+
 PID = "__pid"
 
 
@@ -76,8 +81,10 @@ def prefix_sums(
     order = [order] if isinstance(order, str) else list(order)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    checkpoint_dir(spark)
     ranged = (df.repartitionByRange(n, *keys, *order)
               .sortWithinPartitions(*keys, *order)
+              .checkpoint(eager=True)
               .withColumn(PID, F.spark_partition_id()))
     out_schema = T.StructType(list(ranged.schema.fields)
                               + [T.StructField(f"cum_{v}", T.DoubleType()) for v in values])
