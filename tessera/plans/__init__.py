@@ -1,6 +1,6 @@
 """Named queries over the driver tables; importing this package fills the registry."""
 
-from tessera.plans import catalog_q, decide_q, drift_q, features_q, metrics_q, profile_q, sources_q  # noqa: F401
+from tessera.plans import catalog_q, decide_q, drift_q, features_q, metrics_q, misc_q, profile_q, sources_q  # noqa: F401
 from tessera.plans.common import REGISTRY
 
 __all__ = ["REGISTRY"]
