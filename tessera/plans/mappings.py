@@ -22,7 +22,11 @@ STAGES = ("None", "Staging", "Production", "Archived")
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Prediction log: event → prediction, user → model, value → latency."""
-    e = tbl(spark, sf, "events")
+    return predictions_from_events(tbl(spark, sf, "events"))
+
+
+def predictions_from_events(e: DataFrame) -> DataFrame:
+    """The prediction-log projection of an events frame (batch or stream)."""
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         F.col("event_id").alias("prediction_id"),
