@@ -104,7 +104,7 @@ x as (select h.*, t.total, lag(le) over w prev_le, lag(count) over w prev_n,
 select model_name, model_version,
        round(case when le = 'inf'::double then 5.0
                   else coalesce(prev_le, 0) + (le - coalesce(prev_le, 0))
-                       * coalesce((0.95 * total - coalesce(prev_n, 0)) / nullif(count - coalesce(prev_n, 0), 0), 0)
+                       * coalesce((0.95::double * total - coalesce(prev_n, 0)) / nullif(count - coalesce(prev_n, 0), 0), 0)
              end, 6) as quantile
 from x where count >= 0.95 * total and rk = 1
 """)
