@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import stats as S
 from tessera.operators.profile import is_numeric
-from tessera.operators.ranks import exact_quantiles, prefix_sums
+from tessera.operators.ranks import prefix_sums, quantiles_from_ranked
 
 REF, CUR = "reference", "current"
 # Default thresholds (data drift share, prediction drift p, accuracy drop).
@@ -59,20 +59,26 @@ def _side_counts(long: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("side") == CUR, 1.0).otherwise(0.0)).alias("n_cur"))
 
 
-def ecdf(stacked: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per feature and distinct value: cumulative share on each side."""
+def ranked_sides(stacked: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per feature and distinct value: counts and running counts on both sides, with
+    side totals -- one distributed prefix sum that KS and PSI both read."""
     counts = _side_counts(_long_numeric(stacked, columns))
-    cum = prefix_sums(counts, ["feature"], "v", ["n_ref", "n_cur"])
-    tot = cum.groupBy("feature").agg(F.max("cum_n_ref").alias("N"), F.max("cum_n_cur").alias("M"))
-    return cum.join(tot, "feature").select(
-        "feature", "v", F.try_divide(F.col("cum_n_ref"), F.col("N")).alias("cdf_ref"),
-        F.try_divide(F.col("cum_n_cur"), F.col("M")).alias("cdf_cur"), "N", "M")
+    return prefix_sums(counts, ["feature"], "v", ["n_ref", "n_cur"])
+
+
+def ecdf(stacked: DataFrame, columns: Sequence[str], ranked: DataFrame | None = None) -> DataFrame:
+    """Per feature and distinct value: cumulative share on each side."""
+    cum = ranked if ranked is not None else ranked_sides(stacked, columns)
+    return cum.select(
+        "feature", "v", F.try_divide(F.col("cum_n_ref"), F.col("total_n_ref")).alias("cdf_ref"),
+        F.try_divide(F.col("cum_n_cur"), F.col("total_n_cur")).alias("cdf_cur"),
+        F.col("total_n_ref").alias("N"), F.col("total_n_cur").alias("M"))
 
 
-def ks_test(stacked: DataFrame, columns: Sequence[str], threshold: float = PREDICTION_DRIFT_THRESHOLD
-            ) -> DataFrame:
+def ks_test(stacked: DataFrame, columns: Sequence[str], threshold: float = PREDICTION_DRIFT_THRESHOLD,
+            ranked: DataFrame | None = None) -> DataFrame:
     """Two-sample KS per numeric feature: statistic D, p-value, score = 1 − p."""
-    e = ecdf(stacked, columns)
+    e = ecdf(stacked, columns, ranked)
     d = e.groupBy("feature", F.col("N").alias("n_ref"), F.col("M").alias("n_cur")).agg(
         F.max(F.abs(F.coalesce("cdf_ref", F.lit(0.0)) - F.coalesce("cdf_cur", F.lit(0.0)))).alias("statistic"))
     p = S.ks_pvalue(F.col("statistic"), F.col("n_ref"), F.col("n_cur"))
@@ -110,18 +116,21 @@ def chi_square_test(stacked: DataFrame, columns: Sequence[str], threshold: float
 
 
 def psi(stacked: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), bins: int = 10,
-        eps: float = S.PSI_EPS) -> DataFrame:
+        eps: float = S.PSI_EPS, ranked: DataFrame | None = None) -> DataFrame:
     """Population stability index per feature.
 
-    Numeric bins come from the reference's quantile edges (exact, distributed);
-    each value is binned by counting the edges below it (a per-row expression on
-    the per-feature edge array attached by a small join).
+    Numeric bins come from the reference's quantile edges (exact): they are read
+    off the same ranked table as KS (reference counts and running counts), so no
+    second ranking pass is needed.  Each value is binned by counting the edges
+    below it (a per-row expression on the per-feature edge array attached by a
+    small join).
     """
     parts = []
     if numeric:
         long = _long_numeric(stacked, numeric)
         probs = [i / bins for i in range(bins + 1)]
-        edges = exact_quantiles(long.where(F.col("side") == REF), ["feature"], "v", probs).select(
+        rk = ranked if ranked is not None else ranked_sides(stacked, numeric)
+        edges = quantiles_from_ranked(rk, ["feature"], "v", "n_ref", "cum_n_ref", "total_n_ref", probs).select(
             "feature", F.array_sort(F.array_distinct("quantiles")).alias("edges"))
         b = long.join(edges, "feature")
         inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
@@ -149,13 +158,14 @@ def data_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str]
     cols = [c for c in stacked.columns if c != "side"]
     num, cat = split_columns(stacked, cols)
     parts = []
+    ranked = ranked_sides(stacked, num) if num else None
     if num:
-        parts.append(ks_test(stacked, num, p_threshold))
+        parts.append(ks_test(stacked, num, p_threshold, ranked))
     if cat:
         parts.append(chi_square_test(stacked, cat, p_threshold))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if with_psi:
-        out = out.join(psi(stacked, num, cat), "feature", "left")
+        out = out.join(psi(stacked, num, cat, ranked=ranked), "feature", "left")
     return out
 
 

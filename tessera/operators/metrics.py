@@ -106,7 +106,7 @@ def roc_auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) ->
                 .groupBy(*keys, F.col(score).cast("double").alias("s"))
                 .agg(F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0)).alias("pos"),
                      F.sum(F.when(F.col(label) == 1, 0.0).otherwise(1.0)).alias("neg")))
-    cum = prefix_sums(by_score, keys, "s", ["neg"])
+    cum = prefix_sums(by_score, keys, "s", ["neg"]).drop("total_neg")
     u = cum.groupBy(*keys).agg(
         F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + 0.5 * F.col("neg"))).alias("u"),
         F.sum("pos").alias("p"), F.sum("neg").alias("q"))
@@ -239,7 +239,9 @@ def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Se
     """Adds ``rank`` (1-based position within keys by order) and ``cum_<v>`` sums."""
     base = df.withColumn("__one", F.lit(1.0))
     out = prefix_sums(base, keys, order, ["__one", *values])
-    return out.withColumn("rank", F.col("cum___one").cast("bigint")).drop("__one", "cum___one")
+    return (out.withColumn("rank", F.col("cum___one").cast("bigint"))
+            .withColumn("n_rows", F.col("total___one").cast("bigint"))
+            .drop("__one", "cum___one", "total___one", *[f"total_{v}" for v in values]))
 
 
 def recent_vs_older(df: DataFrame, keys: Sequence[str], order: Sequence[str], correct: Column, window: int,
@@ -247,9 +249,7 @@ def recent_vs_older(df: DataFrame, keys: Sequence[str], order: Sequence[str], co
     """Accuracy of the oldest and newest ``window`` rows per key; degraded when the drop
     exceeds ``threshold``.  Only keys with at least ``window`` rows are reported."""
     keys = list(keys)
-    ranked = _ranked(df.withColumn("__c", correct.cast("double")), keys, order, [])
-    n = ranked.groupBy(*keys).agg(F.max("rank").alias("n"))
-    r = ranked.join(n, keys)
+    r = _ranked(df.withColumn("__c", correct.cast("double")), keys, order, []).withColumnRenamed("n_rows", "n")
     older = F.avg(F.when(F.col("rank") <= window, F.col("__c")))
     recent = F.avg(F.when(F.col("n") - F.col("rank") < window, F.col("__c")))
     agg = r.groupBy(*keys, "n").agg(F.avg("__c").alias("accuracy"), older.alias("older_accuracy"),
@@ -273,7 +273,7 @@ def rolling_accuracy(df: DataFrame, keys: Sequence[str], order: Sequence[str], c
     back = ranked.select(*keys, (F.col("rank") + k).alias("rank"), F.col("cum___c").alias("__back"))
     j = ranked.join(back, [*keys, "rank"], "left")
     acc = (F.col("cum___c") - F.coalesce(F.col("__back"), F.lit(0.0))) / F.least(F.col("rank"), F.lit(k))
-    return j.withColumn("rolling_accuracy", acc).drop("__c", "cum___c", "__back")
+    return j.withColumn("rolling_accuracy", acc).drop("__c", "cum___c", "__back", "n_rows")
 
 
 def gauge_last(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:

@@ -42,9 +42,8 @@ def _class_ranks(df: DataFrame, label: str, id_cols: Sequence[str], seed: int) -
     key = F.md5(F.concat(F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols]), F.lit(str(seed))))
     base = df.withColumn("__h", key).withColumn("__one", F.lit(1.0))
     ranked = prefix_sums(base, [label], ["__h"], ["__one"])
-    n = ranked.groupBy(label).agg(F.max("cum___one").alias("__n"))
-    return ranked.join(n, label).withColumn("__rank", F.col("cum___one").cast("bigint")).drop(
-        "__one", "cum___one", "__h")
+    return (ranked.withColumn("__rank", F.col("cum___one").cast("bigint")).withColumnRenamed("total___one", "__n")
+            .drop("__one", "cum___one", "__h"))
 
 
 def stratified_split(df: DataFrame, label: str, id_cols: Sequence[str], train: float = 0.7,

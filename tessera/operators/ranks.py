@@ -70,12 +70,13 @@ def prefix_sums(
     values: Sequence[str],
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Inclusive running sums ``cum_<v>`` of ``values`` over ``order`` within ``keys``.
+    """Inclusive running sums ``cum_<v>`` of ``values`` over ``order`` within ``keys``,
+    plus ``total_<v>``, the sum over the whole key.
 
     ``order`` is one column or a list (lexicographic).  ``df`` should hold one row
     per (keys, order) -- pre-aggregate first, so the shuffle moves distinct
-    values, not raw rows.  Sums are doubles; values must be non-negative only
-    where callers read partition totals from them (counts always are).
+    values, not raw rows.  Sums are doubles.  Key totals come from the small
+    per-partition table, so callers need no second pass over the ranked rows.
     """
     keys, values = list(keys), list(values)
     order = [order] if isinstance(order, str) else list(order)
@@ -92,11 +93,14 @@ def prefix_sums(
     totals = ranged.groupBy(PID, *keys).agg(*[F.sum(F.col(v).cast("double")).alias(f"tot_{v}")
                                               for v in values])
     w = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     offsets = totals.select(PID, *keys, *[F.coalesce(F.sum(f"tot_{v}").over(w), F.lit(0.0)).alias(f"off_{v}")
-                                          for v in values])
+                                          for v in values],
+                            *[F.sum(f"tot_{v}").over(whole).alias(f"total_{v}") for v in values])
     return _attach(local, offsets, [PID, *keys]).select(
         *[c for c in ranged.columns if c != PID],
         *[(F.col(f"cum_{v}") + F.coalesce(F.col(f"off_{v}"), F.lit(0.0))).alias(f"cum_{v}") for v in values],
+        *[F.col(f"total_{v}") for v in values],
     )
 
 
@@ -138,24 +142,31 @@ def exact_quantiles(
         return exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs).drop("__all")
     counts = distinct_counts(df, keys, value)
     ranked = prefix_sums(counts, keys, value, ["cnt"])
-    totals = ranked.groupBy(*keys).agg(F.max("cum_cnt").alias("n"))
-    ranked = _attach(ranked, totals, keys)
-    # target positions (0-based): floor(h) and ceil(h) of h = (n-1)p
-    pos = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(p).alias("p"),
-                             F.floor((F.col("n") - 1) * F.lit(p)).alias("lo"),
-                             F.ceil((F.col("n") - 1) * F.lit(p)).alias("hi")) for i, p in enumerate(probs)])
-    lo_rank = F.col("cum_cnt") - F.col("cnt")
+    return quantiles_from_ranked(ranked, keys, value, "cnt", "cum_cnt", "total_cnt", probs)
+
+
+def quantiles_from_ranked(ranked: DataFrame, keys: Sequence[str], value: str, cnt: str, cum: str, n: str,
+                          probs: Sequence[float]) -> DataFrame:
+    """Quantiles from a ranked table: one row per (keys, value) with its count, the
+    inclusive running count and the key total.  Only rows holding a target rank
+    survive the filter, so the final grouping sees a handful of rows per key."""
+    keys = list(keys)
+    ranked = ranked.where(F.col(cnt) > 0)
+    pos = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p"),
+                             F.floor((F.col(n) - 1) * F.lit(float(p))).alias("lo"),
+                             F.ceil((F.col(n) - 1) * F.lit(float(p))).alias("hi")) for i, p in enumerate(probs)])
+    lo_rank = F.col(cum) - F.col(cnt)
     hits = (ranked
-            .withColumn("t", F.filter(pos, lambda s: ((s["lo"] >= lo_rank) & (s["lo"] < F.col("cum_cnt")))
-                                      | ((s["hi"] >= lo_rank) & (s["hi"] < F.col("cum_cnt")))))
+            .withColumn("t", F.filter(pos, lambda s: ((s["lo"] >= lo_rank) & (s["lo"] < F.col(cum)))
+                                      | ((s["hi"] >= lo_rank) & (s["hi"] < F.col(cum)))))
             .where(F.size("t") > 0)
-            .select(*keys, "n", F.col(value).cast("double").alias("v"), lo_rank.alias("r0"), "cum_cnt",
-                    F.explode("t").alias("t")))
-    v_lo = F.max(F.when((F.col("t.lo") >= F.col("r0")) & (F.col("t.lo") < F.col("cum_cnt")), F.col("v")))
-    v_hi = F.max(F.when((F.col("t.hi") >= F.col("r0")) & (F.col("t.hi") < F.col("cum_cnt")), F.col("v")))
-    per_q = hits.groupBy(*keys, F.col("t.qi").alias("qi"), F.col("t.p").alias("p"), "n").agg(
+            .select(*keys, F.col(n).alias("__n"), F.col(value).cast("double").alias("v"), lo_rank.alias("r0"),
+                    F.col(cum).alias("__cum"), F.explode("t").alias("t")))
+    v_lo = F.max(F.when((F.col("t.lo") >= F.col("r0")) & (F.col("t.lo") < F.col("__cum")), F.col("v")))
+    v_hi = F.max(F.when((F.col("t.hi") >= F.col("r0")) & (F.col("t.hi") < F.col("__cum")), F.col("v")))
+    per_q = hits.groupBy(*keys, F.col("t.qi").alias("qi"), F.col("t.p").alias("p"), "__n").agg(
         v_lo.alias("v_lo"), v_hi.alias("v_hi"))
-    frac = (F.col("n") - 1) * F.col("p") - F.floor((F.col("n") - 1) * F.col("p"))
+    frac = (F.col("__n") - 1) * F.col("p") - F.floor((F.col("__n") - 1) * F.col("p"))
     per_q = per_q.withColumn("q", F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo")))
     return (per_q.groupBy(*keys)
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("qi", "q"))), lambda s: s["q"])
