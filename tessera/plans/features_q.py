@@ -180,3 +180,22 @@ def score_distinct(spark, sf):
     """J8 key and dedupe: every distinct features document is scored once."""
     e = tbl(spark, sf, "events").withColumn("h", X.features_hash(F.col("props")))
     return e.agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("h").alias("distinct_documents"))
+
+
+@query("ids_and_hashes", """
+select event_id, 'pred-' || substr(sha256(cast(event_id as varchar) || '|' || cast(user_id as varchar)), 1, 12) pred_id,
+       md5('{"k":"' || (props->>'k') || '"}') features_hash,
+       strftime(ts, 'v%Y%m%d_%H%M%S') version,
+       cast(row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) - 1 as int) batch_index
+from events
+""")
+def ids_and_hashes(spark, sf):
+    """deterministic prediction ids, feature-document hashes, version stamps and the
+    index of a request inside its batch (here: a user's requests of one day)."""
+    from pyspark.sql import Window
+    e = tbl(spark, sf, "events")
+    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
+    return e.select("event_id", X.short_id("pred", F.col("event_id"), F.col("user_id")).alias("pred_id"),
+                    X.features_hash(F.col("props")).alias("features_hash"),
+                    X.version_stamp(F.col("ts")).alias("version"),
+                    (F.row_number().over(w) - 1).cast("int").alias("batch_index"))

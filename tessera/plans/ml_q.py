@@ -195,3 +195,28 @@ def explain_shapley(spark, sf):
                              ML.trainers()["random_forest"].build({"n_estimators": 30, "max_depth": 5})]).fit(data)
     sh = ML.sampled_shapley(model, data, data, EMB_FEATURES[:6], "vec_id", n_permutations=4)
     return sh.groupBy("feature").agg(F.round(F.avg(F.abs("contribution")), 6).alias("mean_abs_contribution"))
+
+
+@query("top_contributions", """
+with m as (select avg(l_quantity) mq, avg(l_extendedprice) mp, avg(l_discount) md, avg(l_tax) mt from lineitem),
+c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+             [{'feature': 'l_quantity', 'c': 0.04 * (l_quantity - mq)},
+              {'feature': 'l_extendedprice', 'c': -0.00002 * (l_extendedprice - mp)},
+              {'feature': 'l_discount', 'c': 3.0 * (l_discount - md)},
+              {'feature': 'l_tax', 'c': -5.0 * (l_tax - mt)}] cs
+      from lineitem, m),
+s as (select *, list_sort(list_transform(cs, lambda x: {'a': -abs(x.c), 'feature': x.feature, 'c': x.c})) srt from c),
+u as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(srt) e, unnest(range(1, 5)) rank from s)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(rank as int) rank, e.feature feature,
+       round(e.c, 6) contribution
+from u
+""")
+def top_contributions(spark, sf):
+    """Each prediction's contributions, ranked by absolute value (one row per feature)."""
+    li = tbl(spark, sf, "lineitem")
+    means = li.agg(*[F.avg(c).alias(c) for c in LINEAR_MODEL["coefficients"]])
+    ex = ML.linear_contributions(li, LINEAR_MODEL["coefficients"], LINEAR_MODEL["intercept"], means)
+    return ex.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                     F.posexplode("contributions").alias("pos", "c")).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("pos") + 1).alias("rank"),
+        F.col("c.feature").alias("feature"), r6(F.col("c.contribution")).alias("contribution"))
