@@ -69,7 +69,9 @@ def stream_latency_histogram(spark, sf):
     return SIO.run_available_now(MON.latency_histogram(_pred_stream(spark, sf)), "latency-histogram")
 
 
-@query("stream_cache_dedup")
+@query("stream_cache_dedup", """
+select distinct md5('{"k":"' || (props->>'k') || '"}') features_hash from events
+""")
 def stream_cache_dedup(spark, sf):
     """Repeated feature documents within 5 minutes are served from the 'cache' (dropped)."""
     from tessera.functions.transforms import features_hash
@@ -111,14 +113,21 @@ def stream_ground_truth_join(spark, sf):
     return out.where(F.col("timestamp") <= F.lit(cutoff))
 
 
-@query("stream_rolling_accuracy")
+@query("stream_rolling_accuracy", "with " + M.PREDICTIONS_SQL + """
+select model_name, count(*) buffered, avg(cast(actual = prediction as int)) rolling_accuracy, max("timestamp") last_ts
+from (select *, row_number() over (partition by model_name order by "timestamp" desc, prediction_id desc) rn
+      from predictions) where rn <= 10000 group by model_name
+""")
 def stream_rolling_accuracy(spark, sf):
     """Rolling accuracy over each model's newest 10000 predictions, one snapshot per micro-batch."""
     s = _pred_stream(spark, sf)
-    return SIO.run_available_now(MON.rolling_accuracy(s), "rolling-accuracy")
+    out = SIO.run_available_now(MON.rolling_accuracy(s), "rolling-accuracy")
+    return out.withColumn("rolling_accuracy", r6("rolling_accuracy"))
 
 
-@query("stream_log_sink")
+@query("stream_log_sink", "with " + M.PREDICTIONS_SQL + """
+select model_name, count(*) n, cast(1 as bigint) batches from predictions group by model_name
+""")
 def stream_log_sink(spark, sf):
     """Prediction log appended per micro-batch (idempotent by batch id), read back."""
     from tessera.session import scratch_path
@@ -139,7 +148,26 @@ def stream_alerts(spark, sf):
 REF_SPLIT = "2024-01-15 00:00:00"
 
 
-@query("stream_drift")
+@query("stream_drift", "with " + M.PREDICTIONS_SQL + f""",
+ref as (select latency_ms v from predictions where "timestamp" < timestamp '{REF_SPLIT}'),
+e as (select list_sort(list_distinct(list_transform(
+        quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]), lambda t: round(t, 9)))) edges
+      from ref),
+bins as (select unnest(range(0, (select len(edges) - 1 from e))) b),
+rs as (select b, (select count(*) from ref, e where len(list_filter(edges[2:len(edges)-1], lambda x: v > x)) = b)
+                 / (select count(*) from ref)::double share from bins),
+cur as (select time_bucket(interval 1 hour, "timestamp") window_start, len(list_filter(edges[2:len(edges)-1],
+               lambda x: latency_ms > x)) b from predictions, e),
+cnt as (select window_start, count(*) n from cur group by window_start),
+wb as (select c.window_start, c.n, bins.b, (select count(*) from cur x where x.window_start = c.window_start
+                                            and x.b = bins.b) k from cnt c, bins)
+select window_start, window_start + interval 1 hour window_end, n,
+       round(sum((greatest(k / n, 0.0001) - greatest(share, 0.0001))
+                 * ln(greatest(k / n, 0.0001) / greatest(share, 0.0001))), 6) psi
+from wb join rs using (b)
+where window_start + interval 1 hour <= {_wm("10 minutes")}
+group by window_start, n
+""")
 def stream_drift(spark, sf):
     """Hourly PSI of latency against reference bins fitted on the first half of the log."""
     from tessera.operators.features import quantile_edges
