@@ -82,16 +82,23 @@ def filter_time_range(df: DataFrame, ts_col: str, as_of, days: int) -> DataFrame
     return df.where((F.col(ts_col) >= start) & (F.col(ts_col) <= end))
 
 
+BROADCAST_KEYS_MAX = 1_000_000
+
+
 def lookup_keys(df: DataFrame, key_col: str, keys: Iterable, key_type: str | None = None) -> DataFrame:
     """All rows of the given keys (absent keys → no rows).
 
-    The key list comes from the caller, so its size is known: it is broadcast to
-    a semi join (one pass over ``df``, no shuffle of ``df``).
+    The key list comes from the caller, so its size is known: up to
+    ``BROADCAST_KEYS_MAX`` keys it is broadcast to a semi join (one pass over
+    ``df``, no shuffle of ``df``); a longer list is left to a shuffle join.
     """
     spark = df.sparkSession
+    keys = list(keys)
     dt = key_type or df.schema[key_col].dataType.simpleString()
     ids = spark.createDataFrame([(k,) for k in keys], f"__key {dt}")
-    return df.join(F.broadcast(ids), df[key_col] == ids["__key"], "left_semi")
+    if len(keys) <= BROADCAST_KEYS_MAX:
+        ids = F.broadcast(ids)
+    return df.join(ids, df[key_col] == ids["__key"], "left_semi")
 
 
 def prediction_log_scan(df: DataFrame, model_name: str | None = None, start=None, end=None,

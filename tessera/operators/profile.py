@@ -261,11 +261,13 @@ def schema_diff(df: DataFrame, expected: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(m,) for m in missing], "column_name string")
 
 
-def invalid_values(df: DataFrame, column: str, allowed: Sequence, inline_limit: int = 1000) -> DataFrame:
+def invalid_values(df: DataFrame, column: str, allowed: Sequence, inline_limit: int = 1000,
+                   broadcast_limit: int = 1_000_000) -> DataFrame:
     """Distinct non-null values of ``column`` outside ``allowed``.
 
-    Short lists stay an ``isin`` inside codegen; long ones become a broadcast
-    anti join (the list came from the driver, so its size is known).
+    Short lists stay an ``isin`` inside codegen; longer ones become an anti join,
+    broadcast while the list (which came from the driver, so its size is known)
+    stays under ``broadcast_limit``.
     """
     c = col_(column)
     vals = df.select(c.alias("value")).where(F.col("value").isNotNull())
@@ -275,7 +277,9 @@ def invalid_values(df: DataFrame, column: str, allowed: Sequence, inline_limit:
     spark = df.sparkSession
     dt = df.schema[column].dataType
     allowed_df = spark.createDataFrame([(a,) for a in allowed], T.StructType([T.StructField("value", dt)]))
-    return vals.distinct().join(F.broadcast(allowed_df), "value", "left_anti")
+    if len(allowed) <= broadcast_limit:
+        allowed_df = F.broadcast(allowed_df)
+    return vals.distinct().join(allowed_df, "value", "left_anti")
 
 
 def zscore_anomalies(

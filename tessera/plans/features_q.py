@@ -191,11 +191,14 @@ from events
 """)
 def ids_and_hashes(spark, sf):
     """deterministic prediction ids, feature-document hashes, version stamps and the
-    index of a request inside its batch (here: a user's requests of one day)."""
-    from pyspark.sql import Window
-    e = tbl(spark, sf, "events")
-    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
-    return e.select("event_id", X.short_id("pred", F.col("event_id"), F.col("user_id")).alias("pred_id"),
-                    X.features_hash(F.col("props")).alias("features_hash"),
-                    X.version_stamp(F.col("ts")).alias("version"),
-                    (F.row_number().over(w) - 1).cast("int").alias("batch_index"))
+    index of a request inside its batch (here: a user's requests of one day).
+
+    The batch index is a distributed rank (prefix sum), so a user holding a third of
+    all requests is not sorted in one task."""
+    from tessera.operators.ranks import prefix_sums
+    e = tbl(spark, sf, "events").withColumn("day", F.to_date("ts")).withColumn("__one", F.lit(1.0))
+    ranked = prefix_sums(e, ["user_id", "day"], ["ts", "event_id"], ["__one"])
+    return ranked.select("event_id", X.short_id("pred", F.col("event_id"), F.col("user_id")).alias("pred_id"),
+                         X.features_hash(F.col("props")).alias("features_hash"),
+                         X.version_stamp(F.col("ts")).alias("version"),
+                         (F.col("cum___one") - 1).cast("int").alias("batch_index"))
