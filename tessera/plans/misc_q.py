@@ -190,3 +190,32 @@ def math_functions(spark, sf):
                                      F.lit(0.0), lambda a, b: a + b)).alias("clipped_sum"),
                       F.round(F.element_at(v, 4), 2).alias("third_rounded"),
                       r6(F.element_at(F.map_from_arrays(names, v), F.lit("7"))).alias("by_name"))
+
+
+def _pii_sql(table: str, key: str) -> str:
+    from tessera.functions.text import PII_PATTERNS
+    cur, counts = "text", []
+    for kind, pattern, token in PII_PATTERNS:
+        counts.append(f"cast(len(regexp_extract_all({cur}, '{pattern}')) as bigint) n_{kind}")
+        cur = f"regexp_replace({cur}, '{pattern}', '{token}', 'g')"
+    return f"select {key}, {', '.join(counts)}, md5({cur}) masked_md5, length({cur}) masked_chars from {table}"
+
+
+@query("pii_masking", _pii_sql("documents", "doc_id"))
+def pii_masking(spark, sf):
+    """Detect and mask e-mails, card-like numbers and IPv4 addresses in every document."""
+    from tessera.functions.text import mask_pii, pii_counts
+    d = tbl(spark, sf, "documents")
+    masked = mask_pii(F.col("text"))
+    return d.select("doc_id", *[v.alias(k) for k, v in pii_counts(F.col("text")).items()],
+                    F.md5(masked).alias("masked_md5"), F.length(masked).cast("bigint").alias("masked_chars"))
+
+
+@query("pii_masking_conversations", _pii_sql("conversations", "conv_id, turn"))
+def pii_masking_conversations(spark, sf):
+    """The same masking over every conversation turn."""
+    from tessera.functions.text import mask_pii, pii_counts
+    c = tbl(spark, sf, "conversations")
+    masked = mask_pii(F.col("text"))
+    return c.select("conv_id", "turn", *[v.alias(k) for k, v in pii_counts(F.col("text")).items()],
+                    F.md5(masked).alias("masked_md5"), F.length(masked).cast("bigint").alias("masked_chars"))
