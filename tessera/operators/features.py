@@ -66,8 +66,10 @@ def quantile_bin(df: DataFrame, column: str, output: str, q: int = 10, approx: b
     """Quantile bins (duplicate edges dropped, right-closed, 0-based). Not ``ntile``."""
     fit_df = fit_df if fit_df is not None else df
     edges = quantile_edges(fit_df, column, q, approx)
+    # attach the edge array once (one scalar subquery), then bin against the column
     e = F.coalesce(edges.select("edges").scalar(), F.array().cast("array<double>"))
-    return df.withColumn(output, X.bin_code(F.col(column), e, q + 1))
+    return (df.withColumn("__edges", e)
+            .withColumn(output, X.bin_code(F.col(column), F.col("__edges"), q + 1)).drop("__edges"))
 
 
 def category_list(df: DataFrame, column: str, max_categories: int = MAX_CATEGORIES) -> list[str]:

@@ -366,8 +366,9 @@ def linear_contributions(df: DataFrame, coefficients: Mapping[str, float], inter
     """
     names = list(coefficients)
     if isinstance(means, DataFrame):
-        mrow = means
-        mean_of = {n: mrow.select(F.col(n)).scalar() for n in names}
+        # one merged scalar subquery, attached once per mean as a column
+        df = df.withColumns({f"__mean_{n}": means.select(F.col(n)).scalar() for n in names})
+        mean_of = {n: F.col(f"__mean_{n}") for n in names}
     else:
         mean_of = {n: F.lit(float(means[n])) for n in names}
     baseline = F.lit(float(intercept))
@@ -382,7 +383,7 @@ def linear_contributions(df: DataFrame, coefficients: Mapping[str, float], inter
                            .when(F.abs(a["contribution"]) < F.abs(b["contribution"]), 1)
                            .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1)
                            .otherwise(0))
-    return df.withColumn("contributions", ordered).drop("__contribs")
+    return df.withColumn("contributions", ordered).drop("__contribs", *[f"__mean_{n}" for n in names])
 
 
 def sampled_shapley(model: PipelineModel, rows: DataFrame, background: DataFrame, features: Sequence[str],
