@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import stats as S
+from tessera.functions.transforms import bin_code
 from tessera.operators.profile import is_numeric
 from tessera.operators.ranks import prefix_sums, quantiles_from_ranked
 
@@ -63,7 +64,7 @@ def ranked_sides(stacked: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per feature and distinct value: counts and running counts on both sides, with
     side totals -- one distributed prefix sum that KS and PSI both read."""
     counts = _side_counts(_long_numeric(stacked, columns))
-    return prefix_sums(counts, ["feature"], "v", ["n_ref", "n_cur"])
+    return prefix_sums(counts, ["feature"], "v", ["n_ref", "n_cur"], materialize=True)
 
 
 def ecdf(stacked: DataFrame, columns: Sequence[str], ranked: DataFrame | None = None) -> DataFrame:
@@ -93,14 +94,14 @@ def category_counts(stacked: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _side_counts(_long_categorical(stacked, columns)).withColumnRenamed("v", "category")
 
 
-def chi_square_test(stacked: DataFrame, columns: Sequence[str], threshold: float = PREDICTION_DRIFT_THRESHOLD
-                    ) -> DataFrame:
+def chi_square_test(stacked: DataFrame, columns: Sequence[str], threshold: float = PREDICTION_DRIFT_THRESHOLD,
+                    categories: DataFrame | None = None) -> DataFrame:
     """Goodness of fit of current counts to reference shares, per categorical feature.
 
     expected = ref · n_cur / n_ref; a category never seen in the reference makes
     the statistic infinite (p = 0); dof = categories − 1.
     """
-    cc = category_counts(stacked, columns)
+    cc = categories if categories is not None else category_counts(stacked, columns)
     tot = cc.groupBy("feature").agg(F.sum("n_ref").alias("N"), F.sum("n_cur").alias("M"),
                                     F.count(F.lit(1)).alias("k"))
     j = cc.join(tot, "feature")
@@ -116,34 +117,33 @@ def chi_square_test(stacked: DataFrame, columns: Sequence[str], threshold: float
 
 
 def psi(stacked: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), bins: int = 10,
-        eps: float = S.PSI_EPS, ranked: DataFrame | None = None) -> DataFrame:
+        eps: float = S.PSI_EPS, ranked: DataFrame | None = None, categories: DataFrame | None = None
+        ) -> DataFrame:
     """Population stability index per feature.
 
-    Numeric bins come from the reference's quantile edges (exact): they are read
-    off the same ranked table as KS (reference counts and running counts), so no
-    second ranking pass is needed.  Each value is binned by counting the edges
-    below it (a per-row expression on the per-feature edge array attached by a
-    small join).
+    Numeric bins are the reference's quantile edges (exact), read off the ranked
+    distinct-value table that KS also uses; each distinct value is binned once
+    (a fixed-width expression, no lambda) and its per-side counts are summed per
+    bin, so the raw rows are never scanned again.  Categorical bins are the
+    categories, from the same per-category counts as chi-square.
     """
     parts = []
     if numeric:
-        long = _long_numeric(stacked, numeric)
         probs = [i / bins for i in range(bins + 1)]
         rk = ranked if ranked is not None else ranked_sides(stacked, numeric)
         edges = quantiles_from_ranked(rk, ["feature"], "v", "n_ref", "cum_n_ref", "total_n_ref", probs).select(
             "feature", F.array_sort(F.array_distinct("quantiles")).alias("edges"))
-        b = long.join(edges, "feature")
-        inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-        code = F.size(F.filter(inner, lambda e: e < F.col("v")))
-        parts.append(b.select("feature", "side", code.cast("string").alias("bin")))
+        code = bin_code(F.col("v"), F.col("edges"), bins + 1)
+        parts.append(rk.join(edges, "feature").select("feature", code.cast("string").alias("bin"),
+                                                      F.col("n_ref").alias("r"), F.col("n_cur").alias("c")))
     if categorical:
-        parts.append(_long_categorical(stacked, categorical).select("feature", "side", F.col("v").alias("bin")))
+        cc = categories if categories is not None else category_counts(stacked, categorical)
+        parts.append(cc.select("feature", F.col("category").alias("bin"), F.col("n_ref").alias("r"),
+                               F.col("n_cur").alias("c")))
     if not parts:
         raise ValueError("no columns")
     binned = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    counts = binned.groupBy("feature", "bin").agg(
-        F.sum(F.when(F.col("side") == REF, 1.0).otherwise(0.0)).alias("r"),
-        F.sum(F.when(F.col("side") == CUR, 1.0).otherwise(0.0)).alias("c"))
+    counts = binned.groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     tot = counts.groupBy("feature").agg(F.sum("r").alias("r_total"), F.sum("c").alias("c_total"))
     j = counts.join(tot, "feature")
     term = S.psi_term(F.try_divide(F.col("c"), F.col("c_total")), F.try_divide(F.col("r"), F.col("r_total")), eps)
@@ -159,13 +159,14 @@ def data_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str]
     num, cat = split_columns(stacked, cols)
     parts = []
     ranked = ranked_sides(stacked, num) if num else None
+    cats = category_counts(stacked, cat) if cat else None
     if num:
         parts.append(ks_test(stacked, num, p_threshold, ranked))
     if cat:
-        parts.append(chi_square_test(stacked, cat, p_threshold))
+        parts.append(chi_square_test(stacked, cat, p_threshold, cats))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if with_psi:
-        out = out.join(psi(stacked, num, cat, ranked=ranked), "feature", "left")
+        out = out.join(psi(stacked, num, cat, ranked=ranked, categories=cats), "feature", "left")
     return out
 
 

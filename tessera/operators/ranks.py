@@ -69,6 +69,7 @@ def prefix_sums(
     order: str | Sequence[str],
     values: Sequence[str],
     num_partitions: int | None = None,
+    materialize: bool = False,
 ) -> DataFrame:
     """Inclusive running sums ``cum_<v>`` of ``values`` over ``order`` within ``keys``,
     plus ``total_<v>``, the sum over the whole key.
@@ -77,6 +78,8 @@ def prefix_sums(
     per (keys, order) -- pre-aggregate first, so the shuffle moves distinct
     values, not raw rows.  Sums are doubles.  Key totals come from the small
     per-partition table, so callers need no second pass over the ranked rows.
+    ``materialize=True`` checkpoints the result too, for callers that read it
+    several times (the Python running sum then runs once).
     """
     keys, values = list(keys), list(values)
     order = [order] if isinstance(order, str) else list(order)
@@ -97,11 +100,12 @@ def prefix_sums(
     offsets = totals.select(PID, *keys, *[F.coalesce(F.sum(f"tot_{v}").over(w), F.lit(0.0)).alias(f"off_{v}")
                                           for v in values],
                             *[F.sum(f"tot_{v}").over(whole).alias(f"total_{v}") for v in values])
-    return _attach(local, offsets, [PID, *keys]).select(
+    out = _attach(local, offsets, [PID, *keys]).select(
         *[c for c in ranged.columns if c != PID],
         *[(F.col(f"cum_{v}") + F.coalesce(F.col(f"off_{v}"), F.lit(0.0))).alias(f"cum_{v}") for v in values],
         *[F.col(f"total_{v}") for v in values],
     )
+    return out.checkpoint(eager=True) if materialize else out
 
 
 def _attach(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
