@@ -138,11 +138,30 @@ def stream_log_sink(spark, sf):
                                           F.count_distinct("batch_id").alias("batches"))
 
 
-@query("stream_alerts")
+@query("stream_alerts", "with " + M.PREDICTIONS_SQL + """,
+ev as (select model_name, epoch_us("timestamp") // 60000000 m, status from predictions),
+first_minute as (select model_name, min(m) m0 from ev group by model_name),
+fin as (select (epoch_us(date_trunc('millisecond', max(ts))) // 1000 - 120000) // 60000 - 1 f from events),
+grid as (select first_minute.model_name, unnest(range(m0, f + 1)) m from first_minute, fin),
+cnt as (select model_name, m, count(*) n, count(*) filter (where status = 'error') e from ev group by all),
+g as (select grid.model_name, grid.m, coalesce(cnt.n, 0) n, coalesce(cnt.e, 0) e
+      from grid left join cnt on cnt.model_name = grid.model_name and cnt.m = grid.m),
+w as (select model_name, m, sum(n) over win sn, sum(e) over win se from g
+      window win as (partition by model_name order by m rows between 4 preceding and current row)),
+b as (select *, sn > 0 and 100.0::double * se / sn > 5.0 br from w),
+isl as (select *, m - row_number() over (partition by model_name, br order by m) grp from b),
+runs as (select *, row_number() over (partition by model_name, grp order by m) k,
+                min(m) over (partition by model_name, grp) s from isl where br)
+select model_name, make_timestamp(s * 60000000) alert_start, make_timestamp(m * 60000000) alert_minute,
+       cast(k as bigint) minutes_held, round(100.0::double * se / sn, 6) error_rate
+from runs where k = 5
+""")
 def stream_alerts(spark, sf):
-    """Models whose per-minute error rate stayed above 5 % for 5 consecutive minutes."""
+    """Models whose error share over the trailing 5 minutes, evaluated every minute,
+    stayed above 5 % for 5 consecutive evaluations."""
     s = _pred_stream(spark, sf)
-    return SIO.run_available_now(MON.held_alerts(s, 5.0, 5), "alerts")
+    out = SIO.run_available_now(MON.held_alerts(s, 5.0, 5), "alerts")
+    return out.withColumn("error_rate", r6("error_rate"))
 
 
 REF_SPLIT = "2024-01-15 00:00:00"
