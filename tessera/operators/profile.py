@@ -261,6 +261,17 @@ def schema_diff(df: DataFrame, expected: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(m,) for m in missing], "column_name string")
 
 
+def schema_diff_many(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Expected columns missing from each dataset, over many datasets at once.
+
+    Both sides are ``(dataset, columns array<string>)``; they are exploded to
+    ``(dataset, column_name)`` and compared with an anti join.
+    """
+    e = expected.select("dataset", F.explode("columns").alias("column_name"))
+    a = actual.select("dataset", F.explode("columns").alias("column_name"))
+    return e.join(a, ["dataset", "column_name"], "left_anti")
+
+
 def invalid_values(df: DataFrame, column: str, allowed: Sequence, inline_limit: int = 1000,
                    broadcast_limit: int = 1_000_000) -> DataFrame:
     """Distinct non-null values of ``column`` outside ``allowed``.

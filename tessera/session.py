@@ -30,6 +30,12 @@ def build_session(
     AQE (partition coalescing + skew-join splitting) is on, the clock is UTC, Arrow
     is used for pandas transfer, the UI server is off and streaming state lives in
     RocksDB so that large keyed state spills to disk instead of the JVM heap.
+
+    Partition sizing: scans split files at 128 MiB and AQE aims shuffle partitions
+    at 128 MiB, so a partition fits an executor's memory whatever the data size.
+    ``shuffle_partitions`` is the pre-coalescing upper bound: the core count on one
+    machine; on a cluster about three times the total executor cores, which AQE
+    then coalesces for small stages.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -39,6 +45,8 @@ def build_session(
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.files.maxPartitionBytes": "128m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
