@@ -210,16 +210,24 @@ def drift_report(checks: DataFrame, model_name: str, model_version: str, drift_t
         F.lit(created_at).cast("timestamp_ntz").alias("created_at"))
 
 
+MAX_FEATURE_KEYS = 10_000
+
+
 def flatten_features(df: DataFrame, json_col: str, keys: Sequence[str] | None = None,
                      value_type: str = "double") -> DataFrame:
     """Features document → one column per key.
 
-    Keys are given, or discovered with ``json_object_keys`` + ``distinct`` (a
-    bounded set: feature names, not values).
+    Keys are given, or discovered with ``json_object_keys`` + ``distinct``: a set
+    of feature names (not values), checked against ``MAX_FEATURE_KEYS`` before it
+    reaches the driver -- more keys than that cannot become columns anyway, so
+    the call fails instead of silently dropping any.
     """
     m = F.from_json(F.col(json_col), T.MapType(T.StringType(), T.StringType()))
     if keys is None:
-        keys = sorted(r[0] for r in df.select(F.explode(F.json_object_keys(json_col)).alias("k"))
-                      .distinct().limit(10_000).collect())
+        found = [r[0] for r in df.select(F.explode(F.json_object_keys(json_col)).alias("k"))
+                 .distinct().limit(MAX_FEATURE_KEYS + 1).collect()]
+        if len(found) > MAX_FEATURE_KEYS:
+            raise ValueError(f"{json_col}: more than {MAX_FEATURE_KEYS} distinct feature keys")
+        keys = sorted(found)
     return df.withColumn("__m", m).withColumns(
         {k: F.col("__m").getItem(k).cast(value_type) for k in keys}).drop("__m")
