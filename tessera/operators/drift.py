@@ -22,6 +22,7 @@ from tessera.functions import stats as S
 from tessera.functions.transforms import bin_code
 from tessera.operators.profile import is_numeric
 from tessera.operators.ranks import prefix_sums, quantiles_from_ranked
+from tessera.session import checkpoint_dir
 
 REF, CUR = "reference", "current"
 # Default thresholds (data drift share, prediction drift p, accuracy drop).
@@ -150,6 +151,25 @@ def psi(stacked: DataFrame, numeric: Sequence[str], categorical: Sequence[str] =
     return j.groupBy("feature").agg(F.sum(term).alias("psi"), F.count(F.lit(1)).alias("n_bins"))
 
 
+def side_counts_all(stacked: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """Per feature and distinct value, the count on each side, for numeric and
+    categorical columns together: one unpivot and one grouped aggregate, i.e. one
+    pass over the raw rows whatever the number of columns and tests.  The result
+    (distinct values only) is checkpointed so every test reads it, not the data.
+    """
+    items = ([F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("num"),
+                       F.lit(None).cast("string").alias("cat")) for c in numeric]
+             + [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("num"),
+                         F.col(c).cast("string").alias("cat")) for c in categorical])
+    long = stacked.select("side", F.inline(F.array(*items))).where(
+        F.col("num").isNotNull() | F.col("cat").isNotNull())
+    counts = long.groupBy("feature", "num", "cat").agg(
+        F.sum(F.when(F.col("side") == REF, 1.0).otherwise(0.0)).alias("n_ref"),
+        F.sum(F.when(F.col("side") == CUR, 1.0).otherwise(0.0)).alias("n_cur"))
+    checkpoint_dir(stacked.sparkSession)
+    return counts.checkpoint(eager=True)
+
+
 def data_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None,
                threshold: float = DATA_DRIFT_THRESHOLD, p_threshold: float = PREDICTION_DRIFT_THRESHOLD,
                with_psi: bool = True) -> DataFrame:
@@ -158,8 +178,12 @@ def data_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str]
     cols = [c for c in stacked.columns if c != "side"]
     num, cat = split_columns(stacked, cols)
     parts = []
-    ranked = ranked_sides(stacked, num) if num else None
-    cats = category_counts(stacked, cat) if cat else None
+    counts = side_counts_all(stacked, num, cat)
+    ranked = (prefix_sums(counts.where(F.col("num").isNotNull()).select("feature", F.col("num").alias("v"),
+                                                                       "n_ref", "n_cur"),
+                          ["feature"], "v", ["n_ref", "n_cur"], materialize=True) if num else None)
+    cats = (counts.where(F.col("cat").isNotNull()).select("feature", F.col("cat").alias("category"), "n_ref", "n_cur")
+            if cat else None)
     if num:
         parts.append(ks_test(stacked, num, p_threshold, ranked))
     if cat:
