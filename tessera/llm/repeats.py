@@ -15,8 +15,9 @@ position).  A window is *repeated* when an equal window starts earlier in that o
    bits) are one entry with its first occurrence.  Later occurrences are repeated
    throughout.  An entry that is alone with its anchor content is new throughout.
 4. Entries that share an anchor content with different entries agree in some of their
-   windows only.  Those windows, and no others, are compared one by one by 128-bit
-   hashes; the first of each class is new.
+   windows only.  Their windows, and no others, are put in classes by 128-bit hashes; the
+   first of each class is new.  The entries of one anchor come together whole; where an
+   anchor is too frequent for that, their windows are spread over all tasks one by one.
 
 Everything is an aggregate with map-side combining, or a join on hashes that adaptive
 execution can split, so a passage in a third of all documents costs one row per task.
@@ -42,9 +43,15 @@ from tessera.llm.hashing import FIRST, SECOND, U64, sliding_min
 TIE_BITS, START_BITS, COUNT_BITS = 20, 32, 8
 LOW32 = U64(0xFFFFFFFF)
 
-#: For the rows of a column, block by block: the block's first row, the codes of its rows, their offsets, and the
-#: position of its first code in the row (not 0 for a later piece of a long row; pieces overlap by a window less one).
+#: For the rows of a column, block by block: the block's first row, its items (bytes, or word codes), the offsets of
+#: its rows, and the position of its first item in the row (not 0 for a later piece of a long row; pieces overlap by a
+#: window less one item).
 Coder = Callable[[pa.Array, int], Iterator[tuple[int, np.ndarray, np.ndarray, int]]]
+#: Items to codes.
+Codes = Callable[[np.ndarray], np.ndarray]
+#: Phrases whose anchor content occurs so often at most are compared in one place; those of more frequent anchors
+#: window by window, spread over all tasks.
+TOGETHER = 1000
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,15 +98,12 @@ def _runs(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (loc >> COUNT_BITS) & ((1 << START_BITS) - 1), loc & ((1 << COUNT_BITS) - 1)
 
 
-def mark(n_windows: int, seen: list | None, new: list | None) -> np.ndarray:
+def mark(n_windows: int, seen: pa.Array | None, new: pa.Array | None) -> np.ndarray:
     """Repeated windows of a document: in a phrase of `seen`, not in a run of `new`."""
     out = np.zeros(n_windows, dtype=bool)
     for value, locs in ((True, seen), (False, new)):
         if locs is not None and len(locs):
-            start, count = _runs(np.unique(np.asarray(locs, dtype=np.int64)))
-            total = int(count.sum())
-            first = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-            out[first + np.arange(total)] = value
+            out[ranges(*_runs(np.unique(locs.to_numpy())))] = value
     return out
 
 
@@ -112,66 +116,122 @@ def covered(repeated: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
-def repeated_windows(keys: DataFrame, coder: Coder, length: int, k: int) -> DataFrame:
-    """One row per document of `keyed` rows: the columns of `keys`, `seen` and `new`
-    (see `mark`).  `keys` must be partitioned by (dk, tie) for its texts to move once."""
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every run, one after the other."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
+
+
+def table_of(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == U64 else c) for c in columns.values()], names=list(columns))
+
+
+def first_of_class(items: np.ndarray, offsets: np.ndarray, codes: Codes, dk: np.ndarray, loc: np.ndarray, length: int) -> pa.RecordBatch:
+    """Of phrases (items and place), the windows that no earlier one of these phrases holds, as runs."""
+    count = loc & ((1 << COUNT_BITS) - 1)
+    row = np.repeat(np.arange(len(loc)), count)
+    h1, h2 = window_hashes(codes(items), ranges(offsets[:-1], count), length)
+    place = ranges(loc >> COUNT_BITS, count)
+    order = np.lexsort((place, dk[row], h2, h1))
+    a, b = h1[order], h2[order]
+    lead = np.ones(len(order), dtype=bool)
+    lead[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new = np.sort(order[lead])
+    head = np.ones(len(new), dtype=bool)
+    head[1:] = (new[1:] != new[:-1] + 1) | (row[new[1:]] != row[new[:-1]])
+    at = np.flatnonzero(head)
+    return table_of(dk=dk[row[new[at]]], loc=(place[new[at]] << COUNT_BITS) | np.diff(np.append(at, len(new))))
+
+
+def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, length: int, k: int, together: int = TOGETHER) -> DataFrame:
+    """One row per document of `keyed` rows: the columns of `keys`, `seen` and `new` (see
+    `mark`).  `item` is the numpy type of the coder's items.  Partition `keys` by (dk, tie):
+    its texts then move once."""
 
     def cut(batches):
         for b in batches:
             dk, tie = b.column("dk").to_numpy(), b.column("tie").to_numpy()
-            held: list[list[np.ndarray]] = [[], [], [], []]
-            for row0, codes, off, base in coder(b.column("text"), length):
-                got = phrases(codes, off, length, k)
-                if got is None:
-                    continue
-                row, start, count, anchor, content = got
-                row = row + row0
-                start = start + base
-                for h, v in zip(held, (anchor.view(np.int64), content.view(np.int64), dk[row], (tie[row] << 40) | (start << COUNT_BITS) | count), strict=True):
-                    h.append(v)
-            if held[0]:
-                a, c, d, loc = (np.concatenate(h) for h in held)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(d), pa.array(loc)], names=["a", "c", "dk", "loc"])
+            held: list[tuple[np.ndarray, ...]] = []
+            for row0, items, off, base in coder(b.column("text"), length):
+                got = phrases(codes(items), off, length, k)
+                if got is not None:
+                    row, start, count, anchor, content = got
+                    held.append((anchor, content, dk[row + row0], (tie[row + row0] << 40) | ((start + base) << COUNT_BITS) | count))
+            if held:
+                a, c, d, loc = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield table_of(a=a, c=c, dk=d, loc=loc)
 
     found = keys.mapInArrow(cut, "a long, c long, dk long, loc long")
-    # anchors that occur more than once, and whether with different contents
+    # anchors that occur more than once; `split`: with different contents
     again = (
-        found.select("a", "c").groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("split"))
-        .where("n > 1").select("a", "split")
+        found.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("split"))
+        .where("n > 1").select("a", (F.col("split").cast("int") + (F.col("split") & (F.col("n") > together)).cast("int")).alias("split"))
     )
     seen = found.join(again, "a")
-    entries = seen.groupBy("a", "c").agg(F.min(F.struct("dk", "loc")).alias("f"), F.first("split").alias("split")).select("f.dk", "f.loc", "split")
+    entries = seen.groupBy("a", "c").agg(F.min(F.struct("dk", "loc")).alias("f"), F.first("split").alias("split")).select("a", "f.dk", "f.loc", "split")
     tie = F.shiftright("loc", 40).alias("tie")
+    unclear = entries.where("split > 0").groupBy("dk", tie).agg(F.collect_list(F.struct("a", "loc", "split")).alias("parts"))
+    # all columns of `keys` stay in, so that both joins read one exchange of the texts
+    texts = keys.join(unclear, ["dk", "tie"])
+
+    def parts_of(b, pick):
+        """(items, dk, tie, anchor, loc, start and count within the items) of a block's unclear phrases."""
+        dk, parts = b.column("dk").to_numpy(), b.column("parts")
+        ends = parts.offsets.to_numpy()
+        a, loc, split = (parts.values.field(x).to_numpy() for x in range(3))
+        for row0, items, off, base in coder(b.column("text"), length):
+            n = len(off) - 1
+            row = np.repeat(np.arange(n), np.diff(ends[row0 : row0 + n + 1]))
+            at = slice(ends[row0], ends[row0 + n])
+            start, count = _runs(loc[at])
+            # the windows that lie in this piece of the row
+            lo, hi = np.maximum(start, base), np.minimum(start + count, base + off[row + 1] - off[row] - length + 1)
+            ok = (hi > lo) & (split[at] == pick)
+            row, lo, hi = row[ok], lo[ok], hi[ok]
+            if len(row):
+                tied = loc[at][ok] >> 40
+                yield items, dk[row + row0], a[at][ok], (tied << 40) | (lo << COUNT_BITS) | (hi - lo), lo - base + off[row], hi - lo
+
+    def bodies(batches):
+        for b in batches:
+            for items, dk, a, loc, start, count in parts_of(b, 1):
+                size = count + length - 1
+                flat = np.ascontiguousarray(items[ranges(start, size)])
+                ends = (np.concatenate([[0], np.cumsum(size)]) * flat.itemsize).astype(np.int32)
+                yield table_of(a=a, dk=dk, loc=loc, body=pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(flat)]))
+
+    def settle(batches):
+        rest: pa.Table | None = None
+
+        def done(t: pa.Table):
+            for b in t.combine_chunks().to_batches():
+                body = b.column("body")
+                ends = np.frombuffer(body.buffers()[1], dtype=np.int32)[body.offset : body.offset + len(body) + 1]
+                raw = np.frombuffer(body.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+                yield first_of_class(raw.view(item), (ends - ends[0]).astype(np.int64) // np.dtype(item).itemsize, codes, b.column("dk").to_numpy(), b.column("loc").to_numpy(), length)
 
-    unclear = entries.where("split").groupBy("dk", tie).agg(F.collect_list("loc").alias("locs"))
-    texts = keys.join(unclear, ["dk", "tie"]).select("dk", "tie", "text", "locs")
-
-    def compare(batches):
         for b in batches:
-            dk, tie, locs = b.column("dk").to_numpy(), b.column("tie").to_numpy(), b.column("locs")
-            for row0, codes, off, base in coder(b.column("text"), length):
-                at: list[np.ndarray] = []
-                rows: list[np.ndarray] = []
-                for r in range(len(off) - 1):
-                    start, count = _runs(np.unique(locs[row0 + r].values.to_numpy()))
-                    total = int(count.sum())
-                    p = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total)
-                    p = p[(p >= base) & (p - base + length <= off[r + 1] - off[r])] - base + off[r]
-                    at.append(p)
-                    rows.append(np.full(len(p), r))
-                p, row = np.concatenate(at), np.concatenate(rows)
-                if not len(p):
-                    continue
-                h1, h2 = window_hashes(codes, p, length)
-                start = p - off[row] + base
-                loc = (tie[row + row0] << 40) | (start << COUNT_BITS) | 1
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(dk[row + row0]), pa.array(loc)], names=["h1", "h2", "dk", "loc"])
-
-    first = texts.mapInArrow(compare, "h1 long, h2 long, dk long, loc long").groupBy("h1", "h2").agg(F.min(F.struct("dk", "loc")).alias("f")).select("f.dk", "f.loc")
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            a = t.column("a").to_numpy()
+            whole = int(np.searchsorted(a, a[-1], side="left")) if len(a) else 0  # the last anchor may go on
+            if whole:
+                yield from done(t.slice(0, whole))
+            rest = t.slice(whole)
+        if rest is not None and rest.num_rows:
+            yield from done(rest)
+
+    def windows(batches):
+        for b in batches:
+            for items, dk, _, loc, start, count in parts_of(b, 2):
+                h1, h2 = window_hashes(codes(items), ranges(start, count), length)
+                yield table_of(h1=h1, h2=h2, dk=np.repeat(dk, count), loc=(ranges(loc >> COUNT_BITS, count) << COUNT_BITS) | 1)
+
+    few = texts.mapInArrow(bodies, "a long, dk long, loc long, body binary").repartition("a").sortWithinPartitions("a").mapInArrow(settle, "dk long, loc long")
+    many = texts.mapInArrow(windows, "h1 long, h2 long, dk long, loc long").groupBy("h1", "h2").agg(F.min(F.struct("dk", "loc")).alias("f")).select("f.dk", "f.loc")
+    new = entries.where("split = 0").select("dk", "loc").unionByName(few).unionByName(many).select("dk", "loc", F.lit(None).cast("long").alias("c"))
+    # `c` is named only so that this reads the same exchange as `entries`
     events = (
-        seen.select("dk", "loc", F.lit(True).alias("s"))
-        .unionByName(entries.where("not split").select("dk", "loc", F.lit(False).alias("s")))
-        .unionByName(first.select("dk", "loc", F.lit(False).alias("s")))
-        .groupBy("dk", tie).agg(F.collect_list(F.when(F.col("s"), F.col("loc"))).alias("seen"), F.collect_list(F.when(~F.col("s"), F.col("loc"))).alias("new"))
+        seen.select("dk", "loc", "c").unionByName(new).groupBy("dk", tie)
+        .agg(F.collect_list(F.when(F.col("c").isNotNull(), F.col("loc"))).alias("seen"), F.collect_list(F.when(F.col("c").isNull(), F.col("loc"))).alias("new"))
     )
     return keys.join(events, ["dk", "tie"], "left")

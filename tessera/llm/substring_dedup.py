@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import FIRST, PIECE, byte_table, column_bytes, row_blocks, word_codes, word_spans
-from tessera.llm.repeats import covered, keyed, mark, repeated_windows
+from tessera.llm.repeats import TOGETHER, covered, keyed, mark, repeated_windows
 from tessera.llm.suffix_dedup import runs_by_row
 
 CODES = byte_table(20256)
 #: Words of a seed.
-SEED_WORDS = 6
+SEED_WORDS = 4
 
 
 def word_blocks(col: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -44,6 +44,10 @@ def word_blocks(col: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, n
             yield a, piece, np.array([0, len(piece)]), base
 
 
+def same(items: np.ndarray) -> np.ndarray:
+    return items
+
+
 def joined_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
     """For each row its words joined by one space."""
     size = ends - starts + 1
@@ -58,7 +62,7 @@ def joined_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.
     return pa.Array.from_buffers(pa.string(), rows, [None, pa.py_buffer(off), pa.py_buffer(out)])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, seed_words: int = SEED_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, seed_words: int = SEED_WORDS, together: int = TOGETHER) -> DataFrame:
     """Remove every word covered by a window of `length` words that also starts earlier
     (smaller id, or same document, earlier start), judged on the input.  Words are runs of
     characters other than space and \\x09-\\x0D, unchanged.
@@ -72,7 +76,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one document.  A NULL id counts as one more id.  An empty table gives no rows.
     """
     keys = keyed(docs, id_col, text_col).repartition("dk", "tie")
-    found = repeated_windows(keys, word_blocks, length, seed_words)
+    found = repeated_windows(keys, word_blocks, same, np.uint64, length, seed_words, together)
     kind = found.schema["rest"].dataType
 
     def remove(batches):

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import PIECE, byte_table, column_bytes, row_blocks
-from tessera.llm.repeats import covered, keyed, mark, repeated_windows
+from tessera.llm.repeats import TOGETHER, covered, keyed, mark, repeated_windows
 
 CODES = byte_table(20251)
 #: Bytes of a trigger. A shorter one gives fewer phrases, but more of them share a trigger by chance.
-TRIGGER = 28
+TRIGGER = 20
 
 
 def byte_blocks(col: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -37,7 +37,11 @@ def byte_blocks(col: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, n
         size = off[b] - off[a]
         for base in range(0, max(1, size - length + 1), PIECE) if b - a == 1 else (0,):
             end = min(base + PIECE + length - 1, size) if b - a == 1 else size
-            yield a, CODES[buf[off[a] + base : off[a] + end]], (off[a : b + 1] - off[a] if b - a > 1 else np.array([0, end - base])), base
+            yield a, buf[off[a] + base : off[a] + end], (off[a : b + 1] - off[a] if b - a > 1 else np.array([0, end - base])), base
+
+
+def codes(items: np.ndarray) -> np.ndarray:
+    return CODES[items]
 
 
 def runs_by_row(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +58,7 @@ def runs_by_row(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start - off[row], end - off[row], row
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, trigger: int = TRIGGER) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, trigger: int = TRIGGER, together: int = TOGETHER) -> DataFrame:
     """Remove every byte covered by a `length`-byte string that also starts earlier
     (smaller id, or same document, earlier start), judged on the input.
 
@@ -68,7 +72,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     any length are read in pieces.
     """
     keys = keyed(docs, id_col, text_col).repartition("dk", "tie")
-    found = repeated_windows(keys, byte_blocks, length, trigger)
+    found = repeated_windows(keys, byte_blocks, codes, np.uint8, length, trigger, together)
     kind = found.schema["rest"].dataType
 
     def remove(batches):
