@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 U64 = np.uint64
 #: Separators of the "words" of the operators: space and \\x09-\\x0D.
@@ -77,11 +78,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the offsets of its rows; NULL counts as empty."""
+    """Bytes of a string (UTF-8) or binary column and the offsets of its rows; NULL counts as empty."""
     if col.null_count:
-        col = col.fill_null("")
-    large = pa.types.is_large_string(col.type)
-    if not large and not pa.types.is_string(col.type):
+        col = col.fill_null(b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
+    large = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+    if not large and not pa.types.is_string(col.type) and not pa.types.is_binary(col.type):
         col, large = col.cast(pa.large_string()), True
     n = len(col)
     _, offsets, data = col.buffers()
@@ -146,3 +147,24 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
         x = np.minimum(x[:-span], x[span:])
         span *= 2
     return np.minimum(x[:n], x[width - span : width - span + n]) if span < width else x[:n]
+
+
+def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column `text` becomes `packed` (zstd) and `size` (bytes), so that texts move in half the room."""
+    press = zstandard.ZstdCompressor(level=1, write_content_size=True)
+    for b in batches:
+        buf, off = column_bytes(b.column("text"))
+        view = memoryview(np.ascontiguousarray(buf))
+        packed = pa.array([press.compress(view[off[i] : off[i + 1]]) for i in range(len(off) - 1)], pa.binary())
+        keep = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), packed, pa.array(np.diff(off))], names=[*keep, "packed", "size"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], most: int = 16 * PIECE) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches, each with its texts (binary), about `most` bytes at a time."""
+    open_ = zstandard.ZstdDecompressor()
+    for b in batches:
+        off = np.concatenate([[0], np.cumsum(b.column("size").to_numpy())])
+        for lo, hi in row_blocks(off, most):
+            part = b.slice(lo, hi - lo)
+            yield part, pa.array([open_.decompress(memoryview(x.as_buffer())) for x in part.column("packed")], pa.large_binary())

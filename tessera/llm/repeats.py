@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashing import FIRST, SECOND, U64, sliding_min
+from tessera.llm.hashing import FIRST, SECOND, U64, pack_texts, sliding_min, unpacked
 
 #: loc = tie << 40 | start << 8 | count: a run of `count` windows from `start` on.
 TIE_BITS, START_BITS, COUNT_BITS = 20, 32, 8
@@ -55,11 +55,14 @@ TOGETHER = 1000
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(dk, tie, text, rest): a key that is never NULL, and all other columns in one struct."""
+    """(dk, tie, rest, packed, size): a key that is never NULL, all other columns in one
+    struct and the text, partitioned by (dk, tie)."""
     i, t = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     tie = F.shiftrightunsigned(F.xxhash64(F.coalesce(t, F.lit(""))), 64 - TIE_BITS) + F.when(i.isNull(), 1 << TIE_BITS).otherwise(0)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return docs.select(F.coalesce(i, F.lit(0)).alias("dk"), tie.cast("long").alias("tie"), t.cast("string").alias("text"), F.struct(*rest).alias("rest"))
+    rows = docs.select(F.coalesce(i, F.lit(0)).alias("dk"), tie.cast("long").alias("tie"), F.struct(*rest).alias("rest"), t.cast("string").alias("text"))
+    kind = rows.schema["rest"].dataType.simpleString()
+    return rows.mapInArrow(pack_texts, f"dk long, tie long, rest {kind}, packed binary, size long").repartition("dk", "tie")
 
 
 def phrases(codes: np.ndarray, offsets: np.ndarray, length: int, k: int):
@@ -144,41 +147,46 @@ def first_of_class(items: np.ndarray, offsets: np.ndarray, codes: Codes, dk: np.
 
 def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, length: int, k: int, together: int = TOGETHER) -> DataFrame:
     """One row per document of `keyed` rows: the columns of `keys`, `seen` and `new` (see
-    `mark`).  `item` is the numpy type of the coder's items.  Partition `keys` by (dk, tie):
-    its texts then move once."""
+    `mark`).  `item` is the numpy type of the coder's items."""
 
-    def cut(batches):
-        for b in batches:
+    def found_in(batches):
+        """A batch's phrases: anchor, content, dk and loc."""
+        for b, text in unpacked(batches):
             dk, tie = b.column("dk").to_numpy(), b.column("tie").to_numpy()
             held: list[tuple[np.ndarray, ...]] = []
-            for row0, items, off, base in coder(b.column("text"), length):
+            for row0, items, off, base in coder(text, length):
                 got = phrases(codes(items), off, length, k)
                 if got is not None:
                     row, start, count, anchor, content = got
                     held.append((anchor, content, dk[row + row0], (tie[row + row0] << 40) | ((start + base) << COUNT_BITS) | count))
             if held:
-                a, c, d, loc = (np.concatenate(x) for x in zip(*held, strict=True))
-                yield table_of(a=a, c=c, dk=d, loc=loc)
-
-    found = keys.mapInArrow(cut, "a long, c long, dk long, loc long")
-    # anchors that occur more than once; `split`: with different contents
-    again = (
-        found.groupBy("a").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("split"))
-        .where("n > 1").select("a", (F.col("split").cast("int") + (F.col("split") & (F.col("n") > together)).cast("int")).alias("split"))
-    )
-    seen = found.join(again, "a")
-    entries = seen.groupBy("a", "c").agg(F.min(F.struct("dk", "loc")).alias("f"), F.first("split").alias("split")).select("a", "f.dk", "f.loc", "split")
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    def cut(batches):
+        for a, c, d, loc in found_in(batches):
+            yield table_of(a=a, c=c, dk=d, loc=loc)
+
+    def cut_anchors(batches):
+        for a, *_ in found_in(batches):
+            yield table_of(a=a)
+
     tie = F.shiftright("loc", 40).alias("tie")
+    again = keys.mapInArrow(cut_anchors, "a long").groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
+    seen = keys.mapInArrow(cut, "a long, c long, dk long, loc long").join(again, "a")
+    entries = seen.groupBy("a", "c").agg(F.min(F.struct("dk", "loc")).alias("f"), F.max("n").alias("n")).select("a", "f.dk", "f.loc", "n")
+    # 0: alone with its anchor content; 1, 2: not, to be compared in one place or window by window
+    alone = entries.groupBy("a").agg(F.count("*").alias("entries"), F.max("n").alias("n")).select("a", F.when(F.col("entries") == 1, 0).when(F.col("n") <= together, 1).otherwise(2).alias("split"))
+    entries = entries.drop("n").join(alone, "a")
     unclear = entries.where("split > 0").groupBy("dk", tie).agg(F.collect_list(F.struct("a", "loc", "split")).alias("parts"))
     # all columns of `keys` stay in, so that both joins read one exchange of the texts
     texts = keys.join(unclear, ["dk", "tie"])
 
-    def parts_of(b, pick):
-        """(items, dk, tie, anchor, loc, start and count within the items) of a block's unclear phrases."""
+    def parts_of(b, text, pick):
+        """Items of a block, and of its unclear phrases: dk, anchor, loc, start and count within the items."""
         dk, parts = b.column("dk").to_numpy(), b.column("parts")
-        ends = parts.offsets.to_numpy()
+        ends = parts.offsets.to_numpy()  # into the values of the whole batch, also for a slice
         a, loc, split = (parts.values.field(x).to_numpy() for x in range(3))
-        for row0, items, off, base in coder(b.column("text"), length):
+        for row0, items, off, base in coder(text, length):
             n = len(off) - 1
             row = np.repeat(np.arange(n), np.diff(ends[row0 : row0 + n + 1]))
             at = slice(ends[row0], ends[row0 + n])
@@ -192,8 +200,8 @@ def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, le
                 yield items, dk[row + row0], a[at][ok], (tied << 40) | (lo << COUNT_BITS) | (hi - lo), lo - base + off[row], hi - lo
 
     def bodies(batches):
-        for b in batches:
-            for items, dk, a, loc, start, count in parts_of(b, 1):
+        for b, text in unpacked(batches):
+            for items, dk, a, loc, start, count in parts_of(b, text, 1):
                 size = count + length - 1
                 flat = np.ascontiguousarray(items[ranges(start, size)])
                 ends = (np.concatenate([[0], np.cumsum(size)]) * flat.itemsize).astype(np.int32)
@@ -221,13 +229,13 @@ def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, le
             yield from done(rest)
 
     def windows(batches):
-        for b in batches:
-            for items, dk, _, loc, start, count in parts_of(b, 2):
+        for b, text in unpacked(batches):
+            for items, dk, _, loc, start, count in parts_of(b, text, 2):
                 h1, h2 = window_hashes(codes(items), ranges(start, count), length)
                 yield table_of(h1=h1, h2=h2, dk=np.repeat(dk, count), loc=(ranges(loc >> COUNT_BITS, count) << COUNT_BITS) | 1)
 
-    few = texts.mapInArrow(bodies, "a long, dk long, loc long, body binary").repartition("a").sortWithinPartitions("a").mapInArrow(settle, "dk long, loc long")
-    many = texts.mapInArrow(windows, "h1 long, h2 long, dk long, loc long").groupBy("h1", "h2").agg(F.min(F.struct("dk", "loc")).alias("f")).select("f.dk", "f.loc")
+    few = texts.where("exists(parts, x -> x.split = 1)").mapInArrow(bodies, "a long, dk long, loc long, body binary").repartition("a").sortWithinPartitions("a").mapInArrow(settle, "dk long, loc long")
+    many = texts.where("exists(parts, x -> x.split = 2)").mapInArrow(windows, "h1 long, h2 long, dk long, loc long").groupBy("h1", "h2").agg(F.min(F.struct("dk", "loc")).alias("f")).select("f.dk", "f.loc")
     new = entries.where("split = 0").select("dk", "loc").unionByName(few).unionByName(many).select("dk", "loc", F.lit(None).cast("long").alias("c"))
     # `c` is named only so that this reads the same exchange as `entries`
     events = (

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashing import FIRST, PIECE, byte_table, column_bytes, row_blocks, word_codes, word_spans
+from tessera.llm.hashing import FIRST, PIECE, byte_table, column_bytes, row_blocks, unpacked, word_codes, word_spans
 from tessera.llm.repeats import TOGETHER, covered, keyed, mark, repeated_windows
 from tessera.llm.suffix_dedup import runs_by_row
 
@@ -75,13 +75,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one id but different texts are ordered by a hash of the text; fully equal rows count as
     one document.  A NULL id counts as one more id.  An empty table gives no rows.
     """
-    keys = keyed(docs, id_col, text_col).repartition("dk", "tie")
+    keys = keyed(docs, id_col, text_col)
     found = repeated_windows(keys, word_blocks, same, np.uint64, length, seed_words, together)
     kind = found.schema["rest"].dataType
 
     def remove(batches):
-        for b in batches:
-            buf, off = column_bytes(b.column("text"))
+        for b, text in unpacked(batches):
+            buf, off = column_bytes(text)
             seen, new, rest = b.column("seen"), b.column("new"), b.column("rest")
             for lo, hi in row_blocks(off, 2 * PIECE):
                 part, o = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
@@ -102,7 +102,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     [rest.slice(lo, hi - lo), pa.array(np.diff(w)), pa.array(n_removed), spans, kept], names=["row", "n_words", "n_removed", "spans", "kept"]
                 )
 
-    return found.select("text", "rest", "seen", "new").mapInArrow(remove, f"row {kind.simpleString()}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    return found.select("dk", "tie", "rest", "packed", "size", "seen", "new").mapInArrow(remove, f"row {kind.simpleString()}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

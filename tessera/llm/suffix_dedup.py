@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashing import PIECE, byte_table, column_bytes, row_blocks
+from tessera.llm.hashing import PIECE, byte_table, column_bytes, row_blocks, unpacked
 from tessera.llm.repeats import TOGETHER, covered, keyed, mark, repeated_windows
 
 CODES = byte_table(20251)
@@ -71,13 +71,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document.  A NULL id counts as one more id.  An empty table gives no rows.  Texts of
     any length are read in pieces.
     """
-    keys = keyed(docs, id_col, text_col).repartition("dk", "tie")
+    keys = keyed(docs, id_col, text_col)
     found = repeated_windows(keys, byte_blocks, codes, np.uint8, length, trigger, together)
     kind = found.schema["rest"].dataType
 
     def remove(batches):
-        for b in batches:
-            buf, off = column_bytes(b.column("text"))
+        for b, text in unpacked(batches):
+            buf, off = column_bytes(text)
             seen, new, rest = b.column("seen"), b.column("new"), b.column("rest")
             for lo, hi in row_blocks(off, 8 * PIECE):
                 base, o = off[lo], off[lo : hi + 1] - off[lo]
@@ -97,7 +97,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     [rest.slice(lo, hi - lo), pa.array(size), pa.array(size - np.diff(kept_sum[o])), spans, kept_arr], names=["row", "n_bytes", "n_removed", "spans", "kept"]
                 )
 
-    return found.select("text", "rest", "seen", "new").mapInArrow(remove, f"row {kind.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return found.select("dk", "tie", "rest", "packed", "size", "seen", "new").mapInArrow(remove, f"row {kind.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:
