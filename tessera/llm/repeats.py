@@ -52,6 +52,7 @@ Codes = Callable[[np.ndarray], np.ndarray]
 #: Phrases whose anchor content occurs so often at most are compared in one place; those of more frequent anchors
 #: window by window, spread over all tasks.
 TOGETHER = 1000
+NOT_NULL = "{} is not null and {} is not null"
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,7 +63,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.coalesce(i, F.lit(0)).alias("dk"), tie.cast("long").alias("tie"), F.struct(*rest).alias("rest"), t.cast("string").alias("text"))
     kind = rows.schema["rest"].dataType.simpleString()
-    return rows.mapInArrow(pack_texts, f"dk long, tie long, rest {kind}, packed binary, size long").repartition("dk", "tie")
+    return rows.mapInArrow(pack_texts, f"dk long, tie long, rest {kind}, packed binary, size long").where(NOT_NULL.format("dk", "tie")).repartition("dk", "tie")
 
 
 def phrases(codes: np.ndarray, offsets: np.ndarray, length: int, k: int):
@@ -124,6 +125,15 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
 
 
+def loose(kind: pa.DataType) -> pa.DataType:
+    """The type with every nested field nullable, as Spark expects it back."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, loose(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, loose(kind.value_type)))
+    return kind
+
+
 def table_of(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == U64 else c) for c in columns.values()], names=list(columns))
 
@@ -170,12 +180,14 @@ def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, le
         for a, *_ in found_in(batches):
             yield table_of(a=a)
 
+    # Three readers of the phrases and three of the texts share one exchange each; for that, the columns they take and
+    # the filters below the exchange must be the same (joins would add IS NOT NULL to some).
     tie = F.shiftright("loc", 40).alias("tie")
     again = keys.mapInArrow(cut_anchors, "a long").groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-    seen = keys.mapInArrow(cut, "a long, c long, dk long, loc long").join(again, "a")
+    seen = keys.mapInArrow(cut, "a long, c long, dk long, loc long").where(F.expr(NOT_NULL.format("a", "c")) & F.col("dk").isNotNull() & F.shiftright("loc", 40).isNotNull()).join(again, "a")
     entries = seen.groupBy("a", "c").agg(F.min(F.struct("dk", "loc")).alias("f"), F.max("n").alias("n")).select("a", "f.dk", "f.loc", "n")
     # 0: alone with its anchor content; 1, 2: not, to be compared in one place or window by window
-    alone = entries.groupBy("a").agg(F.count("*").alias("entries"), F.max("n").alias("n")).select("a", F.when(F.col("entries") == 1, 0).when(F.col("n") <= together, 1).otherwise(2).alias("split"))
+    alone = entries.groupBy("a").agg(F.count("dk").alias("entries"), F.max("n").alias("n")).select("a", F.when(F.col("entries") == 1, 0).when(F.col("n") <= together, 1).otherwise(2).alias("split"))
     entries = entries.drop("n").join(alone, "a")
     unclear = entries.where("split > 0").groupBy("dk", tie).agg(F.collect_list(F.struct("a", "loc", "split")).alias("parts"))
     # all columns of `keys` stay in, so that both joins read one exchange of the texts
@@ -236,10 +248,10 @@ def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, le
 
     few = texts.where("exists(parts, x -> x.split = 1)").mapInArrow(bodies, "a long, dk long, loc long, body binary").repartition("a").sortWithinPartitions("a").mapInArrow(settle, "dk long, loc long")
     many = texts.where("exists(parts, x -> x.split = 2)").mapInArrow(windows, "h1 long, h2 long, dk long, loc long").groupBy("h1", "h2").agg(F.min(F.struct("dk", "loc")).alias("f")).select("f.dk", "f.loc")
-    new = entries.where("split = 0").select("dk", "loc").unionByName(few).unionByName(many).select("dk", "loc", F.lit(None).cast("long").alias("c"))
-    # `c` is named only so that this reads the same exchange as `entries`
+    new = entries.where("split = 0").select("dk", "loc").unionByName(few).unionByName(many).select("dk", "loc", F.lit(0).cast("long").alias("c"), F.lit(True).alias("is_new"))
+    # `unused` only makes this read the same columns of `seen` as `entries`
     events = (
-        seen.select("dk", "loc", "c").unionByName(new).groupBy("dk", tie)
-        .agg(F.collect_list(F.when(F.col("c").isNotNull(), F.col("loc"))).alias("seen"), F.collect_list(F.when(F.col("c").isNull(), F.col("loc"))).alias("new"))
+        seen.select("dk", "loc", "c", F.lit(False).alias("is_new")).unionByName(new).groupBy("dk", tie)
+        .agg(F.collect_list(F.when(~F.col("is_new"), F.col("loc"))).alias("seen"), F.collect_list(F.when(F.col("is_new"), F.col("loc"))).alias("new"), F.bit_xor("c").alias("unused"))
     )
     return keys.join(events, ["dk", "tie"], "left")

@@ -102,7 +102,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     [rest.slice(lo, hi - lo), pa.array(np.diff(w)), pa.array(n_removed), spans, kept], names=["row", "n_words", "n_removed", "spans", "kept"]
                 )
 
-    return found.select("dk", "tie", "rest", "packed", "size", "seen", "new").mapInArrow(remove, f"row {kind.simpleString()}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+    return found.select("dk", "tie", "rest", "packed", "size", "seen", "new", "unused").mapInArrow(remove, f"row {kind.simpleString()}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     [rest.slice(lo, hi - lo), pa.array(size), pa.array(size - np.diff(kept_sum[o])), spans, kept_arr], names=["row", "n_bytes", "n_removed", "spans", "kept"]
                 )
 
-    return found.select("dk", "tie", "rest", "packed", "size", "seen", "new").mapInArrow(remove, f"row {kind.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return found.select("dk", "tie", "rest", "packed", "size", "seen", "new", "unused").mapInArrow(remove, f"row {kind.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:
