@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, bpe, jaccard, packing, sharding, substring_dedup, suffix_dedup, vec_dedup
+from tessera.llm import ann, bpe, jaccard, licenses, packing, sharding, substring_dedup, suffix_dedup, toxicity, vec_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.digest(table(spark, sf_dir, "embeddings"))
 
@@ -35,6 +39,10 @@ def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
@@ -114,9 +122,11 @@ FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
+    "op3_toxicity_lexicon": (op3_toxicity_lexicon, None),
     "op4_adaptive_scan_ann": (op4_adaptive_scan_ann, None),
     "op5_external_shuffle": (op5_external_shuffle, None),
     "op6_substring_dedup": (op6_substring_dedup, OP6_SQL),
+    "op7_license_scan": (op7_license_scan, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_cross_polytope_dedup": (op9_cross_polytope_dedup, OP9_SQL),
     "op10_token_group_join": (op10_token_group_join, OP10_SQL),

@@ -62,14 +62,15 @@ def joined_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.
     return pa.Array.from_buffers(pa.string(), rows, [None, pa.py_buffer(off), pa.py_buffer(out)])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, seed_words: int = SEED_WORDS, together: int = TOGETHER) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, seed_words: int = SEED_WORDS, together: int = TOGETHER, layout: bool = False) -> DataFrame:
     """Remove every word covered by a window of `length` words that also starts earlier
     (smaller id, or same document, earlier start), judged on the input.  Words are runs of
     characters other than space and \\x09-\\x0D, unchanged.
 
     Returns the other columns of `docs` (which may have any names) in a struct `row`, and
     ``n_words``, ``n_removed``, ``spans`` (array of (start, end) in words of the maximal
-    repeats removed), ``n_spans`` and ``kept`` (the remaining words joined by one space).
+    repeats removed) and ``kept`` (the remaining words joined by one space; with `layout`, a
+    text that loses nothing stays as it is).
 
     NULL and empty texts have no words; texts under `length` words lose nothing.  Rows with
     one id but different texts are ordered by a hash of the text; fully equal rows count as
@@ -98,6 +99,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 word_row = np.repeat(np.arange(hi - lo), np.diff(w))[keep]
                 kept = joined_words(part, starts[keep], ends[keep], word_row, hi - lo)
                 n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[w])
+                if layout:
+                    kept = pa.array([kept[r].as_py() if n_removed[r] else part[o[r] : o[r + 1]].tobytes().decode() for r in range(hi - lo)], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [rest.slice(lo, hi - lo), pa.array(np.diff(w)), pa.array(n_removed), spans, kept], names=["row", "n_words", "n_removed", "spans", "kept"]
                 )
@@ -105,6 +108,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("dk", "tie", "rest", "packed", "size", "seen", "new", "unused").mapInArrow(remove, f"row {kind.simpleString()}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
+    """`docs` with their columns, the text without its repeats and, where there is a column
+    `chars_col`, the number of characters brought up to date.  No row goes; a text that loses
+    nothing stays as it is, and a NULL text becomes empty."""
+    out = substring_dedup(docs, id_col, text_col, layout=True, **options)
+    at = {text_col: F.col("kept")} | ({chars_col: F.length("kept").cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
+    return out.select(*(at.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns for `documents`."""
     out = substring_dedup(docs.select("doc_id", "text"))
