@@ -51,7 +51,7 @@ Coder = Callable[[pa.Array, int], Iterator[tuple[int, np.ndarray, np.ndarray, in
 Codes = Callable[[np.ndarray], np.ndarray]
 #: Phrases whose anchor content occurs so often at most are compared in one place; those of more frequent anchors
 #: window by window, spread over all tasks.
-TOGETHER = 1000
+TOGETHER = 1 << 15
 NOT_NULL = "{} is not null and {} is not null"
 
 
@@ -183,12 +183,15 @@ def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, le
     # Three readers of the phrases and three of the texts share one exchange each; for that, the columns they take and
     # the filters below the exchange must be the same (joins would add IS NOT NULL to some).
     tie = F.shiftright("loc", 40).alias("tie")
-    again = keys.mapInArrow(cut_anchors, "a long").groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-    seen = keys.mapInArrow(cut, "a long, c long, dk long, loc long").where(F.expr(NOT_NULL.format("a", "c")) & F.col("dk").isNotNull() & F.shiftright("loc", 40).isNotNull()).join(again, "a")
+    again = keys.mapInArrow(cut_anchors, "a long").groupBy(F.bitwise_not("a").alias("b")).agg(F.count("*").alias("n")).where("n > 1")
+    # joined on ~a, so that the grouping by (a, c) below has a shuffle of its own: a frequent anchor can then be split
+    # by the join, and its equal phrases are added up before they move
+    seen = keys.mapInArrow(cut, "a long, c long, dk long, loc long").where(F.expr(NOT_NULL.format("a", "c")) & F.col("dk").isNotNull() & F.shiftright("loc", 40).isNotNull()).join(again, F.bitwise_not("a") == F.col("b"))
     entries = seen.groupBy("a", "c").agg(F.min(F.struct("dk", "loc")).alias("f"), F.max("n").alias("n")).select("a", "f.dk", "f.loc", "n")
     # 0: alone with its anchor content; 1, 2: not, to be compared in one place or window by window
-    alone = entries.groupBy("a").agg(F.count("dk").alias("entries"), F.max("n").alias("n")).select("a", F.when(F.col("entries") == 1, 0).when(F.col("n") <= together, 1).otherwise(2).alias("split"))
-    entries = entries.drop("n").join(alone, "a")
+    alone = entries.groupBy("a").agg(F.count("dk").alias("entries"), F.max("n").alias("most"))
+    split = F.when(F.col("entries") == 1, 0).when(F.greatest("n", "most") <= together, 1).otherwise(2).alias("split")
+    entries = entries.join(alone, "a").select("a", "dk", "loc", split)
     unclear = entries.where("split > 0").groupBy("dk", tie).agg(F.collect_list(F.struct("a", "loc", "split")).alias("parts"))
     # all columns of `keys` stay in, so that both joins read one exchange of the texts
     texts = keys.join(unclear, ["dk", "tie"])
