@@ -62,10 +62,28 @@ def erfc_sql(z: str) -> str:
     return f"({t} * exp(-({z}) * ({z}) + ({ERFC_COEFFS[0]}) + {t} * {acc}))"
 
 
-def chi2_sf(x: Column, dof: Column) -> Column:
-    """P(χ²_dof > x) for integer dof >= 1; x = +inf → 0; x <= 0 → 1."""
-    x = x.cast("double")
-    dof = dof.cast("int")
+# Above this many degrees of freedom the finite series (dof / 2 terms) gives way to Temme's
+# uniform expansion, whose size does not depend on the degrees of freedom (error below 1e-7 there).
+CHI2_SERIES_DOF = 200
+# The series is 0 to double precision beyond this statistic, for every dof it serves.
+CHI2_SERIES_X = 1400.0
+
+# Taylor coefficients at 0 of the first two functions of Temme's expansion.
+TEMME_C0 = (-1 / 3, 1 / 12, -2 / 135, 1 / 864)
+TEMME_C1 = (-1 / 540, -1 / 288, 1 / 378)
+
+
+def _poly(coeffs, x):
+    acc = coeffs[-1]
+    for c in reversed(coeffs[:-1]):
+        acc = c + x * acc
+    return acc
+
+
+def _chi2_series(x: Column, dof: Column) -> Column:
+    """Poisson tail (even dof) or erfc plus a finite series (odd dof); at most CHI2_SERIES_DOF / 2 terms."""
+    x = F.least(x, F.lit(CHI2_SERIES_X))
+    dof = F.least(dof, F.lit(CHI2_SERIES_DOF))
     half = x / 2.0
     # even dof: e^{-x/2} Σ_{i=0}^{dof/2-1} (x/2)^i / i!
     h_even = (dof / 2).cast("int")
@@ -83,7 +101,36 @@ def chi2_sf(x: Column, dof: Column) -> Column:
                              (acc["s"] + F.when(i == 1, F.sqrt(x)).otherwise(acc["u"] * x / (2 * i - 1)))
                              .alias("s"))).otherwise(acc))["s"]
     odd = erfc(F.sqrt(half)) + math.sqrt(2 / math.pi) * F.exp(-half) * series
-    p = F.when(dof % 2 == 0, even).otherwise(odd)
+    return F.when(dof % 2 == 0, even).otherwise(odd)
+
+
+def _chi2_uniform(x: Column, dof: Column) -> Column:
+    """Temme's expansion of Q(a, x/2), a = dof/2: erfc(η sqrt(a/2))/2 + e^{-aη²/2}/sqrt(2πa) (c0 + c1/a)."""
+    a = dof.cast("double") / 2.0
+    lam = x / 2.0 / a
+    mu = lam - 1.0
+    half_eta2 = F.greatest(mu - F.log(lam), F.lit(0.0))
+    eta = F.signum(mu) * F.sqrt(2.0 * half_eta2)
+    near = F.abs(mu) < 0.05
+    c0 = F.when(near, _poly(TEMME_C0, eta)).otherwise(1.0 / mu - 1.0 / eta)
+    c1 = F.when(near, _poly(TEMME_C1, eta)).otherwise(
+        1.0 / (eta * eta * eta) - 1.0 / (mu * mu * mu) - 1.0 / (mu * mu) - 1.0 / (12.0 * mu))
+    half_tail = erfc(F.sqrt(a * half_eta2)) / 2.0
+    rest = F.exp(-a * half_eta2) / F.sqrt(2.0 * math.pi * a) * (c0 + c1 / a)
+    return F.when(mu >= 0, half_tail).otherwise(1.0 - half_tail) + rest
+
+
+def chi2_sf(x: Column, dof: Column) -> Column:
+    """P(χ²_dof > x) for integer dof >= 1; x = +inf → 0; x <= 0 → 1.
+
+    The expression has a fixed size for any dof: a series of at most
+    CHI2_SERIES_DOF / 2 terms, or the uniform expansion above that.
+    """
+    x = x.cast("double")
+    dof = dof.cast("long")
+    inside = F.when(x.isNull() | (x <= 0) | (x == float("inf")), F.lit(1.0)).otherwise(x)
+    series = F.when(inside > CHI2_SERIES_X, F.lit(0.0)).otherwise(_chi2_series(inside, dof))
+    p = F.when(dof <= CHI2_SERIES_DOF, series).otherwise(_chi2_uniform(inside, dof))
     return (F.when(x.isNull() | dof.isNull() | (dof < 1), F.lit(None))
             .when(x == float("inf"), F.lit(0.0))
             .when(x <= 0, F.lit(1.0))
@@ -91,15 +138,15 @@ def chi2_sf(x: Column, dof: Column) -> Column:
 
 
 def chi2_sf_sql(x: str, dof: str) -> str:
+    """The exact finite sums in log space, whatever the dof: independent of the expansion."""
     half = f"(({x}) / 2.0)"
     # even: Σ_{i=0}^{h-1} exp(-x/2) (x/2)^i / i!  computed as exp(i*ln(x/2) - lgamma(i+1) - x/2)
     even = (f"list_sum(list_transform(range(0, ({dof}) // 2), "
             f"lambda i: exp(i * ln({half}) - lgamma(i + 1) - {half})))")
-    # odd: x^{(2i-1)/2} / (1·3···(2i-1)) = exp((2i-1)/2 ln x - (lgamma(2i+1) - i ln 2 - lgamma(i+1)))
+    # odd: erfc + Σ exp((i-1/2) ln(x/2) - x/2 - lgamma(i+1/2))
     odd_series = (f"coalesce(list_sum(list_transform(range(1, (({dof}) - 1) // 2 + 1), "
-                  f"lambda i: exp((2 * i - 1) / 2.0 * ln({x}) - (lgamma(2 * i + 1) - i * ln(2) - lgamma(i + 1))))),"
-                  f" 0.0)")
-    odd = f"({erfc_sql(f'sqrt({half})')} + {math.sqrt(2 / math.pi)} * exp(-{half}) * {odd_series})"
+                  f"lambda i: exp((i - 0.5) * ln({half}) - {half} - lgamma(i + 0.5)))), 0.0)")
+    odd = f"({erfc_sql(f'sqrt({half})')} + {odd_series})"
     return (f"(case when ({x}) = 'inf'::double then 0.0 when ({x}) <= 0 then 1.0 "
             f"else least(greatest(case when ({dof}) % 2 = 0 then {even} else {odd} end, 0.0), 1.0) end)")
 

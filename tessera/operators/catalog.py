@@ -59,18 +59,19 @@ def filter_dynamic(df: DataFrame, filters: Mapping[str, object], order: Sequence
     preds = [F.col(k) == F.lit(v) for k, v in filters.items() if v is not None]
     out = df.where(reduce(lambda a, b: a & b, preds)) if preds else df
     out = out.orderBy(*order)
-    return out.limit(limit) if limit else out
+    return out.limit(limit) if limit is not None else out
 
 
 def filter_name_stage(df: DataFrame, name_filter: str | None, stage: str | None, order: Sequence[Column],
-                      limit: int = 100, name_col: str = "model_name", stage_col: str = "model_stage") -> DataFrame:
+                      limit: int | None = None, name_col: str = "model_name", stage_col: str = "model_stage") -> DataFrame:
     """Case-insensitive substring on the name, equality on stage; ordered before the limit."""
     out = df
     if name_filter:
         out = out.where(F.lower(F.col(name_col)).contains(name_filter.lower()))
     if stage:
         out = out.where(F.col(stage_col) == stage)
-    return out.orderBy(*order).limit(limit)
+    out = out.orderBy(*order)
+    return out.limit(limit) if limit is not None else out
 
 
 def filter_time_range(df: DataFrame, ts_col: str, as_of, days: int) -> DataFrame:
@@ -82,28 +83,22 @@ def filter_time_range(df: DataFrame, ts_col: str, as_of, days: int) -> DataFrame
     return df.where((F.col(ts_col) >= start) & (F.col(ts_col) <= end))
 
 
-BROADCAST_KEYS_MAX = 1_000_000
-
-
 def lookup_keys(df: DataFrame, key_col: str, keys: Iterable, key_type: str | None = None) -> DataFrame:
     """All rows of the given keys (absent keys → no rows).
 
-    The key list comes from the caller, so its size is known: up to
-    ``BROADCAST_KEYS_MAX`` keys it is broadcast to a semi join (one pass over
-    ``df``, no shuffle of ``df``); a longer list is left to a shuffle join.
+    A semi join without a hint: it is a broadcast join where the list is measured to
+    be small, and a shuffle join otherwise.
     """
     spark = df.sparkSession
     keys = list(keys)
     dt = key_type or df.schema[key_col].dataType.simpleString()
     ids = spark.createDataFrame([(k,) for k in keys], f"__key {dt}")
-    if len(keys) <= BROADCAST_KEYS_MAX:
-        ids = F.broadcast(ids)
     return df.join(ids, df[key_col] == ids["__key"], "left_semi")
 
 
 def prediction_log_scan(df: DataFrame, model_name: str | None = None, start=None, end=None,
-                        limit: int = 1000, ts_col: str = "timestamp", id_col: str = "prediction_id") -> DataFrame:
-    """Filter by model and inclusive time range, newest first, limit n."""
+                        limit: int | None = None, ts_col: str = "timestamp", id_col: str = "prediction_id") -> DataFrame:
+    """Filter by model and inclusive time range, newest first; all rows unless ``limit`` is given."""
     out = df
     if model_name is not None:
         out = out.where(F.col("model_name") == model_name)
@@ -111,11 +106,13 @@ def prediction_log_scan(df: DataFrame, model_name: str | None = None, start=None
         out = out.where(F.col(ts_col) >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         out = out.where(F.col(ts_col) <= F.lit(end).cast("timestamp_ntz"))
-    return out.orderBy(F.col(ts_col).desc(), F.col(id_col).desc()).limit(limit)
+    out = out.orderBy(F.col(ts_col).desc(), F.col(id_col).desc())
+    return out.limit(limit) if limit is not None else out
 
 
 # ---------------------------------------------------------------- stages
 
+# The stages and their order.
 STAGE_RANK = {"None": 0, "Staging": 1, "Production": 2, "Archived": 3}
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.catalog import latest_per_key
-from tessera.operators.ranks import exact_quantiles, prefix_sums
+from tessera.operators.ranks import _attach, exact_quantiles, prefix_sums
 
 # Histogram bucket upper bounds (seconds).
 LATENCY_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
@@ -135,7 +135,8 @@ def latency_summary(df: DataFrame, keys: Sequence[str], ts: str, latency: str, a
         q = df.groupBy(*keys).agg(F.percentile_approx(latency, [0.95, 0.99], 10_000).alias("quantiles"))
     else:
         q = exact_quantiles(df, keys, latency, [0.95, 0.99])
-    return base.join(q, keys, "left").select(
+    # null-safe: a NULL key is a key of its own
+    return _attach(base, q, keys).select(
         *keys, "total_predictions", "start", "end", "mean_ms",
         F.col("quantiles")[0].alias("p95_ms"), F.col("quantiles")[1].alias("p99_ms"))
 
@@ -271,7 +272,7 @@ def rolling_accuracy(df: DataFrame, keys: Sequence[str], order: Sequence[str], c
     keys = list(keys)
     ranked = _ranked(df.withColumn("__c", correct.cast("double")), keys, order, ["__c"])
     back = ranked.select(*keys, (F.col("rank") + k).alias("rank"), F.col("cum___c").alias("__back"))
-    j = ranked.join(back, [*keys, "rank"], "left")
+    j = _attach(ranked, back, [*keys, "rank"])
     acc = (F.col("cum___c") - F.coalesce(F.col("__back"), F.lit(0.0))) / F.least(F.col("rank"), F.lit(k))
     return j.withColumn("rolling_accuracy", acc).drop("__c", "cum___c", "__back", "n_rows")
 

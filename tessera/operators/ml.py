@@ -22,10 +22,9 @@ from typing import Callable, Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,20 +79,24 @@ def _log_uniform(rng: random.Random, lo: float, hi: float) -> float:
     return math.exp(rng.uniform(math.log(lo), math.log(hi)))
 
 
+# Fixed value: the deepest tree that Spark ML grows.
+MAX_TREE_DEPTH = 30
+
+
 def _rf(p):
-    return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=min(int(p.get("max_depth", 10)),
-                                                                                        30),
+    depth = int(p.get("max_depth", 10))
+    if depth > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {depth} is over {MAX_TREE_DEPTH}, the deepest tree that can be grown")
+    return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=depth,
                                   featureSubsetStrategy=str(p.get("max_features", "sqrt")),
                                   seed=SEED, featuresCol="features", labelCol="label")
 
 
-def _gbt(preset):
-    def build(p):
-        return GBTClassifier(maxIter=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 5)),
-                             stepSize=float(p.get("learning_rate", 0.1)),
-                             subsamplingRate=float(p.get("subsample", 1.0)), seed=SEED,
-                             featuresCol="features", labelCol="label")
-    return build
+def _gbt(p):
+    return GBTClassifier(maxIter=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 5)),
+                         stepSize=float(p.get("learning_rate", 0.1)),
+                         subsamplingRate=float(p.get("subsample", 1.0)), seed=SEED,
+                         featuresCol="features", labelCol="label")
 
 
 def _lr_builder(n_rows: int):
@@ -115,7 +118,11 @@ def _mlp_builder(n_features: int, n_classes: int):
 
 
 def trainers(n_rows: int = 1, n_features: int = 1, n_classes: int = 2) -> dict[str, Trainer]:
-    """Model types and their parameter ranges (seeded random draws)."""
+    """Model types and their parameter ranges (seeded random draws).
+
+    The names and the ranges are fixed values.  The three boosting names are one
+    estimator: no other boosting library is used.
+    """
     def rf_space(r):
         return {"n_estimators": r.randint(50, 500), "max_depth": r.randint(3, 20),
                 "max_features": r.choice(["sqrt", "log2", "all"])}
@@ -133,9 +140,9 @@ def trainers(n_rows: int = 1, n_features: int = 1, n_classes: int = 2) -> dict[s
 
     return {
         "random_forest": Trainer("random_forest", _rf, rf_space),
-        "xgboost": Trainer("xgboost", _gbt("xgboost"), gbt_space),
-        "lightgbm": Trainer("lightgbm", _gbt("lightgbm"), gbt_space),
-        "gradient_boosting": Trainer("gradient_boosting", _gbt("gradient_boosting"), gbt_space),
+        "xgboost": Trainer("xgboost", _gbt, gbt_space),
+        "lightgbm": Trainer("lightgbm", _gbt, gbt_space),
+        "gradient_boosting": Trainer("gradient_boosting", _gbt, gbt_space),
         "logistic_regression": Trainer("logistic_regression", _lr_builder(n_rows), lr_space),
         "neural_network": Trainer("neural_network", _mlp_builder(n_features, n_classes), mlp_space),
     }
@@ -163,41 +170,74 @@ def with_label(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("label", F.col(label).cast("double"))
 
 
-def f1_evaluator() -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="f1")
+# The names of the tuning metrics and the evaluator metrics they stand for.
+OPTIMIZATION_METRICS = {"accuracy": "accuracy", "precision": "weightedPrecision", "recall": "weightedRecall",
+                        "f1_score": "f1", "f1": "f1", "roc_auc": "areaUnderROC"}
+
+
+def evaluator_for(metric: str = "f1_score"):
+    if metric not in OPTIMIZATION_METRICS:
+        raise ValueError(f"unknown optimization metric {metric!r}; one of {sorted(OPTIMIZATION_METRICS)}")
+    name = OPTIMIZATION_METRICS[metric]
+    if name == "areaUnderROC":
+        return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName=name)
+    return MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName=name)
 
 
 def tune(train: DataFrame, estimator_for: Callable[[dict], object], space: Callable[[random.Random], dict],
          prep_stages: list, n_trials: int = 10, fold_col: str = "fold", seed: int = SEED,
-         parallelism: int = 4, n_folds: int | None = None) -> tuple[PipelineModel, dict, float]:
-    """Random search over ``space`` with k-fold CV on ``fold_col``; returns the refit model,
-    the best parameters and their mean CV F1.
+         parallelism: int = 4, n_folds: int | None = None, metric: str = "f1_score") -> tuple[dict, float]:
+    """Random search over ``space`` with k-fold CV on ``fold_col``: the best parameters and
+    their mean ``metric`` over the folds.
 
-    All trials share one estimator class; their parameter maps form the grid, and
-    ``CrossValidator`` fits them ``parallelism`` at a time.
+    ``train`` holds the training rows only.  Preprocessing is fitted within each fold, on
+    its training part, once for all draws; the draws of a fold are fitted ``parallelism``
+    at a time.  The caller refits the winner.
     """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import StorageLevel, inheritable_thread_target
+
     rng = random.Random(seed)
     draws = [space(rng) for _ in range(n_trials)]
-    base = estimator_for(draws[0])
-    grid = []
-    for d in draws:
-        est = estimator_for(d)
-        grid.append({base.getParam(p.name): v for p, v in est.extractParamMap().items()
-                     if base.hasParam(p.name) and p.name not in ("featuresCol", "labelCol")})
+    estimators = [estimator_for(d) for d in draws]
     if n_folds is None:
         n_folds = int(train.agg(F.max(fold_col)).first()[0]) + 1
-    cv = CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=f1_evaluator(), foldCol=fold_col,
-                        numFolds=n_folds, parallelism=parallelism, seed=seed)
-    prep = Pipeline(stages=prep_stages).fit(train)
-    cvm = cv.fit(prep.transform(train))
-    best = int(max(range(len(cvm.avgMetrics)), key=lambda i: cvm.avgMetrics[i]))
-    model = PipelineModel(stages=[*prep.stages, cvm.bestModel])
-    return model, draws[best], float(cvm.avgMetrics[best])
+    scores = [[] for _ in draws]
+    evaluator = evaluator_for(metric)
+    for fold in range(n_folds):
+        prep = Pipeline(stages=prep_stages).fit(train.where(F.col(fold_col) != fold))
+        ready = prep.transform(train).select("features", "label", fold_col).persist(StorageLevel.MEMORY_AND_DISK)
+        seen, held = ready.where(F.col(fold_col) != fold), ready.where(F.col(fold_col) == fold)
+
+        def one(est, seen=seen, held=held):
+            return float(evaluator.evaluate(est.fit(seen).transform(held)))
+
+        try:
+            with ThreadPool(parallelism) as pool:
+                for into, value in zip(scores, pool.map(inheritable_thread_target(one), estimators), strict=True):
+                    into.append(value)
+        finally:
+            ready.unpersist()
+    means = [sum(v) / len(v) for v in scores]
+    best = max(range(len(means)), key=means.__getitem__)
+    return draws[best], means[best]
 
 
 def evaluate(model: PipelineModel, test: DataFrame, binary: bool) -> dict:
-    """accuracy, weighted precision/recall/F1, count; ROC AUC and log loss if binary."""
+    """accuracy, weighted precision/recall/F1, count; ROC AUC and log loss if binary; the
+    confusion matrix as ``confusion_<actual>_<predicted>`` counts.  The test rows are scored once."""
+    from pyspark import StorageLevel
+
     scored = model.transform(test).withColumn("p1", vector_to_array("probability")[1] if binary else F.lit(None))
+    scored = scored.select("label", "prediction", "p1").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _evaluated(scored, binary)
+    finally:
+        scored.unpersist()
+
+
+def _evaluated(scored: DataFrame, binary: bool) -> dict:
     m = classification_metrics(scored, "label", "prediction").first().asDict()
     out = {k: float(v) for k, v in m.items() if k != "prediction_count" and v is not None}
     out["prediction_count"] = float(m["prediction_count"])
@@ -206,6 +246,9 @@ def evaluate(model: PipelineModel, test: DataFrame, binary: bool) -> dict:
         if auc and auc["roc_auc"] is not None:
             out["roc_auc"] = float(auc["roc_auc"])
         out["log_loss"] = float(log_loss(scored, "label", "p1").first()["log_loss"])
+    # classes squared at most: bounded by the model's number of classes
+    for r in scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[f"confusion_{int(r['label'])}_{int(r['prediction'])}"] = float(r["n"])
     return out
 
 
@@ -239,10 +282,13 @@ class RunResult:
 def train_pipeline(df: DataFrame, label: str, id_cols: Sequence[str], numeric: Sequence[str],
                    categorical: Sequence[str] = (), model_type: str = "random_forest", n_trials: int = 5,
                    cv_folds: int = 3, seed: int = SEED, parallelism: int = 4,
-                   split: DataFrame | None = None, params: Mapping[str, object] | None = None) -> RunResult:
+                   split: DataFrame | None = None, params: Mapping[str, object] | None = None,
+                   metric: str = "f1_score", test_size: float = 0.15, validation_size: float = 0.15) -> RunResult:
     """split → tune on train (k folds) → refit on train+validation → evaluate on test.
 
-    With ``params`` the search is skipped and those parameters are used as given.
+    ``metric`` picks the winner of the search; ``test_size`` and ``validation_size`` are
+    shares of all rows.  Validation and test rows never reach the search.  With
+    ``params`` the search is skipped and those parameters are used as given. 
     """
     from pyspark import StorageLevel
 
@@ -252,32 +298,36 @@ def train_pipeline(df: DataFrame, label: str, id_cols: Sequence[str], numeric: S
     try:
         # iterative estimators re-read their input every iteration: keep the split and
         # the folds materialised (memory, spilling to disk) for the duration of the run
-        data = split if split is not None else stratified_split(with_label(df, label), "label", id_cols, seed=seed)
+        if not (0 < test_size < 1 and 0 <= validation_size < 1 and test_size + validation_size < 1):
+            raise ValueError("test_size and validation_size must leave a training part")
+        data = split if split is not None else stratified_split(
+            with_label(df, label), "label", id_cols, 1 - test_size - validation_size, validation_size, seed)
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(data)
         trainval = data.where(F.col("split") != "test")
-        folds = stratified_folds(trainval.drop("split"), "label", id_cols, cv_folds, seed).persist(
-            StorageLevel.MEMORY_AND_DISK)
-        cached.append(folds)
-        n_rows = folds.count()
+        train = data.where(F.col("split") == "train")
+        n_rows = train.count()
         n_classes = int(data.agg(F.max("label")).first()[0]) + 1
         n_feat = len(numeric) + len(categorical)
         tr = trainers(n_rows, n_feat, n_classes)[model_type]
         if params is not None:
-            best, cv_f1 = dict(params), float("nan")
+            best, cv_score = dict(params), float("nan")
         else:
             prep = feature_pipeline(numeric, categorical)
-            _, best, cv_f1 = tune(folds, tr.build, tr.space, prep, n_trials, "fold", seed, parallelism, cv_folds)
+            folds = stratified_folds(train.drop("split"), "label", id_cols, cv_folds, seed).persist(
+                StorageLevel.MEMORY_AND_DISK)
+            cached.append(folds)
+            best, cv_score = tune(folds, tr.build, tr.space, prep, n_trials, "fold", seed, parallelism, cv_folds, metric)
         # refit the winner on train + validation
         final = Pipeline(stages=[*feature_pipeline(numeric, categorical), tr.build(best)]).fit(trainval)
         metrics = evaluate(final, data.where(F.col("split") == "test"), n_classes == 2)
-        if cv_f1 == cv_f1:  # not NaN
-            metrics["cv_f1"] = cv_f1
+        if cv_score == cv_score:  # not NaN
+            metrics[f"cv_{metric}"] = cv_score
         names = [*numeric, *categorical]
         return RunResult(run_id, model_type, "completed", metrics, {k: str(v) for k, v in best.items()},
                          feature_importance(final, names), final, started, time.time())
     except Exception as e:  # noqa: BLE001  -- failures are kept as rows (compare_models)
-        return RunResult(run_id, model_type, "failed", {}, {}, [], None, started, time.time(), str(e)[:500])
+        return RunResult(run_id, model_type, "failed", {}, {}, [], None, started, time.time(), str(e))
     finally:
         for c in cached:
             c.unpersist()
@@ -362,7 +412,7 @@ def linear_contributions(df: DataFrame, coefficients: Mapping[str, float], inter
     """Exact additive explanation of a linear (logit) model: β_j · (x_j − mean_j).
 
     ``baseline`` = intercept + Σ β_j·mean_j; contributions sorted by |value|
-    descending (T3) with ``array_sort`` and a comparator -- per row, no shuffle.
+    descending (T3) by ``array_sort`` in natural order -- per row, no shuffle.
     """
     names = list(coefficients)
     if isinstance(means, DataFrame):
@@ -379,10 +429,11 @@ def linear_contributions(df: DataFrame, coefficients: Mapping[str, float], inter
                                   .alias("contribution")) for n in names])
     # materialise the (subquery-using) array first: a lambda's input may not hold a subquery
     df = df.withColumn("baseline", baseline).withColumn("__contribs", contribs)
-    ordered = F.array_sort("__contribs", lambda a, b: F.when(F.abs(a["contribution"]) > F.abs(b["contribution"]), -1)
-                           .when(F.abs(a["contribution"]) < F.abs(b["contribution"]), 1)
-                           .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1)
-                           .otherwise(0))
+    # natural struct order on (-|c|, feature, ...), then the sort key goes
+    keyed = F.transform("__contribs", lambda c: F.struct((-F.abs(c["contribution"])).alias("k"), c["feature"].alias("feature"),
+                                                         c["value"].alias("value"), c["contribution"].alias("contribution")))
+    ordered = F.transform(F.array_sort(keyed), lambda c: F.struct(c["feature"].alias("feature"), c["value"].alias("value"),
+                                                                  c["contribution"].alias("contribution")))
     return df.withColumn("contributions", ordered).drop("__contribs", *[f"__mean_{n}" for n in names])
 
 

@@ -272,25 +272,14 @@ def schema_diff_many(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return e.join(a, ["dataset", "column_name"], "left_anti")
 
 
-def invalid_values(df: DataFrame, column: str, allowed: Sequence, inline_limit: int = 1000,
-                   broadcast_limit: int = 1_000_000) -> DataFrame:
-    """Distinct non-null values of ``column`` outside ``allowed``.
-
-    Short lists stay an ``isin`` inside codegen; longer ones become an anti join,
-    broadcast while the list (which came from the driver, so its size is known)
-    stays under ``broadcast_limit``.
-    """
-    c = col_(column)
-    vals = df.select(c.alias("value")).where(F.col("value").isNotNull())
-    allowed = list(allowed)
-    if len(allowed) <= inline_limit:
-        return vals.where(~F.col("value").isin(allowed)).distinct()
-    spark = df.sparkSession
-    dt = df.schema[column].dataType
-    allowed_df = spark.createDataFrame([(a,) for a in allowed], T.StructType([T.StructField("value", dt)]))
-    if len(allowed) <= broadcast_limit:
-        allowed_df = F.broadcast(allowed_df)
-    return vals.distinct().join(allowed_df, "value", "left_anti")
+def invalid_values(df: DataFrame, column: str, allowed: Sequence) -> DataFrame:
+    """Distinct non-null values of ``column`` outside ``allowed``: an anti join of the
+    distinct values, whatever the length of the list (no hint: a broadcast join where it
+    is measured to be small)."""
+    vals = df.select(col_(column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    allowed_df = df.sparkSession.createDataFrame(
+        [(a,) for a in allowed], T.StructType([T.StructField("value", df.schema[column].dataType)]))
+    return vals.join(allowed_df, "value", "left_anti")
 
 
 def zscore_anomalies(

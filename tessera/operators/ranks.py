@@ -35,6 +35,11 @@ from tessera.session import checkpoint_dir
 PID = "__pid"
 
 
+def _same_key(a: tuple, b: tuple) -> bool:
+    """Equal keys, where NULL equals NULL."""
+    return all((x == y) or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b, strict=True))
+
+
 def _local_cumsum(keys: list[str], values: list[str]):
     """Running sums inside one sorted partition, carried across Arrow batches."""
 
@@ -45,8 +50,9 @@ def _local_cumsum(keys: list[str], values: list[str]):
                 yield pdf.assign(**{f"cum_{v}": pd.Series(dtype="float64") for v in values})
                 continue
             kv = pdf[[PID] + keys]
-            new_group = (kv != kv.shift()).any(axis=1).to_numpy()
-            continues = carry_key is not None and tuple(kv.iloc[0]) == carry_key
+            before = kv.shift()
+            new_group = ((kv != before) & ~(kv.isna() & before.isna())).any(axis=1).to_numpy()
+            continues = carry_key is not None and _same_key(tuple(kv.iloc[0]), carry_key)
             new_group[0] = True
             gid = np.cumsum(new_group)
             out = {}
@@ -74,7 +80,7 @@ def prefix_sums(
     """Inclusive running sums ``cum_<v>`` of ``values`` over ``order`` within ``keys``,
     plus ``total_<v>``, the sum over the whole key.
 
-    ``order`` is one column or a list (lexicographic).  ``df`` should hold one row
+    ``order`` is one column or a list (lexicographic).  A NULL key is a key of its own.  ``df`` should hold one row
     per (keys, order) -- pre-aggregate first, so the shuffle moves distinct
     values, not raw rows.  Sums are doubles.  Key totals come from the small
     per-partition table, so callers need no second pass over the ranked rows.
@@ -84,9 +90,9 @@ def prefix_sums(
     keys, values = list(keys), list(values)
     order = [order] if isinstance(order, str) else list(order)
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     checkpoint_dir(spark)
-    ranged = (df.repartitionByRange(n, *keys, *order)
+    # without a count adaptive execution sizes the partitions
+    ranged = (df.repartitionByRange(*([num_partitions] if num_partitions else []), *keys, *order)
               .sortWithinPartitions(*keys, *order)
               .checkpoint(eager=True)
               .withColumn(PID, F.spark_partition_id()))

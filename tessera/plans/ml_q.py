@@ -12,16 +12,20 @@ from tessera.operators import ml as ML
 from tessera.plans.common import query, r6, round_doubles, tbl
 from tessera.session import scratch_path
 
-EMB_DIMS = 16
-EMB_FEATURES = [f"e{i}" for i in range(EMB_DIMS)]
 LI_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+def _features(spark, sf):
+    """One feature for each dimension of the embeddings."""
+    n = tbl(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    return [f"e{i}" for i in range(n or 0)]
+
+
 def _embeddings(spark, sf):
-    """Embeddings as a binary task (label < 5) over the first 16 dimensions."""
+    """Embeddings as a binary task (label < 5) over all of their dimensions."""
     e = tbl(spark, sf, "embeddings")
-    return e.select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"e{i}")
-                                for i in range(EMB_DIMS)], (F.col("label") < 5).cast("int").alias("y"))
+    return e.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(name)
+                                for i, name in enumerate(_features(spark, sf))], (F.col("label") < 5).cast("int").alias("y"))
 
 
 @query("stratified_split", """
@@ -58,7 +62,7 @@ RUN_PARAMS = {
 
 
 def _run(spark, sf, model_type, n_trials=2, folds=2):
-    r = ML.train_pipeline(_embeddings(spark, sf), "y", ["vec_id"], EMB_FEATURES, (), model_type, n_trials, folds,
+    r = ML.train_pipeline(_embeddings(spark, sf), "y", ["vec_id"], _features(spark, sf), (), model_type, n_trials, folds,
                           params=RUN_PARAMS.get(model_type))
     if r.status != "completed":
         raise RuntimeError(r.error)
@@ -93,8 +97,8 @@ def tune(spark, sf):
     """Random search with stratified k-fold CV (foldCol) for logistic regression."""
     data = ML.with_label(_embeddings(spark, sf), "y")
     folds = ML.stratified_folds(data, "label", ["vec_id"], 3).persist()
-    tr = ML.trainers(folds.count(), EMB_DIMS, 2)["logistic_regression"]
-    _, best, cv_f1 = ML.tune(folds, tr.build, tr.space, ML.feature_pipeline(EMB_FEATURES), n_trials=4)
+    tr = ML.trainers(folds.count(), len(_features(spark, sf)), 2)["logistic_regression"]
+    best, cv_f1 = ML.tune(folds, tr.build, tr.space, ML.feature_pipeline(_features(spark, sf)), n_trials=4)
     folds.unpersist()
     return spark.createDataFrame([(k, str(v)) for k, v in best.items()], "param string, value string").withColumn(
         "cv_f1", F.lit(round(cv_f1, 6)))
@@ -103,21 +107,21 @@ def tune(spark, sf):
 @query("train_pipeline")
 def train_pipeline(spark, sf):
     """The run record of one full pipeline (split, tune, refit, evaluate, importances)."""
-    r = ML.train_pipeline(_embeddings(spark, sf), "y", ["vec_id"], EMB_FEATURES, (), "logistic_regression", 3, 3)
+    r = ML.train_pipeline(_embeddings(spark, sf), "y", ["vec_id"], _features(spark, sf), (), "logistic_regression", 3, 3)
     return ML.run_record(spark, r, "embeddings-binary", "emb_classifier").drop("run_id", "started_at",
                                                                                "completed_at")
 
 
 @query("compare_models")
 def compare_models(spark, sf):
-    return ML.compare_models(_embeddings(spark, sf), "y", ["vec_id"], EMB_FEATURES,
+    return ML.compare_models(_embeddings(spark, sf), "y", ["vec_id"], _features(spark, sf),
                              ["logistic_regression", "random_forest", "xgboost"], n_trials=2, cv_folds=2,
                              params=RUN_PARAMS)
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    r = ML.train_pipeline(_embeddings(spark, sf), "y", ["vec_id"], EMB_FEATURES, (), "random_forest", 1, 2,
+    r = ML.train_pipeline(_embeddings(spark, sf), "y", ["vec_id"], _features(spark, sf), (), "random_forest", 1, 2,
                           params=RUN_PARAMS["random_forest"])
     return spark.createDataFrame(r.importances, "feature_name string, importance_score double, "
                                                 "importance_type string")
@@ -128,8 +132,9 @@ def _fit_lineitem_model(spark, sf):
     data = ML.with_label(li, "y")
     from pyspark.ml import Pipeline
     stages = [*ML.feature_pipeline(LI_FEATURES), ML.trainers(1, 4, 2)["logistic_regression"].build({"C": 1.0})]
-    train = data.where(F.col("l_shipdate") < F.lit("1998-06-01 00:00:00").cast("timestamp_ntz"))
-    return Pipeline(stages=stages).fit(train), li
+    # the training part of the stratified split, by the row's own columns
+    train = ML.stratified_split(data, "label", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return Pipeline(stages=stages).fit(train.where(F.col("split") == "train")), li
 
 
 @query("batch_score")
@@ -191,9 +196,9 @@ def explain_shapley(spark, sf):
     """Sampled Shapley contributions of a random forest, for every embedding row."""
     from pyspark.ml import Pipeline
     data = ML.with_label(_embeddings(spark, sf), "y")
-    model = Pipeline(stages=[*ML.feature_pipeline(EMB_FEATURES[:6]),
+    model = Pipeline(stages=[*ML.feature_pipeline(_features(spark, sf)),
                              ML.trainers()["random_forest"].build({"n_estimators": 30, "max_depth": 5})]).fit(data)
-    sh = ML.sampled_shapley(model, data, data, EMB_FEATURES[:6], "vec_id", n_permutations=4)
+    sh = ML.sampled_shapley(model, data, data, _features(spark, sf), "vec_id", n_permutations=4)
     return sh.groupBy("feature").agg(F.round(F.avg(F.abs("contribution")), 6).alias("mean_abs_contribution"))
 
 

@@ -69,17 +69,26 @@ def stream_latency_histogram(spark, sf):
     return SIO.run_available_now(MON.latency_histogram(_pred_stream(spark, sf)), "latency-histogram")
 
 
-@query("stream_cache_dedup", """
-select distinct md5('{"k":"' || (props->>'k') || '"}') features_hash from events
+@query("stream_cache_dedup", f"""
+with recursive p as (
+  select md5('{{"k":"' || (props->>'k') || '"}}') features_hash, date_trunc('millisecond', ts) t from events),
+stored as (
+  select features_hash, min(t) t from p group by features_hash
+  union all
+  select s.features_hash, min(p.t) t from stored s join p on p.features_hash = s.features_hash
+    and p.t >= s.t + interval 300 second group by s.features_hash, s.t)
+select r.features_hash, r.n_requests, f.n_fresh
+from (select features_hash, count(*) n_requests from p where t < {_wm("10 minutes")} group by 1) r
+join (select features_hash, count(*) n_fresh from stored where t < {_wm("10 minutes")} group by 1) f
+  on r.features_hash = f.features_hash
 """)
 def stream_cache_dedup(spark, sf):
-    """Repeated feature documents within 5 minutes are served from the 'cache' (dropped)."""
+    """Requests per feature document, and those that a 300 s cache doesn't answer."""
     from tessera.functions.transforms import features_hash
     s = _pred_stream(spark, sf).withColumn("features_hash", features_hash(F.col("features")))
-    out = SIO.run_available_now(MON.cache_dedup(s, "features_hash").select(
-        "prediction_id", "features_hash", F.col("timestamp").cast("timestamp_ntz").alias("timestamp")), "dedup")
-    # which duplicate survives inside one micro-batch is arbitrary: report the served keys
-    return out.select("features_hash")
+    out = SIO.run_available_now(MON.prediction_cache(s, "features_hash"), "cache")
+    return out.groupBy(F.col("cache_key").alias("features_hash")).agg(
+        F.count(F.lit(1)).alias("n_requests"), F.count_if(~F.col("cached")).alias("n_fresh"))
 
 
 GT_DELAY = "1 hour"
@@ -91,26 +100,19 @@ def _actuals(stream):
         (F.col("timestamp") + F.expr("INTERVAL 30 MINUTES")).alias("actual_ts"))
 
 
-@query("stream_ground_truth_join", "with " + M.PREDICTIONS_SQL + """,
+@query("stream_ground_truth_join", "with " + M.PREDICTIONS_SQL + f""",
 a as (select prediction_id actual_id, actual, "timestamp" + interval 30 minute actual_ts from predictions
       where status <> 'error'),
 j as (select p.prediction_id, p.model_name, p.prediction, p."timestamp", a.actual, a.actual_ts
       from predictions p left join a on a.actual_id = p.prediction_id
        and a.actual_ts >= p."timestamp" and a.actual_ts <= p."timestamp" + interval 1 hour)
-select * from j where "timestamp" <= (select max(ts) - interval 3 hour from events)
+select * from j where actual_ts is not null or "timestamp" + interval 1 hour < {_wm("1 hour")}
 """)
 def stream_ground_truth_join(spark, sf):
-    """Predictions with actuals arriving 30 minutes later (errors never get one).
-
-    The comparison keeps predictions at least 3 hours older than the newest
-    event: all of them are final (matched, or emitted unmatched once the
-    watermark passed their range).
-    """
+    """Predictions with actuals arriving 30 minutes later (errors never get one): every
+    match, and the unmatched predictions that the watermark has passed."""
     p = _pred_stream(spark, sf)
-    out = SIO.run_available_now(MON.ground_truth_join(p, _actuals(_pred_stream(spark, sf)), GT_DELAY),
-                                "ground-truth")
-    cutoff = tbl(spark, sf, "events").agg(F.max("ts") - F.expr("INTERVAL 3 HOURS")).first()[0]
-    return out.where(F.col("timestamp") <= F.lit(cutoff))
+    return SIO.run_available_now(MON.ground_truth_join(p, _actuals(_pred_stream(spark, sf)), GT_DELAY), "ground-truth")
 
 
 @query("stream_rolling_accuracy", "with " + M.PREDICTIONS_SQL + """

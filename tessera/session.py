@@ -66,10 +66,14 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
-    Read from ``spark.checkpoint.dir``; set only when it is unset (local tests).
+    Read from ``spark.checkpoint.dir``; a local master without one gets a temporary folder
+    (tests), any other master without one is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        # executors of a cluster can't read a folder of the driver's machine
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

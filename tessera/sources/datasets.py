@@ -78,7 +78,9 @@ def write_dataset_version(df: DataFrame, root: str, name: str, version: str | No
         .groupBy("p", "s").agg(F.count("one").alias("n")) \
         .agg(F.coalesce(F.sum("s"), F.lit(0)).alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     rows, size = stats["rows"], stats["size"]
-    digest = checksum(df).first()["checksum"]
+    # of what lies in the files, not of a second run of the source
+    stored = written if fmt == "parquet" else spark.read.option("header", True).schema(df.schema).csv(path)
+    digest = checksum(stored).first()["checksum"]
     now = datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
     meta = spark.createDataFrame([(f"{name}:{version}", name, version, int(rows), len(df.columns), int(size),
                                    list(df.columns), digest, source_type, source_path, validation_passed,
@@ -103,15 +105,18 @@ def read_dataset_version(spark: SparkSession, root: str, name: str, version: str
     return spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).csv(path)
 
 
-def prediction_log_append(preds: DataFrame, path: str) -> None:
+def prediction_log_append(preds: DataFrame, path: str, files_per_partition: int = 8) -> None:
     """Append predictions, stamping ``created_at`` and partitioning by model and day.
 
-    Later scans that filter on model and date prune whole directories.
+    Later scans that filter on model and date prune whole directories.  A model's day
+    is written as ``files_per_partition`` files at most, by as many tasks.
     """
     out = (preds.withColumn("created_at", F.coalesce(F.col("created_at"), F.localtimestamp())
                             if "created_at" in preds.columns else F.localtimestamp())
            .withColumn("log_date", F.to_date("timestamp")))
-    out.write.mode("append").partitionBy("model_name", "log_date").parquet(path)
+    # one writer for each model and day and salt, not a file from every task for each
+    salt = F.pmod(F.xxhash64("prediction_id"), F.lit(files_per_partition))
+    out.repartition("model_name", "log_date", salt).write.mode("append").partitionBy("model_name", "log_date").parquet(path)
 
 
 def metadata_append(rows: DataFrame, path: str) -> None:

@@ -55,10 +55,61 @@ def latency_histogram(stream: DataFrame, delay: str = "10 minutes", window: str
             .select(*_window_cols(), "model_name", *[f"le_{i}" for i in range(len(LATENCY_BUCKETS))], "le_inf"))
 
 
-def cache_dedup(stream: DataFrame, key: str, ttl: str = "5 minutes") -> DataFrame:
-    """ST4: a prediction cache with TTL -- drop repeats of a key while its first
-    occurrence is within ``ttl`` of the watermark."""
-    return stream.withWatermark(TS, ttl).dropDuplicatesWithinWatermark([key])
+# ---------------------------------------------------------------- ST4 prediction cache
+
+CACHE_STATE = "pending_ms array<bigint>, pending_ids array<bigint>, stored_ms bigint"
+CACHE_OUT = "cache_key string, prediction_id bigint, timestamp timestamp_ntz, cached boolean"
+
+
+def _cache_fn(ttl_ms: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            ms, ids, stored = state.get
+            ms, ids, stored = list(ms), list(ids), int(stored)
+        else:
+            ms, ids, stored = [], [], -1
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                ms += (pd.to_datetime(pdf[TS]).astype("datetime64[us]").astype("int64") // 1000).tolist()
+                ids += pdf["prediction_id"].tolist()
+        now = state.getCurrentWatermarkMs()
+        out = []
+        later = []
+        for t, i in sorted(zip(ms, ids, strict=True)):
+            if t >= now:
+                later.append((t, i))
+                continue
+            hit = stored >= 0 and t - stored < ttl_ms
+            if not hit:
+                stored = t
+            out.append((key[0], i, pd.Timestamp(t * 1_000_000), hit))
+        if later:
+            state.update(([t for t, _ in later], [i for _, i in later], stored))
+            state.setTimeoutTimestamp(max(later[0][0], now + 1))
+        elif stored >= 0 and stored + ttl_ms > now:
+            state.update(([], [], stored))
+            state.setTimeoutTimestamp(max(stored + ttl_ms, now + 1))
+        elif state.exists:
+            state.remove()
+        if not out:
+            return
+        yield pd.DataFrame(out, columns=["cache_key", "prediction_id", "timestamp", "cached"]).astype(
+            {"prediction_id": "int64", "timestamp": "datetime64[ns]", "cached": "bool"})
+    return fn
+
+
+def prediction_cache(stream: DataFrame, key: str, ttl_seconds: int = 300, delay: str = "10 minutes") -> DataFrame:
+    """ST4: a cache with a time to live, per key and in event time (milliseconds).
+
+    A request is ``cached`` if the last request that was not lies less than
+    ``ttl_seconds`` before it; else it is served afresh and stored.  Requests are judged
+    in the order of (time, id) once the watermark has passed them, so the result is the
+    same for any division into micro-batches.  State per key: the requests within the
+    watermark's delay and one time, which goes when it has expired.
+    """
+    s = stream.withWatermark(TS, delay).select(F.col(key).alias("cache_key"), "prediction_id", TS)
+    return s.groupBy("cache_key").applyInPandasWithState(
+        _cache_fn(ttl_seconds * 1000), CACHE_OUT, CACHE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ground_truth_join(preds: DataFrame, actuals: DataFrame, delay: str = "1 hour",

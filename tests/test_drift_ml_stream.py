@@ -157,3 +157,93 @@ def test_stream_counts_equal_batch_on_closed_windows(spark):
     closed = batch.where(F.col("w.end") <= F.lit(wm))
     assert out.count() == closed.count()
     assert out.agg(F.sum("n")).first()[0] == closed.agg(F.sum("count")).first()[0]
+
+
+def _requests():
+    """(ts in ms, key, id) out of order within the watermark's delay, two at one instant."""
+    import random as R
+
+    rng = R.Random(11)
+    rows = [(rng.randrange(0, 4_000_000), rng.choice("abc"), i) for i in range(120)] + [(500_000, "a", 900), (500_000, "a", 901)]
+    return sorted(rows, key=lambda r: r[0] + rng.randrange(0, 400_000))
+
+
+def _cached_by_hand(rows, ttl_ms, before):
+    out, stored = {}, {}
+    for t, k, i in sorted(rows, key=lambda r: (r[0], r[2])):
+        if t < before:
+            hit = k in stored and t - stored[k] < ttl_ms
+            if not hit:
+                stored[k] = t
+            out[i] = hit
+    return out
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_prediction_cache_for_any_batches(spark, tmp_path, files):
+    from tessera.streaming import io as SIO
+    from tessera.streaming import monitors as MON
+
+    rows = _requests()
+    schema = "ms long, key string, prediction_id long"
+    for f in range(files):
+        part = rows[f * len(rows) // files:(f + 1) * len(rows) // files]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"d{f}"))
+    s = (spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
+         .parquet(str(tmp_path / "in")).withColumn("timestamp", F.timestamp_millis("ms")))
+    got = SIO.run_available_now(MON.prediction_cache(s, "key", 300, "10 minutes"), "cache-test").collect()
+    want = _cached_by_hand(rows, 300_000, max(r[0] for r in rows) - 600_000)
+    assert {r.prediction_id: r.cached for r in got} == want
+
+
+def test_search_sees_training_rows_only(spark, monkeypatch):
+    rows = [(i, float(i % 7), float((i * 3) % 5), int((i % 7) > 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    seen = {}
+    real = ML.tune
+
+    def spy(train, *args, **kw):
+        seen["ids"] = {r.id for r in train.select("id").collect()}
+        return real(train, *args, **kw)
+
+    monkeypatch.setattr(ML, "tune", spy)
+    r = ML.train_pipeline(df, "y", ["id"], ["a", "b"], (), "logistic_regression", 2, 2, metric="accuracy",
+                          test_size=0.2, validation_size=0.1)
+    assert r.status == "completed", r.error
+    split = ML.stratified_split(ML.with_label(df, "y"), "label", ["id"], 0.7, 0.1)
+    assert seen["ids"] == {x.id for x in split.where("split = 'train'").collect()}
+    confusion = {k: v for k, v in r.metrics.items() if k.startswith("confusion_")}
+    assert sum(confusion.values()) == r.metrics["prediction_count"] == split.where("split = 'test'").count()
+    assert "cv_accuracy" in r.metrics
+
+
+def test_unknown_metric_and_depth_are_refused(spark):
+    with pytest.raises(ValueError):
+        ML.evaluator_for("speed")
+    with pytest.raises(ValueError):
+        ML.trainers()["random_forest"].build({"max_depth": 31})
+
+
+def test_no_limit_unless_asked(spark):
+    from tessera.operators import catalog as C
+
+    df = spark.range(1500).select(F.concat(F.lit("m"), "id").alias("model_name"), F.lit("None").alias("model_stage"),
+                                  F.col("id").alias("prediction_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("timestamp"))
+    assert C.filter_name_stage(df, "M", None, [F.col("prediction_id")]).count() == 1500
+    assert C.prediction_log_scan(df).count() == 1500
+    assert C.prediction_log_scan(df, limit=10).count() == 10
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from tessera import session as SE
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Fake:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://x:1"})()
+
+    with pytest.raises(RuntimeError):
+        SE.checkpoint_dir(Fake())

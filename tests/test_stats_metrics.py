@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -102,3 +103,45 @@ def test_rolling_and_recent_vs_older_match_pandas(spark):
     for mname, sub in pdf.groupby("model"):
         assert math.isclose(rv[mname].older_accuracy, sub["c"].head(50).mean())
         assert math.isclose(rv[mname].recent_accuracy, sub["c"].tail(50).mean())
+
+
+def test_chi2_tail_at_many_degrees_of_freedom(spark):
+    from tessera.functions import stats as S
+
+    # exact: finite sums in log space; about one half at the mean, whatever the parity
+    for dof in (200, 201, 1600, 2001, 5001):
+        xs = [dof * 0.95, float(dof), dof * 1.05, dof * 2.0, 1e6]
+        got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(
+            S.chi2_sf(F.col("x"), F.lit(dof))).collect()]
+        want = [duckdb.sql(f"select {S.chi2_sf_sql(str(x), str(dof))}").fetchall()[0][0] for x in xs]
+        assert got == pytest.approx(want, abs=2e-7)
+        assert 0.48 < got[1] < 0.5 and got[4] == 0.0
+
+
+def test_wide_categorical_is_not_drift_by_itself(spark):
+    from tessera.operators import drift as D
+
+    ref = spark.range(60_000).select((F.col("id") % 3000).cast("string").alias("c"))
+    cur = spark.range(60_000).select(((F.col("id") * 7) % 3000).cast("string").alias("c"))
+    row = D.data_drift(ref, cur, ["c"], with_psi=False).first()
+    assert not row["drift_detected"] and row["p_value"] > 0.9
+
+
+def test_null_keys_are_one_group(spark):
+    from tessera.operators import metrics as MT
+    from tessera.operators.ml import stratified_split
+    from tessera.operators.ranks import prefix_sums
+
+    rows = [(m, i, float(i % 2)) for m in (None, "a") for i in range(6)]
+    df = spark.createDataFrame(rows, "m string, i long, v double")
+    for n in (1, 4, 17):
+        got = prefix_sums(df.repartition(n), ["m"], "i", ["v"], num_partitions=n).collect()
+        assert {(r.m, r.i): (r.cum_v, r.total_v) for r in got} == {(m, i): (float((i + 1) // 2), 3.0) for m, i, _ in rows}
+    rolling = MT.rolling_accuracy(df, ["m"], ["i"], F.col("v"), 2).collect()
+    assert {(r.m, r.rank): r.rolling_accuracy for r in rolling} == {
+        (m, i + 1): (0.0 if i == 0 else 0.5) for m in (None, "a") for i in range(6)}
+    lat = MT.latency_summary(df.withColumn("t", F.col("i")), ["m"], "t", "i").collect()
+    assert {r.m: r.p95_ms for r in lat} == {None: 4.75, "a": 4.75}
+    split = stratified_split(df.withColumn("label", F.when(F.col("m") == "a", 1.0)), "label", ["i"], 0.5, 0.25)
+    assert {tuple(r) for r in split.groupBy("label", "split").count().collect()} == {
+        (y, s, n) for y in (None, 1.0) for s, n in (("train", 3), ("validation", 1), ("test", 2))}
