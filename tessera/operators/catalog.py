@@ -149,14 +149,29 @@ def current_stage(events: DataFrame) -> DataFrame:
 
 
 def production_version(current: DataFrame, all_models: DataFrame | None = None) -> DataFrame:
-    """Newest Production version per model; models without one get NULL."""
-    prod = (current.where(F.col("current_stage") == "Production")
-            .groupBy("model_name").agg(F.max("model_version").alias("production_version")))
+    """Version per model that went to Production last; models without one get NULL."""
+    prod = _newest_in(current, "Production")
     if all_models is None:
         return prod
     return all_models.select("model_name").distinct().join(prod, "model_name", "left")
 
 
+def _newest_in(current: DataFrame, stage: str) -> DataFrame:
+    newest = F.max_by("model_version", F.struct("since", "model_version"))
+    return (current.where(F.col("current_stage") == stage)
+            .groupBy("model_name").agg(newest.alias(f"{stage.lower()}_version")))
+
+
+def serving_version(current: DataFrame) -> DataFrame:
+    """The version to serve per model: the newest in Production, else the newest in stage None;
+    models with neither get NULL."""
+    j = (current.select("model_name").distinct().join(_newest_in(current, "Production"), "model_name", "left")
+         .join(_newest_in(current, "None"), "model_name", "left"))
+    return j.select("model_name", F.coalesce("production_version", "none_version").alias("serving_version"),
+                    F.when(F.col("production_version").isNotNull(), "Production")
+                    .when(F.col("none_version").isNotNull(), "None").alias("stage"))
+
+
 def transition_stage(events: DataFrame, model_name: str, model_version, stage: str, comment: str,
                      at) -> DataFrame:
     """The new event row for a transition (append it; current state follows by W1)."""

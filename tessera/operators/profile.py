@@ -254,13 +254,6 @@ def validation_report(
     )
 
 
-def schema_diff(df: DataFrame, expected: Iterable[str]) -> DataFrame:
-    """Expected columns absent from ``df`` (no scan: schema only)."""
-    missing = sorted(set(expected) - set(df.columns))
-    spark = df.sparkSession
-    return spark.createDataFrame([(m,) for m in missing], "column_name string")
-
-
 def schema_diff_many(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Expected columns missing from each dataset, over many datasets at once.
 

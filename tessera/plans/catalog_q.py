@@ -63,12 +63,12 @@ def stage_transition(spark, sf):
 
 
 @query("production_version", "with " + STAGE_EVENTS_SQL + """,
-cur as (select model_name, model_version, stage from (
+cur as (select model_name, model_version, stage, event_time from (
           select *, row_number() over (partition by model_name, model_version order by event_time desc) rn
           from stage_events) where rn = 1)
 select m.model_name, p.production_version from (select distinct model_name from model_versions) m
-left join (select model_name, max(model_version) production_version from cur where stage = 'Production'
-           group by model_name) p on p.model_name = m.model_name
+left join (select model_name, arg_max(model_version, (event_time, model_version)) production_version from cur
+           where stage = 'Production' group by model_name) p on p.model_name = m.model_name
 """)
 def production_version(spark, sf):
     v = M.model_versions(spark, sf)
@@ -76,6 +76,22 @@ def production_version(spark, sf):
     return C.production_version(cur, v)
 
 
+@query("serving_version", "with " + STAGE_EVENTS_SQL + """,
+cur as (select model_name, model_version, stage, event_time from (
+          select *, row_number() over (partition by model_name, model_version order by event_time desc) rn
+          from stage_events) where rn = 1),
+best as (select *, row_number() over (partition by model_name
+                                      order by stage = 'Production' desc, event_time desc, model_version desc) r
+         from cur where stage in ('Production', 'None'))
+select m.model_name, b.model_version serving_version, b.stage
+from (select distinct model_name from cur) m left join best b on b.model_name = m.model_name and b.r = 1
+""")
+def serving_version(spark, sf):
+    """Production, falling back to a version in no stage yet."""
+    v = M.model_versions(spark, sf)
+    return C.serving_version(C.current_stage(C.stage_events_from_versions(v)))
+
+
 @query("recent_runs", "with " + M.TRAINING_RUNS_SQL + """
 select run_id, experiment_name, model_type, status, round(f1_score, 6) f1_score, started_at from training_runs
 order by started_at desc, run_seq desc limit 100

@@ -173,13 +173,26 @@ def features_hash(spark, sf):
 
 
 @query("score_distinct", """
-select count(*) as requests, count(distinct md5('{"k":"' || (props->>'k') || '"}')) as distinct_documents
+select count(*) as requests, count(distinct md5('{"k":"' || (props->>'k') || '"}')) as distinct_documents,
+       cast(0 as bigint) as unscored, cast(0 as bigint) as differing
 from events
 """)
 def score_distinct(spark, sf):
-    """J8 key and dedupe: every distinct features document is scored once."""
-    e = tbl(spark, sf, "events").withColumn("h", X.features_hash(F.col("props")))
-    return e.agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("h").alias("distinct_documents"))
+    """A fitted model scores every distinct features document once, and each request gets
+    its document's prediction -- the same as scoring all requests."""
+    from pyspark.ml import Pipeline
+
+    from tessera.operators import ml as ML
+    e = tbl(spark, sf, "events").select(
+        "event_id", X.features_hash(F.col("props")).alias("h"), F.get_json_object("props", "$.k").cast("double").alias("k"),
+        (F.col("event_type") == "purchase").cast("double").alias("label"))
+    model = Pipeline(stages=[*ML.feature_pipeline(["k"]), ML.trainers()["logistic_regression"].build({"max_iter": 20})]).fit(e)
+    got = ML.score_distinct(model, e, "h", "event_id")
+    want = model.transform(e).select("event_id", F.col("prediction").alias("want"))
+    return got.join(want, "event_id").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_distinct("h").alias("distinct_documents"),
+        F.count_if(F.col("prediction").isNull()).alias("unscored"),
+        F.count_if(F.col("prediction") != F.col("want")).alias("differing"))
 
 
 @query("ids_and_hashes", """

@@ -137,27 +137,32 @@ def _fit_lineitem_model(spark, sf):
     return Pipeline(stages=stages).fit(train.where(F.col("split") == "train")), li
 
 
-@query("batch_score")
+@query("batch_score", """
+select 'ok' status, count(*) n, cast(0 as bigint) rejected, true probabilities_hold from lineitem where l_tax <> 0
+union all
+select 'failed', count(*), count(*), true from lineitem where l_tax = 0 having count(*) > 0
+""")
 def batch_score(spark, sf):
     """Score all of lineitem; rows with a missing tax (0 → NULL) fail individually."""
     model, li = _fit_lineitem_model(spark, sf)
     records = li.withColumn("l_tax", F.when(F.col("l_tax") != 0, F.col("l_tax"))).withColumn(
         "row_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     out = ML.batch_score(model, records, LI_FEATURES, "row_id", LI_FEATURES)
-    return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("probability"), 6).alias(
-        "avg_max_probability"), F.count_if(F.col("prediction") == -1).alias("rejected"))
+    return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") == -1).alias(
+        "rejected"), F.coalesce(F.bool_and(F.col("probability").between(0.5, 1.0)), F.lit(True)).alias("probabilities_hold"))
 
 
-@query("model_save_load")
+@query("model_save_load", "select count(*) n, cast(0 as bigint) differing from lineitem")
 def model_save_load(spark, sf):
     """Persist the fitted pipeline, load it back, and score with the loaded copy."""
     model, li = _fit_lineitem_model(spark, sf)
     path = scratch_path(spark, "model-lineitem-lr")
     ML.save_model(model, path)
     loaded = ML.load_model(path)
-    a = model.transform(li).select(F.sum("prediction").alias("s1"))
-    b = loaded.transform(li).select(F.sum("prediction").alias("s2"))
-    return a.select("s1").withColumn("s2", F.lit(b.first()["s2"])).withColumn("same", F.col("s1") == F.col("s2"))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    a = model.transform(li).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("prediction").alias("p"))
+    b = loaded.transform(li).groupBy(*key).agg(F.sum("prediction").alias("q"))
+    return a.join(b, key, "left").agg(F.sum("n").alias("n"), F.count_if(~F.col("p").eqNullSafe(F.col("q"))).alias("differing"))
 
 
 # A declared linear model (logit scale), as loaded from a registry: fixed coefficients.

@@ -255,26 +255,20 @@ def invalid_values(spark, sf):
     return P.invalid_values(tbl(spark, sf, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"])
 
 
-# Declared column lists per dataset: the driver tables' columns plus columns a
-# fuller schema would have, so the diff has something to report.
-DECLARED_EXTRA = {"lineitem": ["l_comment", "l_shipmode"], "orders": ["o_comment"], "customer": ["c_phone"],
-                  "part": ["p_container"], "events": ["session_id"]}
+# Fields that every event document is declared to have.
+DECLARED_FIELDS = ("k", "session_id")
 
 
 @query("schema_diff", """
-with actual as (select table_name dataset, column_name from information_schema.columns),
-expected as (select dataset, column_name from actual
-             union all select * from (values ('lineitem', 'l_comment'), ('lineitem', 'l_shipmode'),
-                                             ('orders', 'o_comment'), ('customer', 'c_phone'),
-                                             ('part', 'p_container'), ('events', 'session_id')) t(dataset, column_name))
+with actual as (select distinct event_type as dataset, unnest(json_keys(props)) column_name from events),
+expected as (select distinct event_type as dataset, unnest(['k', 'session_id']) column_name from events)
 select dataset, column_name from expected except select dataset, column_name from actual
 """)
 def schema_diff(spark, sf):
-    """J6 over every table: declared columns that the stored data lacks."""
-    from tessera.sources.tables import TABLES
-    actual = spark.createDataFrame([(t, tbl(spark, sf, t).columns) for t in TABLES],
-                                   "dataset string, columns array<string>")
-    expected = actual.select("dataset", F.concat("columns", F.coalesce(
-        F.element_at(F.create_map(*[x for k, v in DECLARED_EXTRA.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]),
-                     F.col("dataset")), F.array().cast("array<string>"))).alias("columns"))
-    return P.schema_diff_many(expected, actual)
+    """J6 over stored documents: declared fields that no document of an event type has."""
+    e = tbl(spark, sf, "events")
+    types = e.select(F.col("event_type").alias("dataset")).distinct()
+    expected = types.withColumn("columns", F.array(*[F.lit(f) for f in DECLARED_FIELDS]))
+    # distinct key lists first: a handful of rows per event type
+    actual = e.select(F.col("event_type").alias("dataset"), F.json_object_keys("props").alias("columns")).distinct()
+    return P.schema_diff_many(expected, actual).distinct()

@@ -84,9 +84,24 @@ def read_dataset_version(spark, sf):
                                                 F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("dataset_checksum")
+@query("dataset_checksum", """
+select count(*) n, true same_after_round_trip, true same_in_another_order, true differs_without_a_row from lineitem
+""")
 def dataset_checksum(spark, sf):
-    return DS.checksum(tbl(spark, sf, "lineitem"))
+    """The fingerprint of the stored copy and of the rows in another order is the same;
+    without the rows of one order it is another."""
+    li = tbl(spark, sf, "lineitem")
+    path = scratch_path(spark, "checksum")
+    li.write.parquet(path)
+    first = li.agg(F.min("l_orderkey").alias("k"))
+    sums = [DS.checksum(d).withColumnRenamed("checksum", name) for name, d in (
+        ("a", li), ("b", spark.read.parquet(path)), ("c", li.repartition("l_partkey")),
+        ("d", li.where(F.col("l_orderkey") != first.scalar())))]
+    n = li.agg(F.count(F.lit(1)).alias("n"))
+    return n.select("n", *[(sums[0].scalar() == s.scalar() if same else sums[0].scalar() != s.scalar()).alias(name)
+                           for s, same, name in ((sums[1], True, "same_after_round_trip"),
+                                                 (sums[2], True, "same_in_another_order"),
+                                                 (sums[3], False, "differs_without_a_row"))])
 
 
 @query("dataset_size")
