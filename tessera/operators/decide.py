@@ -72,11 +72,20 @@ def promote_decision(candidates: DataFrame, production: DataFrame, metric: str =
         F.when(has_prod & (improvement > min_improvement), "promote").otherwise("discard").alias("decision"))
 
 
-def promotion_events(decisions: DataFrame, at) -> DataFrame:
-    """Stage events for the promoted candidates (append to the stage-event table)."""
-    return decisions.where(F.col("decision") == "promote").select(
-        "model_name", F.col("run_id").alias("model_version"), F.lit("Production").alias("stage"),
-        F.lit(at).cast("timestamp_ntz").alias("event_time"), F.lit("automated promotion").alias("comment"))
+def promotion_events(decisions: DataFrame, versions: DataFrame, at) -> DataFrame:
+    """Stage events for the promoted candidates (append to the stage-event table): the version
+    registered for the candidate's run goes to Production, the one it replaces to Archived.
+    A promoted run without a registered version gives no event."""
+    reg = versions.select("model_name", "run_id", "model_version")
+    win = decisions.where(F.col("decision") == "promote").join(reg, ["model_name", "run_id"])
+    event = F.array(F.struct(F.col("model_version").alias("model_version"), F.lit("Production").alias("stage"),
+                             F.lit("automated promotion").alias("comment")),
+                    F.struct(F.col("production_version").alias("model_version"), F.lit("Archived").alias("stage"),
+                             F.lit("replaced by promotion").alias("comment")))
+    return (win.select("model_name", F.col("production_version").alias("__old"), F.col("model_version").alias("__new"),
+                       F.inline(event))
+            .where((F.col("stage") == "Production") | (F.col("__old") != F.col("__new")))
+            .select("model_name", "model_version", "stage", F.lit(at).cast("timestamp_ntz").alias("event_time"), "comment"))
 
 
 def drift_alerts(reports: DataFrame, configs: DataFrame) -> DataFrame:

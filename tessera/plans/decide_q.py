@@ -79,6 +79,21 @@ def promote_decision(spark, sf):
     return round_doubles(DC.promote_decision(_candidates(spark, sf), _production(spark, sf)))
 
 
+@query("promotion_events", CAND_PROD_SQL + f""",
+won as (select j.model_name, v.model_version, j.production_version from j
+        join model_versions v on v.model_name = j.model_name and v.run_id = j.run_id
+        where j.production_version is not null and coalesce(j.f1_score, 0) - coalesce(j.current_f1_score, 0) > 0.01)
+select model_name, model_version, 'Production' stage, timestamp '{AS_OF}' event_time, 'automated promotion' "comment" from won
+union all
+select model_name, production_version, 'Archived', timestamp '{AS_OF}', 'replaced by promotion' from won
+where production_version <> model_version
+""")
+def promotion_events(spark, sf):
+    """R2, the registry's half: the candidate's registered version to Production, the old one to Archived."""
+    d = DC.promote_decision(_candidates(spark, sf), _production(spark, sf))
+    return DC.promotion_events(d, M.model_versions(spark, sf), AS_OF)
+
+
 @query("drift_alerts", "with " + M.DRIFT_REPORTS_SQL + "," + M.ALERT_CONFIGS_SQL + """
 select 'drift_detected' alert_type, r.report_id, r.model_name, r.model_version, r.drift_type, r.drift_score,
        c.threshold alert_threshold, c.webhook_url, r.created_at

@@ -164,6 +164,39 @@ def engineer_features(spark, sf):
                          .withColumn("n_added", F.lit(len(added)).cast("bigint")))
 
 
+@query("custom_transformer", """
+with st as (select ln(1 + l_extendedprice) lp, l_quantity q from lineitem),
+m as (select avg(lp) ml, stddev_pop(lp) sl, avg(q) mq, stddev_pop(q) sq from st)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, round((ln(1 + l_extendedprice) - ml) / sl, 6) price_z,
+       round((l_quantity - mq) / sq, 6) quantity_z
+from lineitem, m
+""")
+def custom_transformer(spark, sf):
+    """A user's transformer (log first, then the base class's standard scaling) and the base
+    class itself, fitted and applied in one ML pipeline."""
+    from pyspark.ml import Pipeline
+
+    class LogScaler(FE.FeatureTransformer):
+        def _fit(self, dataset):
+            inner = FE.FeatureTransformer("__log", self.getOutputCol(), "standard")
+            fitted = inner.fit(dataset.select(F.log1p(F.col(self.getInputCol())).alias("__log")))
+            return _Logged(self.getInputCol(), fitted)
+
+    class _Logged(FE.FittedColumnTransformer):
+        def __init__(self, col, inner):
+            super().__init__(col, inner.getOutputCol(), "standard", inner.state)
+            self.inner = inner
+
+        def _transform(self, dataset):
+            return self.inner.transform(dataset.withColumn("__log", F.log1p(F.col(self.getInputCol())))).drop("__log")
+
+    li = tbl(spark, sf, "lineitem")
+    model = Pipeline(stages=[LogScaler("l_extendedprice", "price_z"),
+                             FE.FeatureTransformer("l_quantity", "quantity_z")]).fit(li)
+    return model.transform(li).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                      F.round("price_z", 6).alias("price_z"), F.round("quantity_z", 6).alias("quantity_z"))
+
+
 @query("features_hash", """
 select event_id, md5('{"k":"' || (props->>'k') || '"}') as features_hash from events
 """)

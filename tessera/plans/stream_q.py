@@ -121,14 +121,17 @@ from (select *, row_number() over (partition by model_name order by "timestamp"
       from predictions) where rn <= 10000 group by model_name
 """)
 def stream_rolling_accuracy(spark, sf):
-    """Rolling accuracy over each model's newest 10000 predictions, one snapshot per micro-batch."""
+    """Rolling accuracy over each model's newest 10000 predictions: the last snapshot per model,
+    the same for any division into micro-batches."""
+    from tessera.operators.catalog import latest_per_key
     s = _pred_stream(spark, sf)
     out = SIO.run_available_now(MON.rolling_accuracy(s), "rolling-accuracy")
+    out = latest_per_key(out, ["model_name"], ["last_ts", "buffered"])
     return out.withColumn("rolling_accuracy", r6("rolling_accuracy"))
 
 
 @query("stream_log_sink", "with " + M.PREDICTIONS_SQL + """
-select model_name, count(*) n, cast(1 as bigint) batches from predictions group by model_name
+select model_name, count(*) n, count(distinct prediction_id) ids from predictions group by model_name
 """)
 def stream_log_sink(spark, sf):
     """Prediction log appended per micro-batch (idempotent by batch id), read back."""
@@ -137,7 +140,7 @@ def stream_log_sink(spark, sf):
     back = SIO.foreach_batch_append(s.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")),
                                     scratch_path(spark, "stream-log"), "stream-log")
     return back.groupBy("model_name").agg(F.count(F.lit(1)).alias("n"),
-                                          F.count_distinct("batch_id").alias("batches"))
+                                          F.count_distinct("prediction_id").alias("ids"))
 
 
 @query("stream_alerts", "with " + M.PREDICTIONS_SQL + """,
