@@ -80,12 +80,57 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed,
 FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id LEFT JOIN spans s ON w.doc_id = s.doc_id
 """
 
+def _templates() -> str:
+    rows = []
+    for base, group in ((True, licenses.PHRASES), (False, licenses.NOTICES)):
+        for label, text in group.items():
+            w = text.split()
+            rows += [f"('{label}', {base}, {t}, '{w[t]}', '{w[t + 1]}', {len(w) - 1})" for t in range(len(w) - 1)]
+    return "(VALUES " + ", ".join(rows) + ") AS x(label, base, t, w1, w2, n)"
+
+
+OP7_SQL = (
+    r"""
+WITH tmpl AS (SELECT * FROM """
+    + _templates()
+    + r"""
+), words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), grams AS (
+  SELECT doc_id, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 2)) AS p FROM words)
+), met AS (
+  SELECT g.doc_id, m.label, m.base, m.n, m.t, g.p, g.p - m.t AS d FROM grams g JOIN tmpl m ON g.a = m.w1 AND g.b = m.w2
+), diagonals AS (
+  SELECT DISTINCT doc_id, label, base, d FROM met
+), apart AS (
+  SELECT *, CASE WHEN base OR d - lag(d) OVER o <= """
+    + str(licenses.NEIGHBOUR)
+    + r""" AND NOT base THEN CAST(base AS INT) ELSE 1 END AS new FROM diagonals WINDOW o AS (PARTITION BY doc_id, label ORDER BY d)
+), runs AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id, label ORDER BY d) AS run FROM apart
+), spans AS (
+  SELECT m.doc_id, m.label, m.base, min(m.d) AS d, count(DISTINCT m.t) / any_value(m.n) AS share, count(DISTINCT m.t) = any_value(m.n) AS whole
+  FROM met m JOIN runs r ON m.doc_id = r.doc_id AND m.label = r.label AND m.d = r.d GROUP BY m.doc_id, m.label, m.base, r.run
+), found AS (
+  SELECT doc_id, count(*) FILTER (base AND whole) AS n_base, min(d) FILTER (base AND whole) AS first_word, max(d) FILTER (base AND whole) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND whole) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND whole OR NOT base AND share >= """
+    + str(licenses.SHARE)
+    + r""") AS labels, max(share) AS score
+  FROM spans GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(f.n_base, 0) AS BIGINT) AS n_base, CAST(f.first_word AS BIGINT) AS first_word,
+       CAST(f.last_word AS BIGINT) AS last_word, coalesce(f.base_labels, '') AS base_labels, coalesce(f.labels, '') AS labels, coalesce(f.score, 0.0) AS score
+FROM words w LEFT JOIN found f ON w.doc_id = f.doc_id
+"""
+)
+
 OP9_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), ok AS (
-  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93
@@ -126,7 +171,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op4_adaptive_scan_ann": (op4_adaptive_scan_ann, None),
     "op5_external_shuffle": (op5_external_shuffle, None),
     "op6_substring_dedup": (op6_substring_dedup, OP6_SQL),
-    "op7_license_scan": (op7_license_scan, None),
+    "op7_license_scan": (op7_license_scan, OP7_SQL),
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_cross_polytope_dedup": (op9_cross_polytope_dedup, OP9_SQL),
     "op10_token_group_join": (op10_token_group_join, OP10_SQL),
