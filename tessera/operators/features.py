@@ -131,6 +131,55 @@ class FeatureDef:
         return self.source_column or self.name
 
 
+# The registry's table of feature definitions: one row per feature of a set's version.
+DEFINITION_SCHEMA = ("feature_set string, set_version int, name string, feature_type string, source_column string, "
+                     "transformation string, parameters map<string,string>, dependencies array<string>, "
+                     "description string, tags map<string,string>, created_at timestamp_ntz")
+# One row per engineered version of a dataset.
+ENGINEERED_SCHEMA = ("engineered_id string, feature_set string, dataset_name string, dataset_version string, "
+                     "features_added array<string>, row_count bigint, path string, created_at timestamp_ntz")
+
+
+def definition_rows(spark, feature_set: str, set_version: int, defs: Iterable[FeatureDef], created_at) -> DataFrame:
+    """Registry rows of a feature set's version (append them to the registry table)."""
+    return spark.createDataFrame(
+        [(feature_set, set_version, d.name, d.feature_type, d.source_column, d.transformation, dict(d.parameters),
+          list(d.dependencies), d.description, dict(d.tags), created_at) for d in defs], DEFINITION_SCHEMA)
+
+
+def definitions(registry: DataFrame, feature_set: str, set_version: int | None = None) -> list[FeatureDef]:
+    """The definitions of a feature set, its newest version unless one is named (a row per
+    feature of one version, so small)."""
+    rows = registry.where(F.col("feature_set") == feature_set)
+    if set_version is None:
+        newest = rows.agg(F.max("set_version").alias("v"))
+        rows = rows.where(F.col("set_version") == newest.scalar())
+    else:
+        rows = rows.where(F.col("set_version") == set_version)
+    out = [FeatureDef(r["name"], r["feature_type"], r["source_column"], r["transformation"], r["parameters"] or {},
+                      r["dependencies"] or (), r["description"] or "", r["tags"] or {})
+           for r in rows.orderBy("name").collect()]
+    if not out:
+        raise LookupError(f"no feature set {feature_set!r}" + (f" of version {set_version}" if set_version is not None else ""))
+    return out
+
+
+def materialize_features(df: DataFrame, defs: Iterable[FeatureDef], root: str, dataset_name: str, dataset_version: str,
+                         feature_set: str, created_at, table: str | None = None) -> DataFrame:
+    """Engineer a dataset version, write it below ``root`` and return its metadata row
+    (appended to ``table`` if given); rows are counted in the written files."""
+    out, added = engineer_features(df, defs)
+    path = f"{root.rstrip('/')}/{dataset_name}/{dataset_version}/{feature_set}"
+    out.write.mode("errorifexists").parquet(path)
+    spark = df.sparkSession
+    meta = spark.createDataFrame(
+        [(f"{dataset_name}:{dataset_version}:{feature_set}", feature_set, dataset_name, dataset_version, added,
+          spark.read.parquet(path).count(), path, created_at)], ENGINEERED_SCHEMA)
+    if table:
+        meta.write.mode("append").parquet(table)
+    return meta
+
+
 def topological_order(defs: Iterable[FeatureDef]) -> list[FeatureDef]:
     """Declared order, except that a feature follows the features it depends on."""
     defs = list(defs)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import transforms as X
 from tessera.operators import catalog as C
 from tessera.operators import decide as DC
 from tessera.plans import mappings as M
@@ -120,9 +119,27 @@ select l_orderkey, l_linenumber, strftime(l_shipdate, 'v%Y%m') version, round(ln
 from lineitem where strftime(l_shipdate, 'v%Y%m') = (select version from latest)
 """)
 def latest_training_input(spark, sf):
+    """The newest dataset version, read back from the version store, engineered by the
+    feature set's newest definitions from the registry, and recorded."""
+    from datetime import datetime
+
+    from tessera.operators import features as FE
+    from tessera.session import scratch_path
+    from tessera.sources import datasets as DS
+
+    at = datetime.fromisoformat(AS_OF)
+    root, meta, registry, engineered = (scratch_path(spark, f"training-input-{n}") for n in ("versions", "meta", "registry", "engineered"))
     latest = DC.latest_training_input(_dataset_versions(spark, sf), ["version"])
     li = tbl(spark, sf, "lineitem").withColumn("version", F.date_format("l_shipdate", "'v'yyyyMM"))
-    rows = li.join(latest.select("version"), "version", "left_semi")
-    return rows.select("l_orderkey", "l_linenumber", "version",
-                       F.round(X.log1p(F.col("l_extendedprice")), 6).alias("log_price"),
-                       F.round(X.square(F.col("l_quantity")), 6).alias("qty_sq"))
+    version = latest.first()["version"]
+    DS.write_dataset_version(li.where(F.col("version") == version), root, "lineitem", version, metadata_table=meta)
+    old = [FE.FeatureDef("log_price", "derived", "l_extendedprice", "sqrt")]
+    new = [FE.FeatureDef("log_price", "derived", "l_extendedprice", "log"), FE.FeatureDef("qty_sq", "derived", "l_quantity", "square")]
+    for v, defs in ((1, old), (2, new)):
+        DS.metadata_append(FE.definition_rows(spark, "pricing", v, defs, at), registry)
+    rows = DS.read_dataset_version(spark, root, "lineitem", metadata_table=meta)
+    defs = FE.definitions(spark.read.parquet(registry), "pricing")
+    record = FE.materialize_features(rows, defs, engineered, "lineitem", version, "pricing", at)
+    out = spark.read.parquet(record.first()["path"])
+    return out.select("l_orderkey", "l_linenumber", "version", F.round("log_price", 6).alias("log_price"),
+                      F.round("qty_sq", 6).alias("qty_sq"))
