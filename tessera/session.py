@@ -51,6 +51,8 @@ def build_session(
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # checkpoint files go when the driver no longer refers to them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
         "spark.driver.memory": os.environ.get("TESSERA_DRIVER_MEMORY", "8g"),
     }
@@ -85,3 +87,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path inside the shared folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tessera-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``scratch_path`` gave, once nothing reads it any more."""
+    if "/tessera-scratch/" not in path:
+        raise ValueError(f"not a scratch folder: {path}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
