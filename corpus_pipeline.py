@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard, packing, substring_dedup, toxicity
 from tessera.llm.queries import table
-from tessera.session import scratch_path
+from tessera.session import drop_scratch, scratch_path
 
 #: Learned weights can't be put into SQL.
 ORACLE_SQL = None
@@ -42,10 +42,14 @@ STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_copies), ("
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what lies between them goes to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what lies between them goes to the shared folder, and goes from there once
+    the next stage is written.  The last of it stays, as the result reads it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_scratch(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
