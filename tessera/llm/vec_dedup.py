@@ -64,7 +64,7 @@ def buckets(x: np.ndarray, tables: int, per_table: int) -> np.ndarray:
         a = [axes(x, t * per_table + k).astype(U64) for k in range(per_table)]
 
         def key(pick, a=a, t=t):
-            h = np.full(len(x), t + 1, dtype=U64)
+            h = mix(np.full(len(x), t + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
             for k in range(per_table):
                 h = mix(h ^ (a[k][:, pick[k]] + U64(1)))
             return h
