@@ -17,14 +17,17 @@ from __future__ import annotations
 import base64
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.hashing import column_bytes, row_blocks
+
 #: Distinct pre-tokens a worker remembers; the rest are encoded again.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: Fixed values of the model format: field numbers and enum values of ModelProto.
 PIECES, TRAINER, NORMALIZER, NORMAL, UNKNOWN, BPE_TYPE = 1, 2, 3, 1, 2, 2
 
@@ -61,8 +64,8 @@ def _field(number: int, value: bytes | int | float | bool) -> bytes:
     return _varint(number << 3) + _varint(int(value))
 
 
-def model_bytes(ranks: dict[bytes, int]) -> tuple[bytes, np.ndarray]:
-    """The serialised model, and the rank of each piece id (-1: unk)."""
+def model_bytes(ranks: dict[bytes, int]) -> tuple[bytes, list[int | None]]:
+    """The serialised model, and the rank of each piece id (None: unk)."""
     chars = byte_characters()
     order = sorted(ranks.items(), key=lambda x: x[1])
     out = [_field(PIECES, _field(1, b"<unk>") + _field(2, 0.0) + _field(3, UNKNOWN))]
@@ -71,7 +74,7 @@ def model_bytes(ranks: dict[bytes, int]) -> tuple[bytes, np.ndarray]:
     trainer = _field(3, BPE_TYPE) + _field(4, len(order) + 1) + _field(24, False) + _field(40, 0)
     trainer += b"".join(_varint(n << 3) + _varint((1 << 64) - 1) for n in (41, 42, 43))
     normalizer = _field(1, b"identity") + _field(3, False) + _field(4, False) + _field(5, False)
-    return b"".join(out) + _field(TRAINER, trainer) + _field(NORMALIZER, normalizer), np.array([-1, *(r for _, r in order)])
+    return b"".join(out) + _field(TRAINER, trainer) + _field(NORMALIZER, normalizer), [None, *(r for _, r in order)]
 
 
 class Coder:
@@ -85,32 +88,41 @@ class Coder:
         model, self.rank_of_piece = model_bytes(self.ranks)
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.split = regex.compile(pattern).findall
-        self.chars = byte_characters()
+        self.chars = dict(enumerate(byte_characters()))
         self.known: dict[str, tuple[int, ...]] = {}
         size = max(self.ranks.values(), default=-1) + 1
         self.token = [b""] * size
         for token, rank in self.ranks.items():
             self.token[rank] = token
 
-    def piece(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        whole = self.ranks.get(raw)
-        if whole is not None:
-            ids = (whole,)
-        else:
-            ids = tuple(self.rank_of_piece[self.sp.encode("".join([self.chars[b] for b in raw]))].tolist())
-            if min(ids) < 0:
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of words: all that aren't a token as a whole go through sentencepiece in one call."""
+        known = self.known
+        rest = []
+        for w in words:
+            raw = w.encode()
+            whole = self.ranks.get(raw)
+            if whole is None:
+                rest.append((w, raw.decode("latin-1").translate(self.chars)))
+            else:
+                known[w] = (whole,)
+        rank = self.rank_of_piece.__getitem__
+        for (w, _), pieces in zip(rest, self.sp.encode([t for _, t in rest], num_threads=1) if rest else (), strict=True):
+            known[w] = ids = tuple(map(rank, pieces))
+            if None in ids:
                 raise ValueError("the rank file lacks a single byte")
-        if len(self.known) >= REMEMBERED:
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        cut = [self.split(t) for t in texts]
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.known[word] = ids
-        return ids
+        self.learn(set().union(*cut) - self.known.keys())
+        known = self.known.__getitem__
+        return [list(chain.from_iterable(map(known, words))) for words in cut]
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for word in self.split(text):
-            out.extend(known.get(word) or self.piece(word))
-        return out
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -121,12 +133,28 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def _with(batches, name: str, make):
+def _encoded(batches, c: Coder):
     for b in batches:
-        step = max(1, min(b.num_rows, 512))
-        for lo in range(0, b.num_rows, step):
-            part = b.slice(lo, step)
-            yield pa.RecordBatch.from_arrays([*part.columns, make(part)], names=[*part.schema.names, name])
+        _, off = column_bytes(b.column("text"))
+        for lo, hi in row_blocks(off):
+            ids = c.encode_all(b.column("text").slice(lo, hi - lo).to_pylist())
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
+            yield pa.RecordBatch.from_arrays([b.column("row").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["row", "ids"])
+
+
+def _decoded(batches, c: Coder):
+    for b in batches:
+        for lo in range(0, b.num_rows, 512):
+            part = b.slice(lo, 512)
+            ids = part.column("ids").fill_null([]) if part.column("ids").null_count else part.column("ids")
+            flat, n = ids.flatten().to_numpy().tolist(), np.diff(ids.offsets.to_numpy()).tolist()
+            at = 0
+            out = []
+            for k in n:
+                out.append(c.decode(flat[at : at + k]))
+                at += k
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -141,23 +169,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     rows = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
 
-    def make(batches):
-        c = coder(path, pattern)
-        for b in _with(batches, "ids", lambda p: pa.array([c.encode(t) for t in p.column("text").to_pylist()], pa.list_(pa.int32()))):
-            yield b.select(["row", "ids"])
-
-    return rows.mapInArrow(make, f"row {kind}, ids array<int>")
+    return rows.mapInArrow(lambda batches: _encoded(batches, coder(path, pattern)), f"row {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """`encoded` with ``decoded`` (binary): the bytes of its ``ids``; NULL ids give empty bytes."""
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
 
-    def make(batches):
-        c = coder(path, pattern)
-        return _with(batches, "decoded", lambda p: pa.array([c.decode(x or ()) for x in p.column("ids").to_pylist()], pa.binary()))
-
-    return encoded.mapInArrow(make, kind + ", decoded binary")
+    return encoded.mapInArrow(lambda batches: _decoded(batches, coder(path, pattern)), kind + ", decoded binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:
