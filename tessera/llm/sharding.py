@@ -21,6 +21,8 @@ from tessera.llm.repeats import loose
 SEED = 5
 #: Bytes of text that a bucket holds on average.
 BUCKET_BYTES = 16 << 20
+#: Up to so many buckets (16 TB of text), the table of their first places is broadcast.
+BROADCAST_BUCKETS = 1 << 20
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -64,6 +66,9 @@ def shuffled(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     start = count.select(F.col("__bucket").alias("bucket"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("start"))
 
+    if buckets <= BROADCAST_BUCKETS:  # 16 bytes a bucket; a join by shuffle would move the texts again
+        start = F.broadcast(start)
+
     def shuffle(key, table):
         return shuffle_bucket(table, seed).select(["row", "__bucket", "__place"])
 
