@@ -15,7 +15,8 @@ sign.  Counting is a Spark aggregate.
 an exception phrase doesn't count, and of several in one word the strongest does.
 
 *Score.*  The sum of the weights, as it is and by length, in a logistic curve fitted on
-the sample.  A text without any hit, an empty one too, gets the curve's lowest value.
+the sample, whose rows weigh as much as their class has among all labelled documents: the
+bounds of the sample don't move the score.  A text without any hit, an empty one too, gets the curve's lowest value.
 """
 
 from __future__ import annotations
@@ -150,15 +151,21 @@ class Lexicon:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 50) -> tuple[float, float, float]:
-    """Logistic regression by Newton's method; slopes carry a small penalty and are not negative."""
+def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 50, toxic_share: float | None = None) -> tuple[float, float, float]:
+    """Logistic regression by Newton's method; slopes carry a small penalty and are not negative.
+
+    `toxic_share` is the share of class 1 where the rows come from; both classes must be
+    there, and their rows are weighted to it (None: as they are)."""
     x = np.column_stack([np.ones(len(x)), x])
+    w = np.ones(len(x))
+    if toxic_share is not None:
+        w = np.where(y > 0, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean()))
     b = np.zeros(3)
     free = np.ones(3, dtype=bool)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        g = x.T @ (p - y) + penalty * b * [0, 1, 1]
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, penalty, penalty])
+        g = x.T @ (w * (p - y)) + penalty * b * [0, 1, 1]
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag([1e-6, penalty, penalty])
         step = np.zeros(3)
         step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
         b = b - step
@@ -174,7 +181,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A lexicon from the rows of `docs` that `labels` marks (0 or 1; others are left out).
 
     An id with several labels counts as toxic if one of them is 1.  At most `toxic_rows` and
-    `other_rows` ids are used, the least by a seeded hash.  With rows of one class only, or
+    `other_rows` ids are used, the least by a seeded hash; the classes' share is counted over
+    all labelled rows.  With rows of one class only, or
     none, the lexicon is empty and every text scores the share of toxic rows (0 if none).
     """
     shared_folder(docs)
@@ -209,6 +217,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         share = na / (na + nb) if na + nb else 0.0
         return Lexicon({}, (float(np.log((share + 1e-9) / (1 - share + 1e-9))), 0.0, 0.0), exceptions)
 
+    # one row an id before the join, so a repeated id is no hot key
+    every = docs.groupBy(i.alias("id")).agg(F.count("*").alias("n")).join(marked, "id").groupBy("y").agg(F.sum("n").alias("n"))
+    of_class = {r.y: r.n for r in every.collect()}
+
     def count(batches):
         for b in batches:
             held = (Counter(), Counter())
@@ -234,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield table_of(u=np.ascontiguousarray(x[:, 0]), v=np.ascontiguousarray(x[:, 1]), y=b.column("y"))
 
     rows = known.mapInArrow(features, "u double, v double, y int").collect()  # within the sample's bounds
-    lexicon.curve = fit_curve(np.array([(r.u, r.v) for r in rows]), np.array([r.y for r in rows], dtype=float))
+    lexicon.curve = fit_curve(np.array([(r.u, r.v) for r in rows]), np.array([r.y for r in rows], dtype=float), toxic_share=of_class[1] / (of_class[0] + of_class[1]))
     return lexicon
 
 

@@ -221,3 +221,15 @@ def test_no_labels(spark, none):
     assert {r.predicted for r in toxicity.digest(docs, empty).collect()} == {0}
     assert toxicity.digest(none, empty).count() == 0
     assert toxicity.without_toxic(none, empty).columns == none.columns
+
+
+def test_score_is_the_same_at_every_sample_size(spark):
+    rows, labels = toxic_corpus(1200)
+    rnd = random.Random(9)  # labels that the words don't tell, so that scores lie between 0 and 1
+    labels = [(i, q, 1 - y if rnd.random() < (0.03 if y == 0 else 0.2) else y) for i, q, y in labels]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string").cache(), spark.createDataFrame(labels, "doc_id long, quality int, toxic int").cache()
+    whole, capped = toxicity.learn(docs, marks), toxicity.learn(docs, marks, other_rows=200)
+    mean = [sum(lex.score(t) for _, t in rows) / len(rows) for lex in (whole, capped)]
+    true = sum(y for *_, y in labels) / len(labels)
+    assert abs(mean[0] - true) < 0.03 and abs(mean[1] - true) < 0.03
+    assert abs(whole.score("") - capped.score("")) < 0.02
