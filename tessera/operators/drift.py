@@ -12,9 +12,9 @@ once; every test then groups by feature:
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,9 @@ REF, CUR = "reference", "current"
 DATA_DRIFT_THRESHOLD = 0.1
 PREDICTION_DRIFT_THRESHOLD = 0.1
 PERFORMANCE_DEGRADATION_THRESHOLD = 0.05
+# Rows of a model's log that its report looks at, and the types judged by the p-value of one column.
+NEWEST_ROWS = 1000
+ONE_COLUMN_TYPES = ("prediction_drift", "concept_drift")
 
 
 def stack_sides(reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -45,6 +48,15 @@ def split_columns(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], lis
     return num, cat
 
 
+def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``cols``; with more than ``feature`` in it, NULL keys meet each other."""
+    if list(cols) == ["feature"]:
+        return left.join(right, "feature", how)
+    r = right.withColumnsRenamed({c: f"__{c}" for c in cols})
+    cond = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cols]
+    return left.join(r, cond, how).drop(*[f"__{c}" for c in cols])
+
+
 def _long_numeric(stacked: DataFrame, columns: Sequence[str]) -> DataFrame:
     items = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns]
     return stacked.select("side", F.inline(F.array(*items))).where(F.col("v").isNotNull())
@@ -68,23 +80,24 @@ def ranked_sides(stacked: DataFrame, columns: Sequence[str]) -> DataFrame:
     return prefix_sums(counts, ["feature"], "v", ["n_ref", "n_cur"], materialize=True)
 
 
-def ecdf(stacked: DataFrame, columns: Sequence[str], ranked: DataFrame | None = None) -> DataFrame:
+def ecdf(stacked: DataFrame, columns: Sequence[str], ranked: DataFrame | None = None,
+         keys: Sequence[str] = ()) -> DataFrame:
     """Per feature and distinct value: cumulative share on each side."""
     cum = ranked if ranked is not None else ranked_sides(stacked, columns)
     return cum.select(
-        "feature", "v", F.try_divide(F.col("cum_n_ref"), F.col("total_n_ref")).alias("cdf_ref"),
+        *keys, "feature", "v", F.try_divide(F.col("cum_n_ref"), F.col("total_n_ref")).alias("cdf_ref"),
         F.try_divide(F.col("cum_n_cur"), F.col("total_n_cur")).alias("cdf_cur"),
         F.col("total_n_ref").alias("N"), F.col("total_n_cur").alias("M"))
 
 
 def ks_test(stacked: DataFrame, columns: Sequence[str], threshold: float = PREDICTION_DRIFT_THRESHOLD,
-            ranked: DataFrame | None = None) -> DataFrame:
+            ranked: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Two-sample KS per numeric feature: statistic D, p-value, score = 1 − p."""
-    e = ecdf(stacked, columns, ranked)
-    d = e.groupBy("feature", F.col("N").alias("n_ref"), F.col("M").alias("n_cur")).agg(
+    e = ecdf(stacked, columns, ranked, keys)
+    d = e.groupBy(*keys, "feature", F.col("N").alias("n_ref"), F.col("M").alias("n_cur")).agg(
         F.max(F.abs(F.coalesce("cdf_ref", F.lit(0.0)) - F.coalesce("cdf_cur", F.lit(0.0)))).alias("statistic"))
     p = S.ks_pvalue(F.col("statistic"), F.col("n_ref"), F.col("n_cur"))
-    return d.select("feature", F.lit("ks").alias("test"), "statistic", p.alias("p_value"),
+    return d.select(*keys, "feature", F.lit("ks").alias("test"), "statistic", p.alias("p_value"),
                     F.col("n_ref").cast("bigint").alias("n_ref"), F.col("n_cur").cast("bigint").alias("n_cur")
                     ).withColumn("drift_score", 1 - F.col("p_value")).withColumn(
         "drift_detected", F.coalesce(F.col("p_value") < threshold, F.lit(False)))
@@ -96,30 +109,30 @@ def category_counts(stacked: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def chi_square_test(stacked: DataFrame, columns: Sequence[str], threshold: float = PREDICTION_DRIFT_THRESHOLD,
-                    categories: DataFrame | None = None) -> DataFrame:
+                    categories: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Goodness of fit of current counts to reference shares, per categorical feature.
 
     expected = ref · n_cur / n_ref; a category never seen in the reference makes
     the statistic infinite (p = 0); dof = categories − 1.
     """
     cc = categories if categories is not None else category_counts(stacked, columns)
-    tot = cc.groupBy("feature").agg(F.sum("n_ref").alias("N"), F.sum("n_cur").alias("M"),
+    tot = cc.groupBy(*keys, "feature").agg(F.sum("n_ref").alias("N"), F.sum("n_cur").alias("M"),
                                     F.count(F.lit(1)).alias("k"))
-    j = cc.join(tot, "feature")
+    j = _join_on(cc, tot, [*keys, "feature"])
     expected = F.col("n_ref") * F.try_divide(F.col("M"), F.col("N"))
     term = F.when(expected > 0, (F.col("n_cur") - expected) ** 2 / expected).when(
         F.col("n_cur") > 0, F.lit(float("inf"))).otherwise(0.0)
-    agg = j.groupBy("feature", "N", "M", "k").agg(F.sum(term).alias("statistic"))
+    agg = j.groupBy(*keys, "feature", "N", "M", "k").agg(F.sum(term).alias("statistic"))
     p = S.chi2_sf(F.col("statistic"), F.col("k") - 1)
-    return agg.select("feature", F.lit("chi_square").alias("test"), "statistic", p.alias("p_value"),
+    return agg.select(*keys, "feature", F.lit("chi_square").alias("test"), "statistic", p.alias("p_value"),
                       F.col("N").cast("bigint").alias("n_ref"), F.col("M").cast("bigint").alias("n_cur")
                       ).withColumn("drift_score", 1 - F.col("p_value")).withColumn(
         "drift_detected", F.coalesce(F.col("p_value") < threshold, F.lit(False)))
 
 
 def psi(stacked: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), bins: int = 10,
-        eps: float = S.PSI_EPS, ranked: DataFrame | None = None, categories: DataFrame | None = None
-        ) -> DataFrame:
+        eps: float = S.PSI_EPS, ranked: DataFrame | None = None, categories: DataFrame | None = None,
+        keys: Sequence[str] = ()) -> DataFrame:
     """Population stability index per feature.
 
     Numeric bins are the reference's quantile edges (exact), read off the ranked
@@ -128,30 +141,31 @@ def psi(stacked: DataFrame, numeric: Sequence[str], categorical: Sequence[str] =
     bin, so the raw rows are never scanned again.  Categorical bins are the
     categories, from the same per-category counts as chi-square.
     """
-    parts = []
+    parts, by = [], [*keys, "feature"]
     if numeric:
         probs = [i / bins for i in range(bins + 1)]
         rk = ranked if ranked is not None else ranked_sides(stacked, numeric)
-        edges = quantiles_from_ranked(rk, ["feature"], "v", "n_ref", "cum_n_ref", "total_n_ref", probs).select(
-            "feature", F.array_sort(F.array_distinct("quantiles")).alias("edges"))
+        edges = quantiles_from_ranked(rk, by, "v", "n_ref", "cum_n_ref", "total_n_ref", probs).select(
+            *by, F.array_sort(F.array_distinct("quantiles")).alias("edges"))
         code = bin_code(F.col("v"), F.col("edges"), bins + 1)
-        parts.append(rk.join(edges, "feature").select("feature", code.cast("string").alias("bin"),
-                                                      F.col("n_ref").alias("r"), F.col("n_cur").alias("c")))
+        parts.append(_join_on(rk, edges, by).select(*by, code.cast("string").alias("bin"),
+                                                    F.col("n_ref").alias("r"), F.col("n_cur").alias("c")))
     if categorical:
         cc = categories if categories is not None else category_counts(stacked, categorical)
-        parts.append(cc.select("feature", F.col("category").alias("bin"), F.col("n_ref").alias("r"),
+        parts.append(cc.select(*by, F.col("category").alias("bin"), F.col("n_ref").alias("r"),
                                F.col("n_cur").alias("c")))
     if not parts:
         raise ValueError("no columns")
     binned = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    counts = binned.groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    tot = counts.groupBy("feature").agg(F.sum("r").alias("r_total"), F.sum("c").alias("c_total"))
-    j = counts.join(tot, "feature")
+    counts = binned.groupBy(*by, "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    tot = counts.groupBy(*by).agg(F.sum("r").alias("r_total"), F.sum("c").alias("c_total"))
+    j = _join_on(counts, tot, by)
     term = S.psi_term(F.try_divide(F.col("c"), F.col("c_total")), F.try_divide(F.col("r"), F.col("r_total")), eps)
-    return j.groupBy("feature").agg(F.sum(term).alias("psi"), F.count(F.lit(1)).alias("n_bins"))
+    return j.groupBy(*by).agg(F.sum(term).alias("psi"), F.count(F.lit(1)).alias("n_bins"))
 
 
-def side_counts_all(stacked: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+def side_counts_all(stacked: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
+                    keys: Sequence[str] = ()) -> DataFrame:
     """Per feature and distinct value, the count on each side, for numeric and
     categorical columns together: one unpivot and one grouped aggregate, i.e. one
     pass over the raw rows whatever the number of columns and tests.  The result
@@ -161,9 +175,9 @@ def side_counts_all(stacked: DataFrame, numeric: Sequence[str], categorical: Seq
                        F.lit(None).cast("string").alias("cat")) for c in numeric]
              + [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("num"),
                          F.col(c).cast("string").alias("cat")) for c in categorical])
-    long = stacked.select("side", F.inline(F.array(*items))).where(
+    long = stacked.select(*keys, "side", F.inline(F.array(*items))).where(
         F.col("num").isNotNull() | F.col("cat").isNotNull())
-    counts = long.groupBy("feature", "num", "cat").agg(
+    counts = long.groupBy(*keys, "feature", "num", "cat").agg(
         F.sum(F.when(F.col("side") == REF, 1.0).otherwise(0.0)).alias("n_ref"),
         F.sum(F.when(F.col("side") == CUR, 1.0).otherwise(0.0)).alias("n_cur"))
     checkpoint_dir(stacked.sparkSession)
@@ -172,25 +186,29 @@ def side_counts_all(stacked: DataFrame, numeric: Sequence[str], categorical: Seq
 
 def data_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None,
                threshold: float = DATA_DRIFT_THRESHOLD, p_threshold: float = PREDICTION_DRIFT_THRESHOLD,
-               with_psi: bool = True) -> DataFrame:
-    """Per column: test (KS numeric / chi-square categorical), statistic, p, score, flag, PSI."""
-    stacked = stack_sides(reference, current, columns)
-    cols = [c for c in stacked.columns if c != "side"]
+               with_psi: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+    """Per column: test (KS numeric / chi-square categorical), statistic, p, score, flag, PSI.
+
+    With ``keys`` (columns of both sides) that for every key by itself, all in the same jobs;
+    the names ``feature``, ``num``, ``cat``, ``v`` and ``side`` are taken."""
+    keys = list(keys)
+    stacked = stack_sides(reference, current, [*keys, *columns] if columns else None)
+    cols = [c for c in stacked.columns if c != "side" and c not in keys]
     num, cat = split_columns(stacked, cols)
-    parts = []
-    counts = side_counts_all(stacked, num, cat)
-    ranked = (prefix_sums(counts.where(F.col("num").isNotNull()).select("feature", F.col("num").alias("v"),
+    parts, by = [], [*keys, "feature"]
+    counts = side_counts_all(stacked, num, cat, keys)
+    ranked = (prefix_sums(counts.where(F.col("num").isNotNull()).select(*by, F.col("num").alias("v"),
                                                                        "n_ref", "n_cur"),
-                          ["feature"], "v", ["n_ref", "n_cur"], materialize=True) if num else None)
-    cats = (counts.where(F.col("cat").isNotNull()).select("feature", F.col("cat").alias("category"), "n_ref", "n_cur")
+                          by, "v", ["n_ref", "n_cur"], materialize=True) if num else None)
+    cats = (counts.where(F.col("cat").isNotNull()).select(*by, F.col("cat").alias("category"), "n_ref", "n_cur")
             if cat else None)
     if num:
-        parts.append(ks_test(stacked, num, p_threshold, ranked))
+        parts.append(ks_test(stacked, num, p_threshold, ranked, keys))
     if cat:
-        parts.append(chi_square_test(stacked, cat, p_threshold, cats))
+        parts.append(chi_square_test(stacked, cat, p_threshold, cats, keys))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if with_psi:
-        out = out.join(psi(stacked, num, cat, ranked=ranked, categories=cats), "feature", "left")
+        out = _join_on(out, psi(stacked, num, cat, ranked=ranked, categories=cats, keys=keys), by, "left")
     return out
 
 
@@ -220,17 +238,45 @@ def concept_drift(reference: DataFrame, current: DataFrame, target_col: str,
     return prediction_drift(reference, current, target_col, threshold)
 
 
-def drift_report(checks: DataFrame, model_name: str, model_version: str, drift_type: str, created_at,
-                 threshold: float = DATA_DRIFT_THRESHOLD) -> DataFrame:
-    """One drift_reports row from per-feature checks (D8): id, flags, scores, time."""
-    s = drift_summary(checks, threshold)
-    rid = F.concat(F.lit("drift-"), F.substring(F.sha2(F.concat_ws("|", F.lit(model_name), F.lit(model_version),
-                                                                   F.lit(drift_type), F.lit(str(created_at))), 256),
-                                               1, 12))
+def drift_report(reference: DataFrame, log: DataFrame, columns: Mapping[str, Sequence[str]], created_at,
+                 newest: int | None = NEWEST_ROWS, threshold: float = DATA_DRIFT_THRESHOLD,
+                 p_threshold: float = PREDICTION_DRIFT_THRESHOLD, ts_col: str = "timestamp",
+                 id_col: str = "prediction_id") -> DataFrame:
+    """One drift_reports row per model of ``log`` and drift type (D8): id, flags, scores, time.
+
+    ``columns`` gives the columns of each drift type.  The current side is the ``newest``
+    rows of each model (None: all its rows), the reference side that model's rows of
+    ``reference``.  Prediction and concept drift are judged by the p-value of their column
+    (score 1 − p), the others by the share of drifted columns.  The version is that of the
+    model's newest row.  A model or type without values to compare gives a report of no columns.
+    """
+    current = log
+    if newest is not None:
+        w = Window.partitionBy("model_name").orderBy(F.col(ts_col).desc(), F.col(id_col).desc())
+        current = log.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= newest).drop("__rn")
+    every = list(dict.fromkeys(c for cols in columns.values() for c in cols))
+    checks = data_drift(reference, current, every, p_threshold=p_threshold, with_psi=False, keys=["model_name"])
+    types = F.array_compact(F.array(*[F.when(F.col("feature").isin(list(c)), F.lit(t)) for t, c in columns.items()]))
+    per_type = checks.withColumn("drift_type", F.explode(types)).groupBy("model_name", "drift_type").agg(
+        F.count(F.lit(1)).alias("n_features"), (F.count_if("drift_detected") / F.count(F.lit(1))).alias("share"),
+        F.max("drift_score").alias("largest"), F.bool_or("drift_detected").alias("any"),
+        F.array_sort(F.collect_list(F.when(F.col("drift_detected"), F.col("feature")))).alias("drifted_features"),
+        F.map_from_entries(F.collect_list(F.struct("feature", "drift_score"))).alias("feature_scores"))
+    models = log.groupBy("model_name").agg(
+        F.max_by("model_version", F.struct(ts_col, id_col)).alias("model_version"))
+    grid = models.withColumn("drift_type", F.explode(F.array(*[F.lit(t) for t in columns])))
+    s = _join_on(grid, per_type, ["model_name", "drift_type"], "left")
+    one = F.col("drift_type").isin(*ONE_COLUMN_TYPES)
+    part = [F.coalesce(c, F.lit("")) for c in ("model_name", "model_version", "drift_type")]
+    rid = F.concat(F.lit("drift-"), F.substring(F.sha2(F.concat_ws("|", *part, F.lit(str(created_at))), 256), 1, 12))
     return s.select(
-        rid.alias("report_id"), F.lit(model_name).alias("model_name"), F.lit(model_version).alias("model_version"),
-        F.lit(drift_type).alias("drift_type"), "drift_detected", "drift_score", "threshold",
-        F.col("features_analyzed").cast("int").alias("n_features"), "drifted_features", "feature_scores",
+        rid.alias("report_id"), "model_name", "model_version", "drift_type",
+        F.coalesce(F.when(one, F.col("any")).otherwise(F.col("share") > threshold), F.lit(False)).alias("drift_detected"),
+        F.when(one, F.col("largest")).otherwise(F.col("share")).alias("drift_score"),
+        F.when(one, F.lit(p_threshold)).otherwise(F.lit(threshold)).alias("threshold"),
+        F.coalesce("n_features", F.lit(0)).cast("int").alias("n_features"),
+        F.coalesce("drifted_features", F.array().cast("array<string>")).alias("drifted_features"),
+        F.coalesce("feature_scores", F.create_map().cast("map<string,double>")).alias("feature_scores"),
         F.lit(created_at).cast("timestamp_ntz").alias("created_at"))
 
 

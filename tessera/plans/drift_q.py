@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import chi2_sf_sql, ks_pvalue_sql
-from tessera.operators import catalog as C
 from tessera.operators import drift as D
 from tessera.plans import mappings as M
 from tessera.plans.common import query, round_doubles, tbl
@@ -228,10 +227,9 @@ def flatten_features(spark, sf):
 
 @query("drift_report")
 def drift_report(spark, sf):
-    """D8 for model m1: reference = first half of its log, current = its latest 1000 predictions."""
+    """D8 for every model and drift type: reference = first half of its log, current = its newest
+    ``D.NEWEST_ROWS`` predictions."""
     p = D.flatten_features(M.predictions(spark, sf), "features", ["k"], "int")
-    m1 = p.where(F.col("model_name") == "m1")
-    ref = m1.where(F.col("timestamp") < F.lit(EVENTS_SPLIT).cast("timestamp_ntz"))
-    cur = C.prediction_log_scan(m1, "m1", limit=1000)
-    checks = D.data_drift(ref, cur, ["k", "latency_ms", "prediction"], with_psi=False)
-    return D.drift_report(checks, "m1", "v1", "data_drift", "2024-01-31 00:00:00")
+    ref = p.where(F.col("timestamp") < F.lit(EVENTS_SPLIT).cast("timestamp_ntz"))
+    columns = dict(zip(M.DRIFT_TYPES, (["k", "latency_ms", "prediction"], ["prediction"], ["actual"], ["k"]), strict=True))
+    return D.drift_report(ref, p, columns, "2024-01-31 00:00:00")

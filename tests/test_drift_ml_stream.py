@@ -247,3 +247,35 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         SE.checkpoint_dir(Fake())
+
+
+def test_drift_report_of_every_model_and_type(spark):
+    import datetime
+
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = []
+    for m in ("a", "b", None):
+        for i in range(400):  # the newest 50 rows of b and of no name are shifted in x, those of a are not
+            new = i >= 350
+            rows.append((f"{m}{i:03}", m, "v2" if new else "v1", t0 + datetime.timedelta(minutes=i),
+                         float(i % 10) + (100.0 if new and m != "a" else 0.0), float(i % 2), "u" if i % 2 else "w"))
+    log = spark.createDataFrame(rows + [("c0", "c", "v9", t0, None, None, None)],
+                                "prediction_id string, model_name string, model_version string, "
+                                "timestamp timestamp_ntz, x double, prediction double, actual string")
+    ref = log.where(F.col("timestamp") < F.lit("2024-01-01 05:50:00").cast("timestamp_ntz"))
+    types = {"data_drift": ["x", "prediction"], "prediction_drift": ["prediction"], "concept_drift": ["actual"],
+             "feature_drift": ["x"]}
+    got = {(r.model_name, r.drift_type): r for r in D.drift_report(ref, log, types, "2024-02-01", newest=50).collect()}
+    assert set(got) == {(m, t) for m in ("a", "b", "c", None) for t in types}
+    assert len({r.report_id for r in got.values()}) == 16
+    for m in ("b", None):
+        r = got[m, "data_drift"]
+        assert r.drift_detected and r.drift_score == 0.5 and r.drifted_features == ["x"] and r.model_version == "v2"
+        assert got[m, "feature_drift"].drift_detected and not got[m, "prediction_drift"].drift_detected
+    assert not any(r.drift_detected for (m, _), r in got.items() if m in ("a", "c"))
+    assert got["c", "data_drift"].n_features == 0 and got["a", "concept_drift"].n_features == 1
+    # one model by itself has the same checks
+    alone = D.data_drift(ref.where("model_name = 'b'"), log.where("model_name = 'b'"), ["x", "actual"]).orderBy("feature")
+    keyed = D.data_drift(ref, log, ["x", "actual"], keys=["model_name"]).where("model_name = 'b'").drop("model_name")
+    for k, a in zip(keyed.select(alone.columns).orderBy("feature").collect(), alone.collect(), strict=True):
+        assert all(x == pytest.approx(y) if isinstance(y, float) else x == y for x, y in zip(k, a))
