@@ -8,8 +8,8 @@ for, and all else a space: ``1d10t``, ``іdіоt`` and ``Idiot`` are one word.
 words with a space at both ends (so a term may be a word, its start, its end or its
 middle), weighted by the logarithm of how much more often toxic documents hold them, and
 taken by their G-test value.  The rows are a sample of fixed bounds, the least by a
-seeded hash of the id, without near copies, which would pass any of their words off as a
-sign.  Counting is a Spark aggregate.
+seeded hash of the id, without near copies (verified Jaccard value), which would pass any of
+their words off as a sign.  Counting is a Spark aggregate.
 
 *Matching.*  One Aho-Corasick automaton holds terms and exception phrases; a hit within
 an exception phrase doesn't count, and of several in one word the strongest does.
@@ -31,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import shared_folder
+from tessera.llm.jaccard import jaccard_groups
 from tessera.llm.repeats import table_of
 
 #: Bounds of the labelled sample, of the lexicon, and of a term's length.
 TOXIC_ROWS, OTHER_ROWS, TERMS, SHORT, LONG = 8192, 16384, 4096, 4, 8
+#: Rows of the sample are near copies from this Jaccard value of their word triples on.
+NEAR_WORDS, NEAR_PERCENT = 3, 80
 #: Least G-test value of a term, and its largest weight.
 LEAST_G, MOST_WEIGHT = 30.0, 6.0
 #: Letters that look like a Latin one, and what digits and signs stand for.
@@ -190,27 +193,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.where(i.isNotNull() & F.col(f"`{label_col}`").isin(0, 1)).groupBy(i.alias("id")).agg(F.max(F.col(f"`{label_col}`")).cast("int").alias("y"))
     pick = lambda y, n: marked.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(n)
     chosen = F.broadcast(pick(1, toxic_rows).unionByName(pick(0, other_rows)))  # at most toxic_rows + other_rows ids
-    sample = docs.select(i.alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).join(chosen, "id").select("text", "y")
-
-    def keyed(batches):
-        """Folded texts with four min-hash values of their word triples."""
-        from tessera.llm.jaccard import shingle_sets
+    sample = docs.select(i.alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).join(chosen, "id")
+    sample = sample.withColumn("node", F.xxhash64("id", "text")).dropDuplicates(["node"]).checkpoint()
+    # one row of each group of near copies and class, the least id's; all texts without words are one
+    group = jaccard_groups(sample, "node", "text", NEAR_WORDS, NEAR_PERCENT).select("row.node", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))
+    kept = sample.join(group, "node").groupBy("group", "y").agg(F.min_by("text", F.struct("id", "node")).alias("text"))
 
+    def folded(batches):
         for b in batches:
-            for row0, h, off in shingle_sets(b.column("text"), 3):
-                n = len(off) - 1
-                keys = np.zeros((n, 4), dtype=np.uint64)
-                full = np.flatnonzero(np.diff(off))
-                if len(full):
-                    starts = np.append(off[:-1][full], off[-1])
-                    odd = np.random.Generator(np.random.PCG64(33)).integers(1, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                    keys[full] = np.stack([np.minimum.reduceat(h * m, starts[:-1]) for m in odd], 1)
-                yield table_of(text=pa.array([fold(t) for t in b.column("text").slice(row0, n).to_pylist()]), y=b.column("y").slice(row0, n), **{f"k{j}": np.ascontiguousarray(keys[:, j]) for j in range(4)})
-
-    known = sample.mapInArrow(keyed, "text string, y int, k0 long, k1 long, k2 long, k3 long")
-    for j in range(4):
-        known = known.dropDuplicates([f"k{j}", "y"])
-    known = known.select("text", "y").checkpoint()
+            yield table_of(text=pa.array([fold(t) for t in b.column("text").to_pylist()], pa.string()), y=b.column("y"))
+
+    known = kept.mapInArrow(folded, "text string, y int").checkpoint()
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     na, nb = total.get(1, 0), total.get(0, 0)
     if not na or not nb:

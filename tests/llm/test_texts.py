@@ -233,3 +233,18 @@ def test_score_is_the_same_at_every_sample_size(spark):
     true = sum(y for *_, y in labels) / len(labels)
     assert abs(mean[0] - true) < 0.03 and abs(mean[1] - true) < 0.03
     assert abs(whole.score("") - capped.score("")) < 0.02
+
+
+def test_sample_loses_near_copies_only(spark, monkeypatch):
+    rnd, seen = random.Random(3), {}
+    word = lambda: "".join(rnd.choice("bdfglmnprstv") + rnd.choice("aeiou") for _ in range(4))
+    passage = " ".join(word() for _ in range(12))
+    texts = [passage + " " + " ".join(word() for _ in range(40)) for _ in range(80)]  # Jaccard about 0.11
+    copy = texts[0].split(" ")
+    texts += [" ".join([*copy[:-1], "other"]), texts[1], "", " "]
+    rows = [(i, t + (" grolbak snurfel" if i % 2 and i < 80 else "")) for i, t in enumerate(texts)]
+    rows[81] = (81, rows[1][1])
+    monkeypatch.setattr(toxicity, "fit_curve", lambda x, y, **k: seen.update(n=len(y), toxic=int(y.sum())) or (0.0, 1.0, 0.0))
+    labels = [(i, 1, int(i % 2 and i < 82)) for i, _ in rows]
+    toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert seen == {"n": 81, "toxic": 40}  # 40 of each class, and one text without words
