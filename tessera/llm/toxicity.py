@@ -1,7 +1,7 @@
 """Operator 3: toxicity by a weighted lexicon.
 
 *Folding.*  Texts are lower-cased; accents and look-alike letters of other scripts become
-the Latin letter they look like, digits and signs set in a word the letter they stand
+the Latin letter they look like (mathematical and enclosed letters too), digits and signs set in a word the letter they stand
 for, and all else a space: ``1d10t``, ``іdіоt`` and ``Idiot`` are one word.
 
 *Lexicon.*  Learned from labelled rows: the terms are runs of 4 to 8 characters of folded
@@ -48,21 +48,28 @@ LOOK_ALIKES = {
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l", "+": "t"}
+#: Firsts of the 26 enclosed capital letters that NFKD doesn't turn into a letter, or not into one alone.
+ENCLOSED = (0x1F110, 0x1F130, 0x1F150, 0x1F170)
+#: Code points that are folded; above lie CJK extensions, tags and private use.
+FOLDED = 0x20000
 #: Benign phrases around words that a lexicon may hold.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "pathetic fallacy", "sore loser", "village idiot")
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Folded character by code point (0: a space), and the letter a sign stands for within a word."""
-    fold = np.zeros(0x10000, dtype=np.uint32)
-    for c in range(0x10000):
+    fold = np.zeros(FOLDED, dtype=np.uint32)
+    for c in range(FOLDED):
         if 0xD800 <= c < 0xE000:
             continue
         ch = unicodedata.normalize("NFKD", chr(c).lower())[:1] if c > 127 else chr(c).lower()
+        ch = ch.lower()[:1] if c >= 0x10000 else ch  # mathematical capitals have no lower case of their own
         ch = LOOK_ALIKES.get(chr(c).lower(), LOOK_ALIKES.get(ch, DIGITS.get(ch, ch)))
         if ch.isalpha():
             fold[c] = ord(ch)
-    signs = np.zeros(0x10000, dtype=np.uint32)
+    for first in ENCLOSED:
+        fold[first : first + 26] = np.arange(ord("a"), ord("z") + 1)
+    signs = np.zeros(FOLDED, dtype=np.uint32)
     for a, b in SIGNS.items():
         signs[ord(a)] = ord(b)
     return fold, signs
@@ -74,7 +81,7 @@ FOLD, SIGN = _tables()
 def fold(text: str) -> str:
     """The folded words, one space before, between and after."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    c = np.where(c < 0x10000, c, 32)
+    c = np.where(c < FOLDED, c, 32)
     out = FOLD[c]
     sign = np.flatnonzero(SIGN[c])
     if len(sign):

@@ -248,3 +248,10 @@ def test_sample_loses_near_copies_only(spark, monkeypatch):
     labels = [(i, 1, int(i % 2 and i < 82)) for i, _ in rows]
     toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert seen == {"n": 81, "toxic": 40}  # 40 of each class, and one text without words
+
+
+def test_folding_of_letters_outside_the_bmp():
+    for first in (0x1D400, 0x1D468, 0x1D4D0, 0x1D5A0, 0x1D670, 0x1F110, 0x1F130, 0x1F150, 0x1F170):
+        assert toxicity.fold("".join(chr(first + ord(c) - 97) for c in "idiot")) == " idiot ", hex(first)
+    assert toxicity.fold("".join(chr(0x1D41A + ord(c) - 97) for c in "idiot") + " \U0001F600 x") == " idiot x "
+    assert toxicity.fold("𝟏d𝟏𝟎t \U00020000") == " idiot "
