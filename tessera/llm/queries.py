@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, bpe, jaccard, licenses, packing, sharding, substring_dedup, suffix_dedup, toxicity, vec_dedup
+from tessera.llm import ann, bpe, decontaminate, jaccard, licenses, packing, sharding, substring_dedup, suffix_dedup, toxicity, vec_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op10_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP6_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -164,6 +168,29 @@ SELECT r.a AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles,
 FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 """
 
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, list_slice(w, p, p + least(len(w), 10) - 1) AS win, least(len(w), 10) AS m
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS p FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, p, m, list_slice(w, p, p + m - 1) AS win
+  FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS p FROM words, (SELECT DISTINCT m FROM windows))
+), met AS (
+  SELECT d.doc_id, d.p, d.m, i.item FROM places d JOIN windows i ON d.win = i.win
+), hit AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(generate_series(p, p + m - 1)) AS q FROM met) GROUP BY doc_id
+), own AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(o.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(o.items, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM words w LEFT JOIN hit h ON w.doc_id = h.doc_id LEFT JOIN own o ON w.doc_id = o.doc_id
+"""
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
@@ -175,4 +202,5 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_cross_polytope_dedup": (op9_cross_polytope_dedup, OP9_SQL),
     "op10_token_group_join": (op10_token_group_join, OP10_SQL),
+    "op11_wu_manber_decontamination": (op11_wu_manber_decontamination, OP11_SQL),
 }
