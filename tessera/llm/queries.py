@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ann, bpe, decontaminate, jaccard, licenses, packing, sharding, substring_dedup, suffix_dedup, toxicity, vec_dedup
+from tessera.llm import ann, bpe, decontaminate, jaccard, licenses, packing, ranked, sharding, substring_dedup, suffix_dedup, toxicity, variants, vec_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,14 @@ def op11_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_pair_bound_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.digest(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -191,6 +199,65 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS B
 FROM words w LEFT JOIN hit h ON w.doc_id = h.doc_id LEFT JOIN own o ON w.doc_id = o.doc_id
 """
 
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), totals AS (
+  SELECT count(*) AS docs, sum(len(w)) AS terms FROM words WHERE len(w) > 0
+), occurrences AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM words)
+  WHERE term IN (SELECT term FROM items) GROUP BY doc_id, n, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM occurrences GROUP BY term), totals
+), scores AS (
+  SELECT i.item_id, o.doc_id, CAST(sum(x.weight * ((1000000000 * o.tf) // (1000 * o.tf + 20 * (50 + (50 * o.n * t.docs) // t.terms)))) AS BIGINT) AS score
+  FROM items i JOIN occurrences o ON i.term = o.term JOIN weights x ON x.term = i.term CROSS JOIN totals t GROUP BY i.item_id, o.doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+OP13_SQL = (
+    r"""
+WITH RECURSIVE crc AS (
+  SELECT """
+    + str(variants.CRC.tolist())
+    + r""" AS t
+), runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 5
+), hashed AS (
+  SELECT run, k, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id || ':' || run, ''),
+           lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END))),
+           lambda s, b: xor(t[(xor(s, b) & 255) + 1], s >> 8)), 4294967295) AS h
+  FROM (SELECT doc_id, run, count(*) AS k FROM runs GROUP BY doc_id, run), crc
+), vocab AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), shorter AS (
+  SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS p FROM vocab)
+), near AS (
+  SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM shorter a JOIN vocab b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM shorter a JOIN vocab b ON a.rest = b.word
+), best AS (
+  SELECT e.word, count(*) AS n_near, arg_min(e.other, {'less': -v.n, 'word': e.other}) AS form, max(v.n) AS form_n FROM near e JOIN vocab v ON v.word = e.other GROUP BY e.word
+), forms AS (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 2 * v.n THEN b.form END AS form, CASE WHEN b.form_n >= 2 * v.n THEN b.form_n END AS form_n
+  FROM vocab v LEFT JOIN best b ON b.word = v.word
+), chain AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms l ON l.word = c.root WHERE l.form IS NULL
+"""
+)
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_best_fit_packing": (op2_best_fit_packing, None),
@@ -203,4 +270,6 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op9_cross_polytope_dedup": (op9_cross_polytope_dedup, OP9_SQL),
     "op10_token_group_join": (op10_token_group_join, OP10_SQL),
     "op11_wu_manber_decontamination": (op11_wu_manber_decontamination, OP11_SQL),
+    "op12_pair_bound_maxscore": (op12_pair_bound_maxscore, OP12_SQL),
+    "op13_spelling_variants": (op13_spelling_variants, OP13_SQL),
 }
