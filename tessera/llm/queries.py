@@ -96,7 +96,7 @@ def _templates() -> str:
     rows = []
     for base, group in ((True, licenses.PHRASES), (False, licenses.NOTICES)):
         for label, text in group.items():
-            w = text.split()
+            w = licenses.template_words(text)
             rows += [f"('{label}', {base}, {t}, '{w[t]}', '{w[t + 1]}', {len(w) - 1})" for t in range(len(w) - 1)]
     return "(VALUES " + ", ".join(rows) + ") AS x(label, base, t, w1, w2, n)"
 

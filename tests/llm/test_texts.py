@@ -158,6 +158,19 @@ def test_merged_diagonals(spark):
     assert got[3].labels == [] and got[3].score == 0
 
 
+def test_whole_license_texts(spark):
+    """Templates of several bitmaps, with changed words, and far apart from each other in a long document."""
+    mit, isc = (licenses.template_words(licenses.NOTICES[x]) for x in ("mit-text", "isc-text"))
+    assert len(mit) > 128 and len(isc) > 64
+    half = mit[: len(mit) // 2]
+    rows = [(1, " ".join(mit)), (2, "word " * 30_000 + " ".join([*isc[:50], "surely", *isc[51:]]) + " word" * 30_000), (3, " ".join(half)), (4, "any \u212aind mit license")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_words", "labels", "spans", "score").collect()}
+    assert got[1].labels == ["mit-grant", "mit-text"] and got[1].score == 1 and (got[1].spans[1].start, got[1].spans[1].end) == (0, len(mit))
+    assert got[2].labels == ["isc-text"] and got[2].n_words == 60_000 + len(isc) and got[2].spans[0].start == 30_000 and got[2].spans[0].end == 30_000 + len(isc)
+    assert abs(got[2].score - (len(isc) - 3) / (len(isc) - 1)) < 1e-12
+    assert got[3].labels == ["mit-grant"] and got[4].labels == ["mit"]
+
+
 def test_licenses_odd_rows(odd, none):
     assert licenses.scan_licenses(odd).count() == odd.count()
     assert licenses.scan_licenses(none).count() == 0
