@@ -23,9 +23,9 @@ Everything is an aggregate with map-side combining, or a join on hashes that ada
 execution can split, so a passage in a third of all documents costs one row per task.
 No pair of documents is ever formed.
 
-Rows that share an id are told apart by a hash of their text and ordered by it; fully
-equal rows count as one document and each gets its result.  A NULL id counts as an id
-of its own, next to 0.
+A document is named by its id and 64 bits (`tie`): a hash of the text, its last bit telling
+a NULL id from id 0.  Rows that share an id are ordered by it; rows with one id and one text
+count as one document and each gets its result.  A NULL id counts as an id next to 0.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.hashing import FIRST, SECOND, U64, pack_texts, sliding_min, unpacked
 
-#: loc = tie << 40 | start << 8 | count: a run of `count` windows from `start` on.
-TIE_BITS, START_BITS, COUNT_BITS = 20, 32, 8
+#: loc = start << 8 | count: a run of `count` windows from `start` on.
+COUNT_BITS = 8
 LOW32 = U64(0xFFFFFFFF)
 
 #: For the rows of a column, block by block: the block's first row, its items (bytes, or word codes), the offsets of
@@ -59,7 +59,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(dk, tie, rest, packed, size): a key that is never NULL, all other columns in one
     struct and the text, partitioned by (dk, tie)."""
     i, t = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    tie = F.shiftrightunsigned(F.xxhash64(F.coalesce(t, F.lit(""))), 64 - TIE_BITS) + F.when(i.isNull(), 1 << TIE_BITS).otherwise(0)
+    tie = F.xxhash64(F.coalesce(t, F.lit(""))).bitwiseAND(F.lit(-2)).bitwiseOR(i.isNull().cast("long"))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.coalesce(i, F.lit(0)).alias("dk"), tie.cast("long").alias("tie"), F.struct(*rest).alias("rest"), t.cast("string").alias("text"))
     kind = rows.schema["rest"].dataType.simpleString()
@@ -99,7 +99,7 @@ def window_hashes(codes: np.ndarray, start: np.ndarray, length: int) -> tuple[np
 
 
 def _runs(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (loc >> COUNT_BITS) & ((1 << START_BITS) - 1), loc & ((1 << COUNT_BITS) - 1)
+    return loc >> COUNT_BITS, loc & ((1 << COUNT_BITS) - 1)
 
 
 def mark(n_windows: int, seen: pa.Array | None, new: pa.Array | None) -> np.ndarray:
@@ -107,7 +107,10 @@ def mark(n_windows: int, seen: pa.Array | None, new: pa.Array | None) -> np.ndar
     out = np.zeros(n_windows, dtype=bool)
     for value, locs in ((True, seen), (False, new)):
         if locs is not None and len(locs):
-            out[ranges(*_runs(np.unique(locs.to_numpy())))] = value
+            at = ranges(*_runs(np.unique(locs.to_numpy())))
+            if len(at) and at.max() >= n_windows:
+                raise ValueError("a place outside of its document: two documents share a key")
+            out[at] = value
     return out
 
 
@@ -138,13 +141,13 @@ def table_of(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == U64 else c) for c in columns.values()], names=list(columns))
 
 
-def first_of_class(items: np.ndarray, offsets: np.ndarray, codes: Codes, dk: np.ndarray, loc: np.ndarray, length: int) -> pa.RecordBatch:
+def first_of_class(items: np.ndarray, offsets: np.ndarray, codes: Codes, dk: np.ndarray, tie: np.ndarray, loc: np.ndarray, length: int) -> pa.RecordBatch:
     """Of phrases (items and place), the windows that no earlier one of these phrases holds, as runs."""
     count = loc & ((1 << COUNT_BITS) - 1)
     row = np.repeat(np.arange(len(loc)), count)
     h1, h2 = window_hashes(codes(items), ranges(offsets[:-1], count), length)
     place = ranges(loc >> COUNT_BITS, count)
-    order = np.lexsort((place, dk[row], h2, h1))
+    order = np.lexsort((place, tie[row], dk[row], h2, h1))
     a, b = h1[order], h2[order]
     lead = np.ones(len(order), dtype=bool)
     lead[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -152,7 +155,7 @@ def first_of_class(items: np.ndarray, offsets: np.ndarray, codes: Codes, dk: np.
     head = np.ones(len(new), dtype=bool)
     head[1:] = (new[1:] != new[:-1] + 1) | (row[new[1:]] != row[new[:-1]])
     at = np.flatnonzero(head)
-    return table_of(dk=dk[row[new[at]]], loc=(place[new[at]] << COUNT_BITS) | np.diff(np.append(at, len(new))))
+    return table_of(dk=dk[row[new[at]]], tie=tie[row[new[at]]], loc=(place[new[at]] << COUNT_BITS) | np.diff(np.append(at, len(new))))
 
 
 def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, length: int, k: int, together: int = TOGETHER) -> DataFrame:
@@ -160,7 +163,7 @@ def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, le
     `mark`).  `item` is the numpy type of the coder's items."""
 
     def found_in(batches):
-        """A batch's phrases: anchor, content, dk and loc."""
+        """A batch's phrases: anchor, content, dk, tie and loc."""
         for b, text in unpacked(batches):
             dk, tie = b.column("dk").to_numpy(), b.column("tie").to_numpy()
             held: list[tuple[np.ndarray, ...]] = []
@@ -168,13 +171,13 @@ def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, le
                 got = phrases(codes(items), off, length, k)
                 if got is not None:
                     row, start, count, anchor, content = got
-                    held.append((anchor, content, dk[row + row0], (tie[row + row0] << 40) | ((start + base) << COUNT_BITS) | count))
+                    held.append((anchor, content, dk[row + row0], tie[row + row0], ((start + base) << COUNT_BITS) | count))
             if held:
                 yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def cut(batches):
-        for a, c, d, loc in found_in(batches):
-            yield table_of(a=a, c=c, dk=d, loc=loc)
+        for a, c, d, tie, loc in found_in(batches):
+            yield table_of(a=a, c=c, dk=d, tie=tie, loc=loc)
 
     def cut_anchors(batches):
         for a, *_ in found_in(batches):
@@ -182,23 +185,22 @@ def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, le
 
     # Three readers of the phrases and three of the texts share one exchange each; for that, the columns they take and
     # the filters below the exchange must be the same (joins would add IS NOT NULL to some).
-    tie = F.shiftright("loc", 40).alias("tie")
     again = keys.mapInArrow(cut_anchors, "a long").groupBy(F.bitwise_not("a").alias("b")).agg(F.count("*").alias("n")).where("n > 1")
     # joined on ~a, so that the grouping by (a, c) below has a shuffle of its own: a frequent anchor can then be split
     # by the join, and its equal phrases are added up before they move
-    seen = keys.mapInArrow(cut, "a long, c long, dk long, loc long").where(F.expr(NOT_NULL.format("a", "c")) & F.col("dk").isNotNull() & F.shiftright("loc", 40).isNotNull()).join(again, F.bitwise_not("a") == F.col("b"))
-    entries = seen.groupBy("a", "c").agg(F.min(F.struct("dk", "loc")).alias("f"), F.max("n").alias("n")).select("a", "f.dk", "f.loc", "n")
+    seen = keys.mapInArrow(cut, "a long, c long, dk long, tie long, loc long").where(F.expr(NOT_NULL.format("a", "c")) & F.expr(NOT_NULL.format("dk", "tie"))).join(again, F.bitwise_not("a") == F.col("b"))
+    entries = seen.groupBy("a", "c").agg(F.min(F.struct("dk", "tie", "loc")).alias("f"), F.max("n").alias("n")).select("a", "f.dk", "f.tie", "f.loc", "n")
     # 0: alone with its anchor content; 1, 2: not, to be compared in one place or window by window
     alone = entries.groupBy("a").agg(F.count("dk").alias("entries"), F.max("n").alias("most"))
     split = F.when(F.col("entries") == 1, 0).when(F.greatest("n", "most") <= together, 1).otherwise(2).alias("split")
-    entries = entries.join(alone, "a").select("a", "dk", "loc", split)
-    unclear = entries.where("split > 0").groupBy("dk", tie).agg(F.collect_list(F.struct("a", "loc", "split")).alias("parts"))
+    entries = entries.join(alone, "a").select("a", "dk", "tie", "loc", split)
+    unclear = entries.where("split > 0").groupBy("dk", "tie").agg(F.collect_list(F.struct("a", "loc", "split")).alias("parts"))
     # all columns of `keys` stay in, so that both joins read one exchange of the texts
     texts = keys.join(unclear, ["dk", "tie"])
 
     def parts_of(b, text, pick):
-        """Items of a block, and of its unclear phrases: dk, anchor, loc, start and count within the items."""
-        dk, parts = b.column("dk").to_numpy(), b.column("parts")
+        """Items of a block, and of its unclear phrases: dk, tie, anchor, loc, start and count within the items."""
+        dk, tie, parts = b.column("dk").to_numpy(), b.column("tie").to_numpy(), b.column("parts")
         ends = parts.offsets.to_numpy()  # into the values of the whole batch, also for a slice
         a, loc, split = (parts.values.field(x).to_numpy() for x in range(3))
         for row0, items, off, base in coder(text, length):
@@ -211,16 +213,15 @@ def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, le
             ok = (hi > lo) & (split[at] == pick)
             row, lo, hi = row[ok], lo[ok], hi[ok]
             if len(row):
-                tied = loc[at][ok] >> 40
-                yield items, dk[row + row0], a[at][ok], (tied << 40) | (lo << COUNT_BITS) | (hi - lo), lo - base + off[row], hi - lo
+                yield items, dk[row + row0], tie[row + row0], a[at][ok], (lo << COUNT_BITS) | (hi - lo), lo - base + off[row], hi - lo
 
     def bodies(batches):
         for b, text in unpacked(batches):
-            for items, dk, a, loc, start, count in parts_of(b, text, 1):
+            for items, dk, tie, a, loc, start, count in parts_of(b, text, 1):
                 size = count + length - 1
                 flat = np.ascontiguousarray(items[ranges(start, size)])
                 ends = (np.concatenate([[0], np.cumsum(size)]) * flat.itemsize).astype(np.int32)
-                yield table_of(a=a, dk=dk, loc=loc, body=pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(flat)]))
+                yield table_of(a=a, dk=dk, tie=tie, loc=loc, body=pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(flat)]))
 
     def settle(batches):
         rest: pa.Table | None = None
@@ -230,7 +231,7 @@ def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, le
                 body = b.column("body")
                 ends = np.frombuffer(body.buffers()[1], dtype=np.int32)[body.offset : body.offset + len(body) + 1]
                 raw = np.frombuffer(body.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
-                yield first_of_class(raw.view(item), (ends - ends[0]).astype(np.int64) // np.dtype(item).itemsize, codes, b.column("dk").to_numpy(), b.column("loc").to_numpy(), length)
+                yield first_of_class(raw.view(item), (ends - ends[0]).astype(np.int64) // np.dtype(item).itemsize, codes, b.column("dk").to_numpy(), b.column("tie").to_numpy(), b.column("loc").to_numpy(), length)
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -245,16 +246,16 @@ def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, le
 
     def windows(batches):
         for b, text in unpacked(batches):
-            for items, dk, _, loc, start, count in parts_of(b, text, 2):
+            for items, dk, tie, _, loc, start, count in parts_of(b, text, 2):
                 h1, h2 = window_hashes(codes(items), ranges(start, count), length)
-                yield table_of(h1=h1, h2=h2, dk=np.repeat(dk, count), loc=(ranges(loc >> COUNT_BITS, count) << COUNT_BITS) | 1)
+                yield table_of(h1=h1, h2=h2, dk=np.repeat(dk, count), tie=np.repeat(tie, count), loc=(ranges(loc >> COUNT_BITS, count) << COUNT_BITS) | 1)
 
-    few = texts.where("exists(parts, x -> x.split = 1)").mapInArrow(bodies, "a long, dk long, loc long, body binary").repartition("a").sortWithinPartitions("a").mapInArrow(settle, "dk long, loc long")
-    many = texts.where("exists(parts, x -> x.split = 2)").mapInArrow(windows, "h1 long, h2 long, dk long, loc long").groupBy("h1", "h2").agg(F.min(F.struct("dk", "loc")).alias("f")).select("f.dk", "f.loc")
-    new = entries.where("split = 0").select("dk", "loc").unionByName(few).unionByName(many).select("dk", "loc", F.lit(0).cast("long").alias("c"), F.lit(True).alias("is_new"))
+    few = texts.where("exists(parts, x -> x.split = 1)").mapInArrow(bodies, "a long, dk long, tie long, loc long, body binary").repartition("a").sortWithinPartitions("a").mapInArrow(settle, "dk long, tie long, loc long")
+    many = texts.where("exists(parts, x -> x.split = 2)").mapInArrow(windows, "h1 long, h2 long, dk long, tie long, loc long").groupBy("h1", "h2").agg(F.min(F.struct("dk", "tie", "loc")).alias("f")).select("f.dk", "f.tie", "f.loc")
+    new = entries.where("split = 0").select("dk", "tie", "loc").unionByName(few).unionByName(many).select("dk", "tie", "loc", F.lit(0).cast("long").alias("c"), F.lit(True).alias("is_new"))
     # `unused` only makes this read the same columns of `seen` as `entries`
     events = (
-        seen.select("dk", "loc", "c", F.lit(False).alias("is_new")).unionByName(new).groupBy("dk", tie)
+        seen.select("dk", "tie", "loc", "c", F.lit(False).alias("is_new")).unionByName(new).groupBy("dk", "tie")
         .agg(F.collect_list(F.when(~F.col("is_new"), F.col("loc"))).alias("seen"), F.collect_list(F.when(F.col("is_new"), F.col("loc"))).alias("new"), F.bit_xor("c").alias("unused"))
     )
     return keys.join(events, ["dk", "tie"], "left")

@@ -106,3 +106,24 @@ def test_runs_of_one_value():
     row, start, count, _, _ = repeats.phrases(codes, np.array([0, 300, 500]), 100, 20)
     places = [(r, p) for r, s, c in zip(row, start, count, strict=True) for p in range(s, s + c)]
     assert sorted(places) == [(0, p) for p in range(201)] + [(1, p) for p in range(101)]
+
+
+def test_many_rows_share_an_id(spark):
+    """Ten thousand rows without an id, and thousands with the same one, are as many documents.  They come in the order
+    of their keys, which the brute force takes over."""
+    import random
+
+    rnd = random.Random(8)
+    passages = [" ".join(f"p{rnd.randrange(10**6)}" for _ in range(rnd.randrange(20, 60))) for _ in range(40)]
+    rows = [(None if k < 10_000 else 5, f"{'x' * rnd.randrange(40)} {k} " + rnd.choice(passages) + f" {rnd.randrange(10**6)}") for k in range(13_000)]
+    rows += [(3, passages[0]), (7, passages[1] + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = repeats.keyed(df, "doc_id", "text").select("dk", "tie", "rest.doc_id").collect()
+    assert len({(r.dk, r.tie) for r in order}) == len(rows)
+    key = df.select("text", F.coalesce("doc_id", F.lit(0)).alias("dk"), F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long")).alias("tie")).collect()
+    ordered = [((r.dk, r.tie), r.text) for r in key]
+    name = {t: k for k, t in ordered}
+    for op, n, split, length, join in ((suffix_dedup, "n_bytes", in_bytes, 100, bytes), (substring_dedup, "n_words", in_words, 20, " ".join)):
+        want = brute(ordered, split, length, join)
+        got = op(df.withColumn("again", F.col("text"))).select("row.again", n, "n_removed", F.size("spans").alias("s"), "kept").collect()
+        assert {name[r.again]: (r[n], r.n_removed, r.s, bytes(r.kept) if join is bytes else r.kept) for r in got} == want
