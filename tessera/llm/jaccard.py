@@ -22,7 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components, shared_folder
@@ -75,9 +75,9 @@ def band_keys(h: np.ndarray, off: np.ndarray, bands: int) -> np.ndarray:
 
 
 def describe(batches, words: int, bands: int):
-    """id, n, two hashes of the set, band keys; the sets themselves stay behind."""
+    """id, text hash, n, two hashes of the set, band keys; the sets themselves stay behind."""
     for b in batches:
-        ids, rest = b.column("id"), b.column("rest")
+        ids, th, rest = b.column("id"), b.column("th"), b.column("rest")
         for row0, h, off in shingle_sets(b.column("text"), words):
             n = np.diff(off)
             full = np.flatnonzero(n)
@@ -87,7 +87,7 @@ def describe(batches, words: int, bands: int):
                 f1[full], f2[full] = np.add.reduceat(h, at), np.bitwise_xor.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), at)
                 keys[full] = band_keys(h, np.append(at, off[-1]), bands)
             ends = (np.concatenate([[0], np.cumsum(n > 0)]) * bands).astype(np.int32)
-            yield table_of(id=ids.slice(row0, len(n)), rest=rest.slice(row0, len(n)), n=n, f1=f1, f2=f2, bands=pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel().view(np.int64))))
+            yield table_of(id=ids.slice(row0, len(n)), th=th.slice(row0, len(n)), rest=rest.slice(row0, len(n)), n=n, f1=f1, f2=f2, bands=pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel().view(np.int64))))
 
 
 class Forest:
@@ -199,14 +199,27 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part: its component is NULL.  Ids name the nodes of the link graph: rows that share one
     may be joined by that.  Equal sets link.  An empty table gives no rows.
     """
+    out = _labelled(docs, id_col, text_col, words, percent)
+    return out.select(F.col("rest").alias("row"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("top", "id")).alias("component_id"))
+
+
+def text_key(text_col: str) -> Column:
+    """64 bits of the text; NULL has other ones than the empty text."""
+    t = F.col(f"`{text_col}`").cast("string")
+    return F.xxhash64(F.coalesce(t, F.lit("")), t.isNull())
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """A row for every row: id, th (`text_key`), rest, n, two hashes of the set, and top, the least id of its group;
+    top is NULL for empty sets and for sets that no row with an id has."""
     shared_folder(docs)
     bands = bands_for(percent)
     i, t = F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest")
     texts = docs.select(i, t)
-    rows = docs.select(i, t, rest)
+    rows = docs.select(i, text_key(text_col).alias("th"), t, rest)
     kind = rows.schema["rest"].dataType.simpleString()
-    seen = rows.mapInArrow(lambda x: describe(x, words, bands), f"id long, rest {kind}, n long, f1 long, f2 long, bands array<long>").checkpoint()
+    seen = rows.mapInArrow(lambda x: describe(x, words, bands), f"id long, th long, rest {kind}, n long, f1 long, f2 long, bands array<long>").checkpoint()
     sets = seen.where("n > 0 and id is not null")
     entries = sets.groupBy("f1", "f2", "n").agg(F.min("id").alias("node"), F.any_value("bands").alias("bands"))
 
@@ -237,17 +250,38 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = components(pairs.mapInArrow(lambda x: link_groups(x, percent), "a long, b long"))
 
     label = entries.select("f1", "f2", "n", "node").join(links, "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("top"))
-    out = seen.join(label, ["f1", "f2", "n"], "left")
-    return out.select(F.col("rest").alias("row"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("top", "id")).alias("component_id"))
+    return seen.join(label, ["f1", "f2", "n"], "left")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each group, the one of the least id; all of its columns,
-    unchanged.  Rows with a NULL id and documents without words stay."""
-    found = jaccard_groups(docs, id_col, text_col, words, percent)
-    i = F.col(f"row.`{id_col}`").cast("long")
-    gone = found.where(F.col("component_id") != i).select(i.alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    """`docs` with one row of each group; all of its columns, unchanged.
+
+    The row that stays has the least id (NULL comes last), of rows with one id the least
+    hash of the text; of rows with that id and text, one stays.  Rows that share an id are
+    judged by their own texts.  A NULL id is no node of the link graph: such a row goes if
+    its set of shingles is that of a row that stays or of one that another stands for.
+    Documents without words stay, all of them.
+    """
+    found = _labelled(docs, id_col, text_col, words, percent).where("n > 0")
+    group = F.when(F.col("top").isNotNull(), F.struct(F.lit(0).alias("own"), F.col("top").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n")))
+    group = group.otherwise(F.struct(F.lit(1).alias("own"), F.col("f1").alias("a"), F.col("f2").alias("b"), F.col("n").alias("n"))).alias("group")
+    # rows with one id and one text have one set; (i, none, th) names them
+    named = [F.coalesce("id", F.lit(0)).alias("i"), F.col("id").isNull().alias("none"), "th"]
+    rows = found.select(group, *named).groupBy("group", "i", "none", "th").agg(F.count("*").alias("k")).checkpoint()
+    first = rows.groupBy("group").agg(F.min(F.struct("none", "i", "th")).alias("first"))
+    rows = rows.join(first, "group").select("i", "none", "th", "k", (F.struct("none", "i", "th") == F.col("first")).alias("stays")).checkpoint()
+    own = F.col(f"`{id_col}`").cast("long")
+    name = lambda x: (F.coalesce(own, F.lit(0)) == F.col(f"{x}.i")) & (own.isNull() == F.col(f"{x}.none")) & (text_key(text_col) == F.col(f"{x}.th"))
+    left = docs.join(rows.where("not stays").alias("g"), name("g"), "left_anti")
+    repeated = rows.where("stays and k > 1")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated.alias("g"), name("g"), "left_anti")
+    again = left.join(repeated.alias("g"), name("g"), "left_semi")
+    # a partial aggregate per task, so repeated rows are one row a task before they move
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    again = again.groupBy(own.alias("__i"), text_key(text_col).alias("__th")).agg(F.first(F.struct(*columns)).alias("__row")).select("__row.*")
+    return once.unionByName(again)
 
 
 def digest(docs: DataFrame) -> DataFrame:
