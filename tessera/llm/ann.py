@@ -13,8 +13,10 @@ Clustered data need few cells, spread-out data need many.
 d of D rotated dimensions a partial squared distance s estimates the whole as s * D / d;
 a candidate is abandoned if even s > r * d/D * (1 + EPSILON / sqrt(d))**2, where r is the
 query's tenth best squared distance so far: a test that rejects a true neighbour with a
-small probability only.  Those that stay to the end are measured on the original vectors
-in doubles.
+small probability only.  r comes from the first rows of a block and from the blocks that
+the task has scanned before, whichever is less; to it the rounding of the partial distances
+is added, which grows with the squared norms.  Those that stay to the end are measured on
+the original vectors in doubles.
 
 Queries move to the lists in blocks as well, and every pair of a query block and a list
 block is one row of a join on the cell, so a cell with a third of all vectors is many
@@ -34,6 +36,8 @@ from tessera.llm.vec_dedup import clean, matrix
 #: The sample for centres and probes: a fixed bound, whatever the number of vectors.
 SAMPLE, CELLS, ROUNDS, REACH = 8192, 64, 10, 0.985
 BLOCK, QUERY_BLOCK, COLUMNS, EPSILON = 2048, 256, 16, 2.1
+#: Rounding of a partial squared distance, as a share of both squared norms; queries whose bounds a task remembers.
+ROUNDING, REMEMBERED = 4e-6, 1 << 20
 
 
 def fit(x: np.ndarray, cells: int, k: int, reach: float) -> tuple[np.ndarray, int]:
@@ -94,8 +98,9 @@ def query_blocks(batches):
         yield table_of(cell=np.array([cell[lo] for lo, _ in cut]), queries=binary([ids[lo:hi] for lo, hi in cut]), qv=binary([x[lo:hi] for lo, hi in cut]))
 
 
-def scan(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, columns: np.ndarray, turn: np.ndarray, k: int):
-    """(query, id, distance) of each query's `k` nearest of this block."""
+def scan(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, columns: np.ndarray, turn: np.ndarray, k: int, known: np.ndarray | None = None):
+    """(query, id, distance) of each query's `k` nearest of this block; those farther than `known`, a distance within
+    which each query has `k` vectors, may be left out."""
     n, d = x.shape
     parts, at = [], 0
     for s in range(0, d, COLUMNS):
@@ -104,14 +109,16 @@ def scan(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, columns
         at += n * w
     turned = (q @ turn).astype(np.float32)
     lead = min(n, 8 * k)
-    bound = np.full(len(q), np.inf, dtype=np.float32)
+    above = np.float32(1 + 1e-5)
+    bound = np.full(len(q), np.inf, dtype=np.float32) if known is None else (known**2).astype(np.float32) * above
     for i in range(len(q)):  # the first rows of the block set the bound
         s = ((x[:lead] - q[i]) ** 2).sum(1)
         s = s[ids[:lead] != qid[i]]
         if len(s) >= k:
-            bound[i] = np.partition(s, k - 1)[k - 1] * np.float32(1 + 1e-5)
+            bound[i] = min(bound[i], np.partition(s, k - 1)[k - 1] * above)
     qi, xi = np.divmod(np.arange(len(q) * n), n)
     part = np.zeros(len(qi), dtype=np.float32)
+    loose_q, loose_x = (((v**2).sum(1) * ROUNDING).astype(np.float32) for v in (q, x))
     done = 0
     for s, p in zip(range(0, d, COLUMNS), parts, strict=True):
         w = p.shape[1]
@@ -123,8 +130,8 @@ def scan(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, columns
                 z = slice(c, c + (1 << 17))
                 part[z] += ((turned[qi[z], s : s + w] - p[xi[z]]) ** 2).sum(1)
         done += w
-        limit = bound * np.float32(done / d * (1 + (EPSILON / np.sqrt(done) if done < d else 0)) ** 2) + np.float32(1e-5)
-        stay = part <= limit[qi]
+        limit = bound * np.float32(done / d * (1 + (EPSILON / np.sqrt(done) if done < d else 0)) ** 2) + loose_q
+        stay = part <= limit[qi] + loose_x[xi]
         qi, xi, part = qi[stay], xi[stay], part[stay]
     own = ids[xi] == qid[qi]
     qi, xi = qi[~own], xi[~own]
@@ -178,13 +185,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     probed = asked.mapInArrow(lambda b: assign(b, probes), kind).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("cell", "id").mapInArrow(query_blocks, "cell long, queries binary, qv binary")
 
     def search(batches):
+        bounds: dict[int, float] = {}
         for b in batches:
             for r in range(b.num_rows):
                 raw = {c: b.column(c)[r].as_buffer() for c in ("ids", "vectors", "columns", "queries", "qv")}
                 x, q = (np.frombuffer(raw[c], dtype=np.float64).reshape(-1, d) for c in ("vectors", "qv"))
                 ids, qid = (np.frombuffer(raw[c], dtype=np.int64) for c in ("ids", "queries"))
                 columns = np.frombuffer(raw["columns"], dtype=np.float32)
-                a, v, s = scan(q, qid, x, ids, columns, turn, k)
+                known = np.array([bounds.get(i, np.inf) for i in qid.tolist()])
+                a, v, s = scan(q, qid, x, ids, columns, turn, k, known)
+                last = np.flatnonzero(np.append(a[1:] != a[:-1], True)) if len(a) else np.zeros(0, dtype=int)
+                full = last[np.diff(last, prepend=-1) >= k]
+                if len(bounds) > REMEMBERED:
+                    bounds.clear()
+                for i, far in zip(a[full].tolist(), s[full].tolist(), strict=True):
+                    bounds[i] = min(far, bounds.get(i, np.inf))
                 yield table_of(query_id=a, vec_id=v, score=s)
 
     found = lists.join(probed, "cell").mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -90,3 +90,48 @@ def test_few_and_no_vectors(spark):
     assert vec_dedup.digest(df.selectExpr("*", "1 as label").where("false")).count() == 0
     with_ties = spark.createDataFrame([(0, [0.0, 1.0])] + [(i, [1.0, 0.0]) for i in range(1, 30)], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in ann.digest(with_ties).orderBy("rank").collect()] == list(range(1, 11))
+
+
+@pytest.mark.parametrize("norm", [1, 20, 100])
+def test_copies_and_norms(norm):
+    """Exact copies, and all else, are found whatever the norm: a block's scan against brute force."""
+    r = np.random.default_rng(norm)
+    x = r.normal(size=(1500, 64))
+    x = norm * x / np.linalg.norm(x, axis=1)[:, None]
+    x[200:600] = x[r.integers(0, 12, 400)]
+    x = x.astype(np.float32).astype(float)
+    turn = ann.rotation(64)
+    columns = np.concatenate([(x @ turn).astype(np.float32)[:, s : s + ann.COLUMNS].ravel() for s in range(0, 64, ann.COLUMNS)])
+    asked = np.arange(0, 1500, 10)
+    q, i, dist = ann.scan(x[asked], asked, x, np.arange(1500), columns, turn, 10)
+    hit = 0
+    for a in asked:
+        d = np.sqrt(((x - x[a]) ** 2).sum(1))
+        d[a] = np.inf
+        order = np.lexsort((np.arange(1500), d))[:10]
+        hit += len(set(order) & set(i[q == a]))
+        if d[order[9]] == 0:
+            assert list(i[q == a]) == list(order)
+    assert hit >= 0.97 * 10 * len(asked)
+
+
+@pytest.mark.parametrize("norm", [1, 20, 100])
+def test_recall_over_many_vectors(spark, norm):
+    """30,000 vectors, a third of them copies and near copies."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(30_000, 32))
+    x[20_000:] = x[r.integers(0, 500, 10_000)] + 0.02 * r.integers(0, 2, (10_000, 1)) * r.normal(size=(10_000, 32))
+    x = (norm * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<float>").repartition(8)
+    got: dict[int, set] = {}
+    for row in ann.digest(df).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    x = x.astype(float)
+    hit = 0
+    for a in range(0, 30_000, 100):
+        d = ((x - x[a]) ** 2).sum(1)
+        d[a] = np.inf
+        hit += len(set(np.lexsort((np.arange(len(x)), d))[:10].tolist()) & got[a])
+    assert hit >= 0.9 * 10 * 300
