@@ -15,9 +15,11 @@ position).  A window is *repeated* when an equal window starts earlier in that o
    bits) are one entry with its first occurrence.  Later occurrences are repeated
    throughout.  An entry that is alone with its anchor content is new throughout.
 4. Entries that share an anchor content with different entries agree in some of their
-   windows only.  Their windows, and no others, are put in classes by 128-bit hashes; the
-   first of each class is new.  The entries of one anchor come together whole; where an
-   anchor is too frequent for that, their windows are spread over all tasks one by one.
+   windows only.  Their windows, and no others, are put in classes of equal ones; the first
+   of each class is new.  The entries of one anchor come together whole, and the operator
+   says which of their windows are equal: `suffix_dedup` by the suffix order of the entries,
+   `substring_dedup` by extending the anchor both ways.  Where an anchor is too frequent for
+   that, windows are spread over all tasks one by one and told apart by 128-bit hashes.
 
 Everything is an aggregate with map-side combining, or a join on hashes that adaptive
 execution can split, so a passage in a third of all documents costs one row per task.
@@ -49,6 +51,8 @@ LOW32 = U64(0xFFFFFFFF)
 Coder = Callable[[pa.Array, int], Iterator[tuple[int, np.ndarray, np.ndarray, int]]]
 #: Items to codes.
 Codes = Callable[[np.ndarray], np.ndarray]
+#: Of phrases (items, offsets, windows of each, anchors): a class for each window in turn, the same for equal ones.
+Classes = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 #: Phrases whose anchor content occurs so often at most are compared in one place; those of more frequent anchors
 #: window by window, spread over all tasks.
 TOGETHER = 1 << 15
@@ -141,16 +145,15 @@ def table_of(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == U64 else c) for c in columns.values()], names=list(columns))
 
 
-def first_of_class(items: np.ndarray, offsets: np.ndarray, codes: Codes, dk: np.ndarray, tie: np.ndarray, loc: np.ndarray, length: int) -> pa.RecordBatch:
-    """Of phrases (items and place), the windows that no earlier one of these phrases holds, as runs."""
+def first_of_class(classes: np.ndarray, dk: np.ndarray, tie: np.ndarray, loc: np.ndarray) -> pa.RecordBatch:
+    """Of phrases (their windows' classes, and places), the windows that no earlier one of these phrases holds, as runs."""
     count = loc & ((1 << COUNT_BITS) - 1)
     row = np.repeat(np.arange(len(loc)), count)
-    h1, h2 = window_hashes(codes(items), ranges(offsets[:-1], count), length)
     place = ranges(loc >> COUNT_BITS, count)
-    order = np.lexsort((place, tie[row], dk[row], h2, h1))
-    a, b = h1[order], h2[order]
+    order = np.lexsort((place, tie[row], dk[row], classes))
+    of = classes[order]
     lead = np.ones(len(order), dtype=bool)
-    lead[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    lead[1:] = of[1:] != of[:-1]
     new = np.sort(order[lead])
     head = np.ones(len(new), dtype=bool)
     head[1:] = (new[1:] != new[:-1] + 1) | (row[new[1:]] != row[new[:-1]])
@@ -158,9 +161,10 @@ def first_of_class(items: np.ndarray, offsets: np.ndarray, codes: Codes, dk: np.
     return table_of(dk=dk[row[new[at]]], tie=tie[row[new[at]]], loc=(place[new[at]] << COUNT_BITS) | np.diff(np.append(at, len(new))))
 
 
-def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, length: int, k: int, together: int = TOGETHER) -> DataFrame:
+def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, classes: Classes, item: type, length: int, k: int, together: int = TOGETHER) -> DataFrame:
     """One row per document of `keyed` rows: the columns of `keys`, `seen` and `new` (see
-    `mark`).  `item` is the numpy type of the coder's items."""
+    `mark`).  `item` is the numpy type of the coder's items; `classes` says which windows of
+    phrases that share an anchor are equal."""
 
     def found_in(batches):
         """A batch's phrases: anchor, content, dk, tie and loc."""
@@ -231,7 +235,9 @@ def repeated_windows(keys: DataFrame, coder: Coder, codes: Codes, item: type, le
                 body = b.column("body")
                 ends = np.frombuffer(body.buffers()[1], dtype=np.int32)[body.offset : body.offset + len(body) + 1]
                 raw = np.frombuffer(body.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
-                yield first_of_class(raw.view(item), (ends - ends[0]).astype(np.int64) // np.dtype(item).itemsize, codes, b.column("dk").to_numpy(), b.column("tie").to_numpy(), b.column("loc").to_numpy(), length)
+                anchors, dk, tie, loc = (b.column(x).to_numpy() for x in ("a", "dk", "tie", "loc"))
+                own = classes(raw.view(item), (ends - ends[0]).astype(np.int64) // np.dtype(item).itemsize, loc & ((1 << COUNT_BITS) - 1), anchors.view(U64))
+                yield first_of_class(own, dk, tie, loc)
 
         for b in batches:
             t = pa.Table.from_batches([b])

@@ -2,11 +2,13 @@
 
 Seeds are winnowed anchors: of every window of `length` words, the run of k words with
 the least rolling hash.  A join on the anchor hash brings together the documents that
-share a seed.  The extension to both sides is taken at once as the *context* of a seed,
-all windows that picked it: equal contexts extend over all of them, and where contexts
-differ each window is compared on its own, which gives how far the match runs to either
-side.  Windows that match one with an earlier start are put together to maximal repeats;
-any shorter match holds no window and is left alone.
+share a seed, each with the words around it.  All of a seed's occurrences are then extended
+together, word by word, first to the left and then to the right: those that agree so far
+stay in one class, and a step parts them by their next word.  Two windows are equal if their
+occurrences agree as far to the left and as far to the right as the windows reach.  Windows
+that match one with an earlier start are put together to maximal repeats; any shorter match
+holds no window and is left alone.  Where one seed stands in more than `together` places, it
+is not extended in one task, but its windows are brought together by 128-bit hashes.
 
 The join is against seed contents and their first places, never document by document,
 so a passage shared by a third of all documents makes no pairs.  See `repeats`.
@@ -21,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashing import FIRST, PIECE, byte_table, column_bytes, row_blocks, unpacked, word_codes, word_spans
-from tessera.llm.repeats import TOGETHER, covered, keyed, mark, repeated_windows
+from tessera.llm.hashing import FIRST, PIECE, U64, byte_table, column_bytes, row_blocks, unpacked, word_codes, word_spans
+from tessera.llm.repeats import TOGETHER, covered, keyed, mark, ranges, repeated_windows
 from tessera.llm.suffix_dedup import runs_by_row
 
 CODES = byte_table(20256)
@@ -48,6 +50,43 @@ def same(items: np.ndarray) -> np.ndarray:
     return items
 
 
+def extended(start: np.ndarray, items: np.ndarray, first: np.ndarray, step: int, room: np.ndarray, most: int) -> np.ndarray:
+    """Classes (occurrences x steps) of what stands from `first` on in direction `step`: column j holds, for those that
+    have `room` for j words, a number that is equal where their classes `start` and those j words are."""
+    out = np.full((len(start), most + 1), -1, dtype=np.int64)
+    out[:, 0] = start
+    on = np.arange(len(start))
+    for j in range(1, most + 1):
+        on = on[room[on] >= j]
+        if not len(on):
+            break
+        word = np.unique(items[first[on] + step * (j - 1)], return_inverse=True)[1].astype(np.int64)
+        out[on, j] = np.unique(out[on, j - 1] * len(on) + word, return_inverse=True)[1]
+    return out
+
+
+def by_extension(length: int, k: int):
+    """Equal windows of phrases are those whose common seed can be extended to either side as far as they reach."""
+    def classes(items: np.ndarray, offsets: np.ndarray, count: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+        m = length - k + 1
+        # the seed of a phrase: the last run of k words with its hash of those in the first window
+        grams = FIRST.grams(FIRST.sums(items), k) * U64(0xD6E8FEB86659FD93)
+        head = ranges(offsets[:-1], np.full(len(count), m))
+        here = grams[head].reshape(len(count), m) == anchors[:, None]
+        seed = m - 1 - np.argmax(here[:, ::-1], axis=1)
+        at = offsets[:-1] + seed
+        group = np.unique(anchors, return_inverse=True)[1].astype(np.int64)
+        left = extended(group, items, at - 1, -1, seed, m - 1)
+        right = extended(group, items, at + k, 1, offsets[1:] - at - k, m - 1)
+        row = np.repeat(np.arange(len(count)), count)
+        back = seed[row] - ranges(np.zeros(len(count), dtype=np.int64), count)  # words from a window's start to its seed
+        a, b = left[row, back], right[row, m - 1 - back]
+        pair = np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64) if len(a) else a
+        return pair * m + back
+
+    return classes
+
+
 def joined_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
     """For each row its words joined by one space."""
     size = ends - starts + 1
@@ -77,7 +116,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one document.  A NULL id counts as one more id.  An empty table gives no rows.
     """
     keys = keyed(docs, id_col, text_col)
-    found = repeated_windows(keys, word_blocks, same, np.uint64, length, seed_words, together)
+    found = repeated_windows(keys, word_blocks, same, by_extension(length, seed_words), np.uint64, length, seed_words, together)
     kind = found.schema["rest"].dataType
 
     def remove(batches):

@@ -6,12 +6,13 @@ where a fixed modulus would never fire (runs of one byte, random text).  Phrases
 by a window less one byte, so the *dictionary* of distinct phrases holds every distinct
 window, and the *parse* (each document as a list of phrases) holds every place.
 
-Corpus order is then put together from the two: the order of the parse gives each
-dictionary phrase its first place; the dictionary's suffixes, taken to the depth of one
-window, say which windows of different phrases are equal.  Only equality to that depth
-is asked for here, so suffixes are put into classes by a 128-bit hash of their first
-100 bytes instead of being sorted, and only for phrases that share a trigger with a
-different phrase; for all others the dictionary alone decides.  See `repeats`.
+Corpus order is put together from the two.  Only phrases that share a trigger with a
+different phrase hold windows of which some are equal and some not.  For these, the suffixes
+of the dictionary phrases are sorted to the depth of one window (prefix doubling: ranks by
+8 bytes, then by 16, 32, 64 and 100), so equal windows have equal ranks; the parse gives the
+places of each phrase, and of the suffixes with one rank the first place in corpus order is
+new.  Where one trigger stands in more than `together` places, suffixes are not sorted in
+one task, but their first 100 bytes are brought together by 128-bit hashes.  See `repeats`.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import PIECE, byte_table, column_bytes, row_blocks, unpacked
-from tessera.llm.repeats import TOGETHER, covered, keyed, mark, repeated_windows
+from tessera.llm.repeats import TOGETHER, covered, keyed, mark, ranges, repeated_windows
 
 CODES = byte_table(20251)
 #: Bytes of a trigger. A shorter one gives fewer phrases, but more of them share a trigger by chance.
@@ -44,6 +45,32 @@ def codes(items: np.ndarray) -> np.ndarray:
     return CODES[items]
 
 
+def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
+    """Rank of the suffix at every place by its first `depth` bytes (of a text that ends earlier, by what there is)."""
+    n = len(text)
+    key = np.zeros(n, dtype=np.uint64)
+    width = min(8, depth)
+    for j in range(width):
+        key[: max(n - j, 0)] |= text[j:].astype(np.uint64) << np.uint64(8 * (7 - j))
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+    while width < depth:
+        step = min(width, depth - width)  # the last step overlaps
+        then = np.zeros(n, dtype=np.int64)
+        then[: max(n - step, 0)] = rank[step:]
+        rank = np.unique(rank * (n + 2) + then, return_inverse=True)[1].astype(np.int64) + 1
+        width += step
+    return rank
+
+
+def by_suffixes(length: int):
+    """Equal windows of dictionary phrases are those whose suffixes have one rank to the depth of a window."""
+    def classes(items: np.ndarray, offsets: np.ndarray, count: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+        # phrases stand one after the other, and windows end within them
+        return suffix_ranks(items, length)[ranges(offsets[:-1], count)]
+
+    return classes
+
+
 def runs_by_row(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (within the row) and row of the maximal runs of `mask`, none across rows."""
     padded = np.zeros(len(mask) + 1, dtype=bool)
@@ -72,7 +99,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     any length are read in pieces.
     """
     keys = keyed(docs, id_col, text_col)
-    found = repeated_windows(keys, byte_blocks, codes, np.uint8, length, trigger, together)
+    found = repeated_windows(keys, byte_blocks, codes, by_suffixes(length), np.uint8, length, trigger, together)
     kind = found.schema["rest"].dataType
 
     def remove(batches):

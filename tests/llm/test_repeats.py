@@ -127,3 +127,46 @@ def test_many_rows_share_an_id(spark):
         want = brute(ordered, split, length, join)
         got = op(df.withColumn("again", F.col("text"))).select("row.again", n, "n_removed", F.size("spans").alias("s"), "kept").collect()
         assert {name[r.again]: (r[n], r.n_removed, r.s, bytes(r.kept) if join is bytes else r.kept) for r in got} == want
+
+
+def test_suffix_ranks_as_sorted_suffixes():
+    """Ranks by the first bytes are the order of the suffixes, cut to that depth."""
+    from tessera.llm.suffix_dedup import suffix_ranks
+
+    r = np.random.default_rng(3)
+    for n, depth in ((1, 8), (5, 100), (300, 5), (300, 8), (400, 13), (500, 100)):
+        text = r.integers(97, 99, n).astype(np.uint8)
+        text[n // 2 :] = text[: n - n // 2]
+        raw = text.tobytes()
+        cut = [raw[p : p + depth] + b"\0" * (depth - len(raw[p : p + depth])) for p in range(n)]
+        rank = suffix_ranks(text, depth)
+        assert [cut[i] for i in np.argsort(rank, kind="stable")] == sorted(cut)
+        assert len(set(rank.tolist())) == len(set(cut))
+
+
+def test_classes_are_equal_windows():
+    """By suffix order and by extension, two windows share a class only if they are equal, and always if their phrases
+    share the anchor."""
+    from tessera.llm.substring_dedup import SEED_WORDS, by_extension
+    from tessera.llm.suffix_dedup import TRIGGER, by_suffixes
+
+    r = np.random.default_rng(9)
+    for kind, length, k, make, codes in (
+        (np.uint8, 100, TRIGGER, by_suffixes(100), lambda x: hashing.byte_table(20251)[x]),
+        (np.uint64, 20, SEED_WORDS, by_extension(20, SEED_WORDS), lambda x: x),
+    ):
+        base = [hashing.mix(r.integers(1, 60, 400).astype(np.uint64)) if kind is np.uint64 else r.integers(97, 123, 900).astype(np.uint8) for _ in range(4)]
+        rows = [np.concatenate([base[a][p : p + 3 * length], base[b][q : q + 2 * length]]) for a, b, p, q in r.integers(0, 4, (60, 4)) * [1, 1, 25, 31]]
+        rows.append(np.full(3 * length, rows[0][0], dtype=kind))
+        items, off = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+        row, start, count, anchor, _ = repeats.phrases(codes(items), off, length, k)
+        order = np.argsort(anchor, kind="stable")
+        row, start, count, anchor = row[order], start[order] + off[row[order]], count[order], anchor[order]
+        size = count + length - 1
+        body = items[repeats.ranges(start, size)]
+        got = make(body, np.concatenate([[0], np.cumsum(size)]), count, anchor)
+        windows = [tuple(items[s + j : s + j + length].tolist()) for s, c in zip(start, count, strict=True) for j in range(c)]
+        by = {}
+        for c, w in zip(got.tolist(), windows, strict=True):
+            by.setdefault(c, set()).add(w)
+        assert all(len(v) == 1 for v in by.values()) and len(by) == len(set(windows))
