@@ -4,15 +4,15 @@
   hash of (id, seed) with the distributed prefix sum, then cut at n·share -- no
   class is sorted in one task, and the result does not depend on partitioning.
 * Imputation and encoding are pipeline stages fitted on the training split only.
-* Tuning is ``CrossValidator`` over the fold column with a seeded random draw
-  from each model's parameter ranges; fits run in parallel on the cluster.
+* Tuning is k-fold cross-validation over the fold column; the parameters to try come
+  from a sequential model-based search (``search.py``) over each model's ranges, a few
+  trials at a time, whose fits run in parallel on the cluster.
 * Scoring is ``PipelineModel.transform`` (per partition, no driver loop); bad
   records are split off by row checks and returned with an error instead.
 """
 
 from __future__ import annotations
 
-import math
 import random
 import time
 import uuid
@@ -20,16 +20,18 @@ from dataclasses import dataclass, field
 from typing import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.boosting import BoostedTrees
 from tessera.operators.metrics import classification_metrics, log_loss, roc_auc
+from tessera.operators.networks import NetworkClassifier
 from tessera.operators.ranks import prefix_sums
+from tessera.operators.search import Choice, Needs, Number, Space, best_trial, search
 
 SEED = 42
 
@@ -67,16 +69,12 @@ def stratified_folds(df: DataFrame, label: str, id_cols: Sequence[str], k: int =
 
 @dataclass
 class Trainer:
-    """A model type: how to build the estimator and where its parameters live."""
+    """A model type: how to build the estimator, and the ranges of its parameters."""
 
     name: str
     build: Callable[[Mapping[str, object]], object]
-    space: Callable[[random.Random], dict]
-    defaults: dict = field(default_factory=dict)
-
-
-def _log_uniform(rng: random.Random, lo: float, hi: float) -> float:
-    return math.exp(rng.uniform(math.log(lo), math.log(hi)))
+    space: Space
+    needs: Needs = field(default_factory=dict)
 
 
 # Fixed value: the deepest tree that Spark ML grows.
@@ -89,16 +87,32 @@ def _rf(p):
         raise ValueError(f"max_depth {depth} is over {MAX_TREE_DEPTH}, the deepest tree that can be grown")
     return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=depth,
                                   featureSubsetStrategy=str(p.get("max_features", "sqrt")),
+                                  minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
                                   seed=SEED, featuresCol="features", labelCol="label")
 
 
 def _gbt(p):
     return GBTClassifier(maxIter=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 5)),
                          stepSize=float(p.get("learning_rate", 0.1)),
-                         subsamplingRate=float(p.get("subsample", 1.0)), seed=SEED,
+                         subsamplingRate=float(p.get("subsample", 1.0)),
+                         minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=SEED,
                          featuresCol="features", labelCol="label")
 
 
+def _boosted(grow: str):
+    """Second-order boosting, level by level or leaf by leaf, with the defaults usual for either."""
+    def build(p):
+        by_leaf = grow == "leaf"
+        return BoostedTrees(
+            grow=grow, nEstimators=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 12 if by_leaf else 6)),
+            numLeaves=int(p.get("num_leaves", 31)), learningRate=float(p.get("learning_rate", 0.1 if by_leaf else 0.3)),
+            subsample=float(p.get("subsample", 1.0)), colsample=float(p.get("colsample_bytree", 1.0)),
+            minChildWeight=float(p.get("min_child_weight", 1e-3 if by_leaf else 1.0)),
+            minChildSamples=int(p.get("min_child_samples", 20 if by_leaf else 1)), gamma=float(p.get("gamma", 0.0)),
+            regAlpha=float(p.get("reg_alpha", 0.0)), regLambda=float(p.get("reg_lambda", 0.0 if by_leaf else 1.0)), seed=SEED)
+    return build
+
+
 def _lr_builder(n_rows: int):
     def build(p):
         c = float(p.get("C", 1.0))
@@ -109,42 +123,43 @@ def _lr_builder(n_rows: int):
     return build
 
 
-def _mlp_builder(n_features: int, n_classes: int):
-    def build(p):
-        hidden = [int(p.get(f"n_units_l{i}", 64)) for i in range(int(p.get("n_layers", 1)))]
-        return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=200, seed=SEED,
-                                              featuresCol="features", labelCol="label")
-    return build
+def _network(p):
+    hidden = [int(p.get(f"n_units_l{i}", 64)) for i in range(int(p.get("n_layers", 1)))]
+    return NetworkClassifier(hiddenLayers=hidden, activation=str(p.get("activation", "relu")), alpha=float(p.get("alpha", 1e-4)),
+                             learningRate=float(p.get("learning_rate_init", 1e-3)), maxEpochs=int(p.get("max_epochs", 50)),
+                             stepsPerEpoch=int(p.get("steps_per_epoch", 4)), seed=SEED)
 
 
 def trainers(n_rows: int = 1, n_features: int = 1, n_classes: int = 2) -> dict[str, Trainer]:
-    """Model types and their parameter ranges (seeded random draws).
+    """Model types and the ranges of their parameters.
 
-    The names and the ranges are fixed values.  The three boosting names are one
-    estimator: no other boosting library is used.
+    The names and the ranges are fixed values.  Each boosting name is an estimator of its own:
+    ``gradient_boosting`` is Spark's, first order; ``xgboost`` and ``lightgbm`` are second
+    order, grown by levels and by leaves.
     """
-    def rf_space(r):
-        return {"n_estimators": r.randint(50, 500), "max_depth": r.randint(3, 20),
-                "max_features": r.choice(["sqrt", "log2", "all"])}
-
-    def gbt_space(r):
-        return {"n_estimators": r.randint(50, 500), "max_depth": r.randint(3, 10),
-                "learning_rate": _log_uniform(r, 0.01, 0.3), "subsample": r.uniform(0.6, 1.0)}
-
-    def lr_space(r):
-        return {"C": _log_uniform(r, 1e-4, 10.0), "penalty": r.choice(["l1", "l2"])}
-
-    def mlp_space(r):
-        n = r.randint(1, 3)
-        return {"n_layers": n, **{f"n_units_l{i}": r.randint(32, 256) for i in range(n)}}
-
+    boosting = {"n_estimators": Number(50, 500, whole=True), "max_depth": Number(3, 12, whole=True),
+                "learning_rate": Number(0.01, 0.3, log=True), "subsample": Number(0.6, 1.0),
+                "colsample_bytree": Number(0.6, 1.0), "reg_alpha": Number(1e-8, 10.0, log=True),
+                "reg_lambda": Number(1e-8, 10.0, log=True)}
+    units = {f"n_units_l{i}": Number(32, 256, whole=True) for i in range(3)}
     return {
-        "random_forest": Trainer("random_forest", _rf, rf_space),
-        "xgboost": Trainer("xgboost", _gbt, gbt_space),
-        "lightgbm": Trainer("lightgbm", _gbt, gbt_space),
-        "gradient_boosting": Trainer("gradient_boosting", _gbt, gbt_space),
-        "logistic_regression": Trainer("logistic_regression", _lr_builder(n_rows), lr_space),
-        "neural_network": Trainer("neural_network", _mlp_builder(n_features, n_classes), mlp_space),
+        "random_forest": Trainer("random_forest", _rf, {
+            "n_estimators": Number(50, 500, whole=True), "max_depth": Number(3, 20, whole=True),
+            "min_samples_leaf": Number(1, 10, whole=True), "max_features": Choice(("sqrt", "log2", "all"))}),
+        "xgboost": Trainer("xgboost", _boosted("depth"), {
+            **boosting, "min_child_weight": Number(1, 10, whole=True), "gamma": Number(1e-8, 1.0, log=True)}),
+        "lightgbm": Trainer("lightgbm", _boosted("leaf"), {
+            **boosting, "num_leaves": Number(20, 150, whole=True), "min_child_samples": Number(5, 100, whole=True)}),
+        "gradient_boosting": Trainer("gradient_boosting", _gbt, {
+            "n_estimators": Number(50, 500, whole=True), "max_depth": Number(3, 10, whole=True),
+            "learning_rate": Number(0.01, 0.3, log=True), "subsample": Number(0.6, 1.0),
+            "min_samples_leaf": Number(1, 10, whole=True)}),
+        "logistic_regression": Trainer("logistic_regression", _lr_builder(n_rows), {
+            "C": Number(1e-4, 10.0, log=True), "penalty": Choice(("l1", "l2"))}),
+        "neural_network": Trainer("neural_network", _network, {
+            "n_layers": Number(1, 3, whole=True), **units, "activation": Choice(("relu", "tanh")),
+            "alpha": Number(1e-5, 1e-1, log=True), "learning_rate_init": Number(1e-4, 1e-2, log=True)},
+            {"n_units_l1": ("n_layers", 2), "n_units_l2": ("n_layers", 3)}),
     }
 
 
@@ -184,44 +199,52 @@ def evaluator_for(metric: str = "f1_score"):
     return MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName=name)
 
 
-def tune(train: DataFrame, estimator_for: Callable[[dict], object], space: Callable[[random.Random], dict],
+def tune(train: DataFrame, estimator_for: Callable[[dict], object], space: Space,
          prep_stages: list, n_trials: int = 10, fold_col: str = "fold", seed: int = SEED,
-         parallelism: int = 4, n_folds: int | None = None, metric: str = "f1_score") -> tuple[dict, float]:
-    """Random search over ``space`` with k-fold CV on ``fold_col``: the best parameters and
-    their mean ``metric`` over the folds.
+         parallelism: int = 4, n_folds: int | None = None, metric: str = "f1_score", needs: Needs | None = None,
+         startup: int = 10) -> tuple[dict, float]:
+    """Sequential model-based search over ``space`` with k-fold CV on ``fold_col``: the best
+    parameters and their mean ``metric`` over the folds.
 
     ``train`` holds the training rows only.  Preprocessing is fitted within each fold, on
-    its training part, once for all draws; the draws of a fold are fitted ``parallelism``
-    at a time.  The caller refits the winner.
+    its training part, once for all trials.  ``parallelism`` trials are under way at a time,
+    proposed from those that are finished (``search``); the first ``startup`` are drawn at
+    random.  A trial that fails counts as poor.  The caller refits the winner.
     """
     from multiprocessing.pool import ThreadPool
 
     from pyspark import StorageLevel, inheritable_thread_target
 
-    rng = random.Random(seed)
-    draws = [space(rng) for _ in range(n_trials)]
-    estimators = [estimator_for(d) for d in draws]
     if n_folds is None:
         n_folds = int(train.agg(F.max(fold_col)).first()[0]) + 1
-    scores = [[] for _ in draws]
     evaluator = evaluator_for(metric)
-    for fold in range(n_folds):
-        prep = Pipeline(stages=prep_stages).fit(train.where(F.col(fold_col) != fold))
-        ready = prep.transform(train).select("features", "label", fold_col).persist(StorageLevel.MEMORY_AND_DISK)
-        seen, held = ready.where(F.col(fold_col) != fold), ready.where(F.col(fold_col) == fold)
-
-        def one(est, seen=seen, held=held):
-            return float(evaluator.evaluate(est.fit(seen).transform(held)))
-
-        try:
-            with ThreadPool(parallelism) as pool:
-                for into, value in zip(scores, pool.map(inheritable_thread_target(one), estimators), strict=True):
-                    into.append(value)
-        finally:
-            ready.unpersist()
-    means = [sum(v) / len(v) for v in scores]
-    best = max(range(len(means)), key=means.__getitem__)
-    return draws[best], means[best]
+    ready = []
+    try:
+        for fold in range(n_folds):
+            prep = Pipeline(stages=prep_stages).fit(train.where(F.col(fold_col) != fold))
+            ready.append(prep.transform(train).select("features", "label", fold_col).persist(StorageLevel.MEMORY_AND_DISK))
+
+        def one(job):
+            params, fold = job
+            data = ready[fold]
+            try:
+                model = estimator_for(params).fit(data.where(F.col(fold_col) != fold))
+                return float(evaluator.evaluate(model.transform(data.where(F.col(fold_col) == fold))))
+            except Exception as e:  # noqa: BLE001 -- a trial may fail; the search goes on without it
+                return e
+
+        with ThreadPool(parallelism) as pool:
+            def run(proposals: list[dict]) -> list:
+                jobs = [(p, fold) for p in proposals for fold in range(n_folds)]
+                got = pool.map(inheritable_thread_target(one), jobs, chunksize=1)
+                values = [got[i * n_folds:(i + 1) * n_folds] for i in range(len(proposals))]
+                return [next((v for v in own if isinstance(v, Exception)), None) or sum(own) / len(own) for own in values]
+
+            best = best_trial(search(space, run, n_trials, seed, needs, startup, in_flight=parallelism))
+        return best.params, best.value
+    finally:
+        for r in ready:
+            r.unpersist()
 
 
 def evaluate(model: PipelineModel, test: DataFrame, binary: bool) -> dict:
@@ -317,7 +340,8 @@ def train_pipeline(df: DataFrame, label: str, id_cols: Sequence[str], numeric: S
             folds = stratified_folds(train.drop("split"), "label", id_cols, cv_folds, seed).persist(
                 StorageLevel.MEMORY_AND_DISK)
             cached.append(folds)
-            best, cv_score = tune(folds, tr.build, tr.space, prep, n_trials, "fold", seed, parallelism, cv_folds, metric)
+            best, cv_score = tune(folds, tr.build, tr.space, prep, n_trials, "fold", seed, parallelism, cv_folds, metric,
+                                  tr.needs)
         # refit the winner on train + validation
         final = Pipeline(stages=[*feature_pipeline(numeric, categorical), tr.build(best)]).fit(trainval)
         metrics = evaluate(final, data.where(F.col("split") == "test"), n_classes == 2)

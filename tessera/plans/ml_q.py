@@ -56,8 +56,11 @@ def stratified_folds(spark, sf):
 # Fixed, modest parameters for the registered runs (the search ranges stay the defaults of ``tune``).
 RUN_PARAMS = {
     "random_forest": {"n_estimators": 50, "max_depth": 6, "max_features": "sqrt"},
-    "xgboost": {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1, "subsample": 0.8},
-    "neural_network": {"n_layers": 1, "n_units_l0": 32},
+    "xgboost": {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1, "subsample": 0.8},
+    "lightgbm": {"n_estimators": 6, "max_depth": 6, "num_leaves": 10, "learning_rate": 0.2, "min_child_samples": 10},
+    "gradient_boosting": {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1},
+    "neural_network": {"n_layers": 1, "n_units_l0": 32, "activation": "relu", "alpha": 1e-3, "learning_rate_init": 0.01,
+                       "max_epochs": 15, "steps_per_epoch": 2},
 }
 
 
@@ -82,6 +85,16 @@ def train_gbt(spark, sf):
     return _run(spark, sf, "xgboost", n_trials=1)
 
 
+@query("train_lightgbm")
+def train_lightgbm(spark, sf):
+    return _run(spark, sf, "lightgbm", n_trials=1)
+
+
+@query("train_gradient_boosting")
+def train_gradient_boosting(spark, sf):
+    return _run(spark, sf, "gradient_boosting", n_trials=1)
+
+
 @query("train_logistic")
 def train_logistic(spark, sf):
     return _run(spark, sf, "logistic_regression", n_trials=3)
@@ -92,13 +105,35 @@ def train_mlp(spark, sf):
     return _run(spark, sf, "neural_network", n_trials=1)
 
 
+@query("training_status", """
+with n as (select label < 5 as y, count(*) n from embeddings where label is not null group by 1),
+t as (select cast(sum(n - floor(n * (1.0::double - 0.15::double - 0.15::double + 0.15::double))) as bigint) k from n)
+select m model_type, 'completed' status, k test_rows, true metrics_hold
+from t, (values ('lightgbm'), ('logistic_regression'), ('random_forest')) v(m)
+""")
+def training_status(spark, sf):
+    """M1-M3, M6: each run's status and the rows it was tested on; its metrics lie in their ranges."""
+    params = {**RUN_PARAMS, "logistic_regression": {"C": 1.0}}
+    out = None
+    for m in ("lightgbm", "logistic_regression", "random_forest"):
+        r = ML.train_pipeline(_embeddings(spark, sf), "y", ["vec_id"], _features(spark, sf), (), m, params=params[m])
+        row = ML.run_record(spark, r, "embeddings-binary", "emb_classifier")
+        out = row if out is None else out.unionByName(row)
+    metric = F.col("metrics")
+    shares = [metric[k].between(0, 1) for k in ("accuracy", "precision", "recall", "f1_score", "roc_auc")]
+    return out.select("model_type", "status", metric["prediction_count"].cast("bigint").alias("test_rows"),
+                      F.coalesce(shares[0] & shares[1] & shares[2] & shares[3] & shares[4] & (metric["log_loss"] >= 0), F.lit(False)).alias("metrics_hold"))
+
+
 @query("tune")
 def tune(spark, sf):
-    """Random search with stratified k-fold CV (foldCol) for logistic regression."""
+    """Model-based search with stratified k-fold CV (foldCol) for logistic regression; the
+    first three trials are random."""
     data = ML.with_label(_embeddings(spark, sf), "y")
     folds = ML.stratified_folds(data, "label", ["vec_id"], 3).persist()
     tr = ML.trainers(folds.count(), len(_features(spark, sf)), 2)["logistic_regression"]
-    best, cv_f1 = ML.tune(folds, tr.build, tr.space, ML.feature_pipeline(_features(spark, sf)), n_trials=4)
+    best, cv_f1 = ML.tune(folds, tr.build, tr.space, ML.feature_pipeline(_features(spark, sf)), n_trials=6,
+                         startup=3, parallelism=3)
     folds.unpersist()
     return spark.createDataFrame([(k, str(v)) for k, v in best.items()], "param string, value string").withColumn(
         "cv_f1", F.lit(round(cv_f1, 6)))
@@ -207,6 +242,37 @@ def explain_shapley(spark, sf):
     return sh.groupBy("feature").agg(F.round(F.avg(F.abs("contribution")), 6).alias("mean_abs_contribution"))
 
 
+def _explained(spark, sf):
+    """A forest of the embeddings with the exact contributions of every row, and the scored rows."""
+    from pyspark.ml import Pipeline
+
+    from tessera.operators import explain as EX
+    data = ML.with_label(_embeddings(spark, sf), "y")
+    names = _features(spark, sf)
+    model = Pipeline(stages=[*ML.feature_pipeline(names), ML.trainers()["random_forest"].build({"n_estimators": 20, "max_depth": 5})]).fit(data)
+    return model.transform(data), EX.tree_contributions(model, data, data, names, ["vec_id"])
+
+
+@query("explain_trees")
+def explain_trees(spark, sf):
+    """M10, exact: each feature's mean absolute contribution over all embeddings, and how often it is the first."""
+    _, ex = _explained(spark, sf)
+    each = ex.select("vec_id", F.posexplode("contributions").alias("pos", "c"))
+    return each.groupBy("c.feature").agg(F.round(F.avg(F.abs("c.contribution")), 6).alias("mean_abs_contribution"),
+                                         F.count_if(F.col("pos") == 0).alias("first"))
+
+
+@query("explain_trees_additive", "select count(*) n, cast(0 as bigint) differing, true sorted from embeddings")
+def explain_trees_additive(spark, sf):
+    """Baseline and contributions of every row add up to the model's probability, largest contribution first."""
+    from pyspark.ml.functions import vector_to_array
+    scored, ex = _explained(spark, sf)
+    both = scored.select("vec_id", vector_to_array("probability")[1].alias("p")).join(ex, "vec_id")
+    size = F.transform("contributions", lambda c: F.abs(c["contribution"]))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("p") - F.col("output")) > 1e-9).alias("differing"),
+                    F.coalesce(F.bool_and(size == F.reverse(F.array_sort(size))), F.lit(True)).alias("sorted"))
+
+
 @query("top_contributions", """
 with m as (select avg(l_quantity) mq, avg(l_extendedprice) mp, avg(l_discount) md, avg(l_tax) mt from lineitem),
 c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey,
