@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 KS_TERMS = 100
 KS_SMALL_LAMBDA = 0.2  # below this the truncated series is unstable; p = 1
@@ -41,6 +44,70 @@ def ks_pvalue_sql(d: str, n: str, m: str) -> str:
             f"else least(greatest(2.0 * {series}, 0.0), 1.0) end)")
 
 
+#: Rows of the larger side up to which the automatic choice takes the exact p-value.
+KS_EXACT_ROWS = 10_000
+
+
+def ks_exact(d: float, n: int, m: int) -> float:
+    """P(D >= d) for two samples of n and m distinct values in random order.
+
+    Such an order is a lattice path from (0, 0) to (n, m); D >= d if the path leaves the band
+    |i m - j n| < d n m.  Step by step the chance of being at (i, j) is carried on inside the
+    band, and what steps out is added up, so that small p-values lose no digits.
+    """
+    out, size = int(round(d * n * m)), n + m
+    if out <= 0:
+        return 1.0
+    low = lambda k: max(0, k - m, (k * n - out) // size + 1)  # noqa: E731 -- least i inside the band at i + j = k
+    high = lambda k: min(n, k, -((-k * n - out) // size) - 1)
+    a, chance, outside = 0, np.ones(1), 0.0
+    for k in range(size):
+        i = np.arange(a, a + len(chance))
+        up, right = chance * (n - i) / (size - k), chance * (m - (k - i)) / (size - k)
+        step = np.append(right, 0.0)
+        step[1:] += up  # at i = a .. a + len
+        lo, hi = low(k + 1), high(k + 1)
+        inside = step[max(lo - a, 0):max(hi - a + 1, 0)]
+        outside += step.sum() - inside.sum() if len(inside) < len(step) else 0.0
+        if not len(inside):
+            break
+        a, chance = max(lo, a), inside
+    return float(min(max(outside, 0.0), 1.0))
+
+
+@F.pandas_udf(DoubleType())
+def _ks_exact(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([ks_exact(x, int(a), int(b)) if x == x and a > 0 and b > 0 else None for x, a, b in zip(d, n, m, strict=True)], dtype="float64")
+
+
+def ks_pvalue_by(method: str, d: Column, n: Column, m: Column) -> Column:
+    """The two-sample KS p-value: 'asymptotic', 'exact', or 'auto' -- exact where the larger side has at most
+    ``KS_EXACT_ROWS`` values."""
+    if method not in ("auto", "exact", "asymptotic"):
+        raise ValueError(f"unknown method {method!r}: auto, exact or asymptotic")
+    if method == "asymptotic":
+        return ks_pvalue(d, n, m)
+    small = F.lit(True) if method == "exact" else F.greatest(n, m) <= KS_EXACT_ROWS
+    # large sides don't enter the function, whose work grows with their size
+    own = _ks_exact(F.when(small, d), F.when(small, n).otherwise(0.0), F.when(small, m).otherwise(0.0))
+    return own if method == "exact" else F.when(small, own).otherwise(ks_pvalue(d, n, m))
+
+
+def ks_exact_sql(tests: str, keys: str) -> str:
+    """CTEs of a recursive query ending with ``exact``(keys, p_value), for a table with the keys, statistic, n_ref and
+    n_cur."""
+    return f"""walk as (
+  select {keys}, cast(n_ref as bigint) n, cast(n_cur as bigint) m, cast(round(statistic * n_ref * n_cur) as bigint) h,
+         0::bigint k, 0::bigint i, 1.0::double p, false as gone from {tests} where n_ref > 0 and n_cur > 0 and round(statistic * n_ref * n_cur) > 0
+  union all
+  select {keys}, n, m, h, k, i, sum(p), abs(i * m - (k - i) * n) >= h
+  from (select {keys}, n, m, h, k + 1 as k, i + s.up as i, p * case when s.up = 1 then n - i else m - (k - i) end / (n + m - k) as p
+        from walk, (values (0), (1)) s(up)
+        where not gone and k < n + m and case when s.up = 1 then i < n else k - i < m end)
+  group by {keys}, n, m, h, k, i
+), exact as (select {keys}, sum(p) p_value from walk where gone group by {keys})"""
+
+
 def _erfc_poly(t):
     acc = ERFC_COEFFS[-1]
     for c in reversed(ERFC_COEFFS[1:-1]):

@@ -91,12 +91,13 @@ def ecdf(stacked: DataFrame, columns: Sequence[str], ranked: DataFrame | None =
 
 
 def ks_test(stacked: DataFrame, columns: Sequence[str], threshold: float = PREDICTION_DRIFT_THRESHOLD,
-            ranked: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Two-sample KS per numeric feature: statistic D, p-value, score = 1 − p."""
+            ranked: DataFrame | None = None, keys: Sequence[str] = (), method: str = "auto") -> DataFrame:
+    """Two-sample KS per numeric feature: statistic D, p-value, score = 1 − p.  ``method``: how the
+    p-value is found (``stats.ks_pvalue_by``), exactly for small samples by default."""
     e = ecdf(stacked, columns, ranked, keys)
     d = e.groupBy(*keys, "feature", F.col("N").alias("n_ref"), F.col("M").alias("n_cur")).agg(
         F.max(F.abs(F.coalesce("cdf_ref", F.lit(0.0)) - F.coalesce("cdf_cur", F.lit(0.0)))).alias("statistic"))
-    p = S.ks_pvalue(F.col("statistic"), F.col("n_ref"), F.col("n_cur"))
+    p = S.ks_pvalue_by(method, F.col("statistic"), F.col("n_ref"), F.col("n_cur"))
     return d.select(*keys, "feature", F.lit("ks").alias("test"), "statistic", p.alias("p_value"),
                     F.col("n_ref").cast("bigint").alias("n_ref"), F.col("n_cur").cast("bigint").alias("n_cur")
                     ).withColumn("drift_score", 1 - F.col("p_value")).withColumn(
@@ -186,7 +187,7 @@ def side_counts_all(stacked: DataFrame, numeric: Sequence[str], categorical: Seq
 
 def data_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None,
                threshold: float = DATA_DRIFT_THRESHOLD, p_threshold: float = PREDICTION_DRIFT_THRESHOLD,
-               with_psi: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+               with_psi: bool = True, keys: Sequence[str] = (), method: str = "auto") -> DataFrame:
     """Per column: test (KS numeric / chi-square categorical), statistic, p, score, flag, PSI.
 
     With ``keys`` (columns of both sides) that for every key by itself, all in the same jobs;
@@ -203,7 +204,7 @@ def data_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str]
     cats = (counts.where(F.col("cat").isNotNull()).select(*by, F.col("cat").alias("category"), "n_ref", "n_cur")
             if cat else None)
     if num:
-        parts.append(ks_test(stacked, num, p_threshold, ranked, keys))
+        parts.append(ks_test(stacked, num, p_threshold, ranked, keys, method))
     if cat:
         parts.append(chi_square_test(stacked, cat, p_threshold, cats, keys))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -224,18 +225,18 @@ def drift_summary(per_feature: DataFrame, threshold: float = DATA_DRIFT_THRESHOL
 
 
 def prediction_drift(reference: DataFrame, current: DataFrame, column: str = "prediction",
-                     threshold: float = PREDICTION_DRIFT_THRESHOLD) -> DataFrame:
+                     threshold: float = PREDICTION_DRIFT_THRESHOLD, method: str = "auto") -> DataFrame:
     """KS if the prediction column is numeric, else chi-square."""
     stacked = stack_sides(reference.select(column), current.select(column))
     if is_numeric(stacked.schema[column].dataType):
-        return ks_test(stacked, [column], threshold)
+        return ks_test(stacked, [column], threshold, method=method)
     return chi_square_test(stacked, [column], threshold)
 
 
 def concept_drift(reference: DataFrame, current: DataFrame, target_col: str,
-                  threshold: float = PREDICTION_DRIFT_THRESHOLD) -> DataFrame:
+                  threshold: float = PREDICTION_DRIFT_THRESHOLD, method: str = "auto") -> DataFrame:
     """Drift of the target column (D6): same dispatch as prediction drift."""
-    return prediction_drift(reference, current, target_col, threshold)
+    return prediction_drift(reference, current, target_col, threshold, method)
 
 
 def drift_report(reference: DataFrame, log: DataFrame, columns: Mapping[str, Sequence[str]], created_at,

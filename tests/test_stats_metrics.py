@@ -145,3 +145,54 @@ def test_null_keys_are_one_group(spark):
     split = stratified_split(df.withColumn("label", F.when(F.col("m") == "a", 1.0)), "label", ["i"], 0.5, 0.25)
     assert {tuple(r) for r in split.groupBy("label", "split").count().collect()} == {
         (y, s, n) for y in (None, 1.0) for s, n in (("train", 3), ("validation", 1), ("test", 2))}
+
+
+def test_exact_ks_equals_enumeration():
+    """All orders of two samples of up to 8 values each."""
+    from fractions import Fraction
+    from itertools import combinations
+
+    from tessera.functions.stats import ks_exact
+
+    for n in range(1, 9):
+        for m in range(1, 9):
+            if n + m > 13:
+                continue
+            seen = {}
+            for first in combinations(range(n + m), n):
+                own, i, j, d = set(first), 0, 0, Fraction(0)
+                for k in range(n + m):
+                    i, j = (i + 1, j) if k in own else (i, j + 1)
+                    d = max(d, abs(Fraction(i, n) - Fraction(j, m)))
+                seen[d] = seen.get(d, 0) + 1
+            total, at_least = sum(seen.values()), 0
+            for d in sorted(seen, reverse=True):
+                at_least += seen[d]
+                assert abs(ks_exact(float(d), n, m) - at_least / total) < 1e-12
+    assert ks_exact(1.0, 8, 8) == pytest.approx(2 / math.comb(16, 8), rel=1e-12)
+    assert ks_exact(0.0, 5, 7) == 1.0
+
+
+def test_exact_ks_of_larger_samples():
+    """Close to the asymptotic series where that is good, and to all digits in the tail."""
+    from tessera.functions.stats import ks_exact
+
+    for n, m, d in ((3000, 2000, 0.04), (5000, 5000, 0.02), (10_000, 9_000, 0.02)):
+        lam = d * math.sqrt(n * m / (n + m))
+        series = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101))
+        assert abs(ks_exact(d, n, m) - series) < 0.02
+    assert ks_exact(1.0, 40, 50) == pytest.approx(2 / math.comb(90, 40), rel=1e-9)
+
+
+def test_ks_method(spark):
+    from tessera.operators import drift as D
+
+    ref = spark.createDataFrame([(float(i),) for i in range(6)], "x double")
+    cur = spark.createDataFrame([(float(i) + 10,) for i in range(5)], "x double")
+    st = D.stack_sides(ref, cur)
+    auto, exact, series = (D.ks_test(st, ["x"], method=m).first().p_value for m in ("auto", "exact", "asymptotic"))
+    assert auto == exact == pytest.approx(2 / math.comb(11, 5)) and series != exact
+    with pytest.raises(ValueError):
+        D.ks_test(st, ["x"], method="other")
+    none = D.ks_test(D.stack_sides(ref, cur.where("false")), ["x"]).first()
+    assert none.p_value is None and not none.drift_detected
