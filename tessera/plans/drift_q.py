@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import chi2_sf_sql, ks_pvalue_sql
+from tessera.functions.stats import chi2_sf_sql, ks_exact_sql, ks_pvalue_sql
 from tessera.operators import drift as D
 from tessera.plans import mappings as M
 from tessera.plans.common import query, round_doubles, tbl
@@ -100,7 +100,7 @@ def _li_sides(spark, sf):
 @query("data_drift", drift_sql(LI_SRC, LI_NUM, LI_CAT))
 def data_drift(spark, sf):
     ref, cur = _li_sides(spark, sf)
-    return round_doubles(D.data_drift(ref, cur, LI_NUM + LI_CAT))
+    return round_doubles(D.data_drift(ref, cur, LI_NUM + LI_CAT, method="asymptotic"))
 
 
 @query("drift_summary", drift_sql(LI_SRC, LI_NUM, LI_CAT, psi=False, final="""
@@ -113,7 +113,7 @@ from per
 """))
 def drift_summary(spark, sf):
     ref, cur = _li_sides(spark, sf)
-    s = D.drift_summary(D.data_drift(ref, cur, LI_NUM + LI_CAT, with_psi=False))
+    s = D.drift_summary(D.data_drift(ref, cur, LI_NUM + LI_CAT, with_psi=False, method="asymptotic"))
     return round_doubles(s.select("features_analyzed", "features_drifted", "drift_score", "drift_detected",
                                   "threshold", F.array_join("drifted_features", ",").alias("drifted_features")))
 
@@ -130,7 +130,29 @@ def _events_sides(spark, sf):
 @query("ks_test", drift_sql(EV_SRC, ["value", "user_id"], [], psi=False))
 def ks_test(spark, sf):
     ref, cur = _events_sides(spark, sf)
-    return round_doubles(D.ks_test(D.stack_sides(ref, cur, ["value", "user_id"]), ["value", "user_id"]))
+    return round_doubles(D.ks_test(D.stack_sides(ref, cur, ["value", "user_id"]), ["value", "user_id"], method="asymptotic"))
+
+
+SMALL_SQL = f"""
+with recursive src as (select l_suppkey, l_quantity v, l_shipdate < timestamp '{SPLIT_DATE}' as old from lineitem where l_quantity is not null),
+cnt as (select l_suppkey, v, count(*) filter (where old) a, count(*) filter (where not old) b from src group by all),
+cum as (select *, sum(a) over w ca, sum(b) over w cb, sum(a) over (partition by l_suppkey) n, sum(b) over (partition by l_suppkey) m
+        from cnt window w as (partition by l_suppkey order by v)),
+d as (select l_suppkey, max(abs(coalesce(ca / nullif(n, 0), 0) - coalesce(cb / nullif(m, 0), 0))) statistic, any_value(n) n_ref, any_value(m) n_cur
+      from cum group by l_suppkey),
+{ks_exact_sql('d', 'l_suppkey')}
+select d.l_suppkey, round(d.statistic, 6) statistic, round(coalesce(exact.p_value, case when n_ref > 0 and n_cur > 0 then 1.0 end), 6) p_value,
+       cast(n_ref as bigint) n_ref, cast(n_cur as bigint) n_cur
+from d left join exact using (l_suppkey)
+"""
+
+
+@query("ks_small_samples", SMALL_SQL)
+def ks_small_samples(spark, sf):
+    """D2 with exact p-values: each supplier's quantities, before against after the split."""
+    ref, cur = _li_sides(spark, sf)
+    out = D.data_drift(ref, cur, ["l_quantity"], with_psi=False, keys=["l_suppkey"], method="exact")
+    return round_doubles(out.select("l_suppkey", "statistic", "p_value", "n_ref", "n_cur"))
 
 
 @query("chi_square_test", drift_sql(EV_SRC, [], ["event_type"], psi=False))
@@ -163,13 +185,13 @@ PRED_SRC = "src as (select *, case when \"timestamp\" < timestamp '" + EVENTS_SP
 def prediction_drift(spark, sf):
     p = M.predictions(spark, sf)
     ref, cur = _sides(p, "timestamp", EVENTS_SPLIT)
-    return round_doubles(D.prediction_drift(ref, cur, "probability"))
+    return round_doubles(D.prediction_drift(ref, cur, "probability", method="asymptotic"))
 
 
 @query("concept_drift", drift_sql(LI_SRC, [], ["l_returnflag"], psi=False))
 def concept_drift(spark, sf):
     ref, cur = _li_sides(spark, sf)
-    return round_doubles(D.concept_drift(ref, cur, "l_returnflag"))
+    return round_doubles(D.concept_drift(ref, cur, "l_returnflag", method="asymptotic"))
 
 
 @query("feature_drift", drift_sql(EV_SRC, ["k", "value"], [], psi=True))
@@ -177,7 +199,7 @@ def feature_drift(spark, sf):
     """Per-feature drift of the flattened features document (P3 + D1 rows)."""
     e = D.flatten_features(tbl(spark, sf, "events"), "props", ["k"], "int")
     ref, cur = _sides(e, "ts", EVENTS_SPLIT)
-    return round_doubles(D.data_drift(ref, cur, ["k", "value"]))
+    return round_doubles(D.data_drift(ref, cur, ["k", "value"], method="asymptotic"))
 
 
 @query("ecdf", "with " + EV_SRC + """,
@@ -233,3 +255,22 @@ def drift_report(spark, sf):
     ref = p.where(F.col("timestamp") < F.lit(EVENTS_SPLIT).cast("timestamp_ntz"))
     columns = dict(zip(M.DRIFT_TYPES, (["k", "latency_ms", "prediction"], ["prediction"], ["actual"], ["k"]), strict=True))
     return D.drift_report(ref, p, columns, "2024-01-31 00:00:00")
+
+
+@query("drift_report_log", "with " + M.PREDICTIONS_SQL + """
+select run_id, model_name, count(*) n, 0::bigint repeated
+from (select distinct model_name from predictions), (values ('run-1'), ('run-2')) r(run_id), (values (1), (2), (3), (4)) t(i)
+group by run_id, model_name
+""")
+def drift_report_log(spark, sf):
+    """D8 as a log: two runs are appended, the first of them twice; a third broke off before its commit."""
+    from tessera.session import scratch_path
+    from tessera.sources import datasets as DS
+    path = scratch_path(spark, "drift-reports")
+    reports = drift_report(spark, sf).checkpoint()
+    written = [DS.append_reports(reports, path, run) for run in ("run-1", "run-1", "run-2")]
+    if written != [True, False, True]:
+        raise RuntimeError(f"appended {written}")
+    reports.limit(1).write.parquet(f"{path}/runs/run_id=run-3")
+    rows = DS.read_reports(spark, path)
+    return rows.groupBy("run_id", "model_name").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct("report_id")).alias("repeated"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import metrics as MT
 from tessera.plans import mappings as M
 from tessera.plans.common import query, r6, round_doubles, tbl
+from tessera.session import scratch_path
 
 
 @query("value_counts", "select event_type as value, count(*) as count from events group by event_type")
@@ -74,6 +75,27 @@ def latency_summary(spark, sf):
     return round_doubles(MT.latency_summary(M.predictions(spark, sf), ["model_name"], "timestamp", "latency_ms"))
 
 
+@query("latency_sketch_summary", "with " + M.PREDICTIONS_SQL + """
+select model_name, count(*) total_predictions, min("timestamp") "start", max("timestamp") "end",
+       round(avg(latency_ms), 6) mean_ms, true p95_close, true p99_close
+from predictions group by model_name
+""")
+def latency_sketch_summary(spark, sf):
+    """A13 from hourly sketches, stored and merged; the true ranks of the quantiles lie within three times the
+    sketches' error."""
+    from tessera.operators import sketches as SK
+    p = M.predictions(spark, sf)
+    path = scratch_path(spark, "latency-sketches")
+    SK.latency_sketches(p, ["model_name"], "timestamp", "latency_ms").write.parquet(path)
+    out = SK.merged_latency(spark.read.parquet(path), ["model_name"])
+    below = p.join(out.select("model_name", "p95_ms", "p99_ms"), "model_name").groupBy("model_name").agg(
+        *[F.avg((F.col("latency_ms") < F.col(c)).cast("double")).alias(f"lo_{c}") for c in ("p95_ms", "p99_ms")],
+        *[F.avg((F.col("latency_ms") <= F.col(c)).cast("double")).alias(f"hi_{c}") for c in ("p95_ms", "p99_ms")])
+    close = [((F.col(f"lo_{c}") <= q + 3 * F.col("rank_error")) & (F.col(f"hi_{c}") >= q - 3 * F.col("rank_error"))).alias(f"{c[:3]}_close")
+             for c, q in (("p95_ms", 0.95), ("p99_ms", 0.99))]
+    return round_doubles(out.join(below, "model_name").select("model_name", "total_predictions", "start", "end", "mean_ms", *close))
+
+
 @query("prediction_counts", "with " + M.PREDICTIONS_SQL + """
 select model_name, model_version, status, count(*) count from predictions group by all
 """)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import catalog as C
 from tessera.operators import metrics as MT
 from tessera.plans import mappings as M
-from tessera.plans.common import joined, query, round_doubles, tbl
+from tessera.plans.common import joined, query, r6, round_doubles, tbl
 from tessera.session import scratch_path
 from tessera.sources import churn as CH
 from tessera.sources import datasets as DS
@@ -104,6 +104,29 @@ def dataset_checksum(spark, sf):
                                                  (sums[3], False, "differs_without_a_row"))])
 
 
+_PROFILE_NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("incremental_profile", "\nunion all\n".join(
+    f"""select '{c}' feature_name, count(*) row_count, count(*) - count({c}) null_count, """
+    + (f"""round(avg({c}), 6) mean, round(stddev_samp({c}), 6) std, cast(min({c}) as double) min, cast(max({c}) as double) max"""
+       if c in _PROFILE_NUMBERS else "null::double mean, null::double std, null::double min, null::double max")
+    + ", true unique_close from orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
+def incremental_profile(spark, sf):
+    """Orders written as one version a year and status, the profile of all versions merged from the stored ones;
+    distinct counts lie within 4 % of the true ones (five standard errors)."""
+    o = tbl(spark, sf, "orders")
+    root, profiles = scratch_path(spark, "profiled"), scratch_path(spark, "profiles")
+    year = F.year("o_orderdate")
+    years = [r[0] for r in o.select(year.alias("y")).distinct().orderBy("y").collect()]  # a row a year
+    for y in years:
+        DS.write_dataset_version(o.where(year.eqNullSafe(F.lit(y))), root, "orders", f"v{y}", profile_table=profiles)
+    exact = o.agg(F.array(*[F.struct(F.lit(c).alias("feature_name"), F.count_distinct(c).alias("exact")) for c in o.columns]).alias("a")).select(F.inline("a"))
+    out = DS.dataset_profile(spark, profiles, "orders").join(exact, "feature_name")
+    return out.select("feature_name", "row_count", "null_count", r6("mean").alias("mean"), r6("std").alias("std"), "min", "max",
+                      (F.abs(F.col("unique_estimate") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.04 * F.col("exact"))).alias("unique_close"))
+
+
 @query("dataset_size")
 def dataset_size(spark, sf):
     return FS.dataset_size(spark.read.parquet(table_path(sf, "lineitem")))

@@ -8,9 +8,11 @@ files (Parquet footers and file metadata), not from a second pass over the data.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
-from typing import Mapping
+from typing import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +62,12 @@ def checksum(df: DataFrame) -> DataFrame:
 def write_dataset_version(df: DataFrame, root: str, name: str, version: str | None = None, fmt: str = "parquet",
                           tags: Mapping[str, str] | None = None, source_type: str = "dataframe",
                           source_path: str = "", validation_passed: bool | None = None,
-                          metadata_table: str | None = None) -> DataFrame:
-    """Write one immutable version and return (and optionally append) its metadata row."""
+                          metadata_table: str | None = None, profile_table: str | None = None) -> DataFrame:
+    """Write one immutable version and return (and optionally append) its metadata row.
+
+    With ``profile_table``, the version's profile (mergeable summaries per column) is appended
+    there, so that the profile of any set of versions needs no rows of them (``dataset_profile``).
+    """
     spark = df.sparkSession
     version = version or version_stamp()
     path = dataset_path(root, name, version)
@@ -85,11 +91,72 @@ def write_dataset_version(df: DataFrame, root: str, name: str, version: str | No
     meta = spark.createDataFrame([(f"{name}:{version}", name, version, int(rows), len(df.columns), int(size),
                                    list(df.columns), digest, source_type, source_path, validation_passed,
                                    dict(tags or {}), now, False)], METADATA_SCHEMA)
+    if profile_table:
+        from tessera.operators.sketches import profile
+
+        profile(stored).select(F.lit(name).alias("dataset_name"), F.lit(version).alias("version"), "*").write.mode("append").parquet(profile_table)
     if metadata_table:
         meta.write.mode("append").parquet(metadata_table)
     return meta
 
 
+def dataset_profile(spark: SparkSession, profile_table: str, name: str, versions: Sequence[str] | None = None) -> DataFrame:
+    """Statistics over the rows of all (or the given) versions of a dataset, from their stored profiles alone.  A
+    version whose profile was written twice counts once."""
+    from tessera.operators.sketches import describe_profile, merge_profiles
+
+    rows = spark.read.parquet(profile_table).where(F.col("dataset_name") == name)
+    if versions is not None:
+        rows = rows.where(F.col("version").isin(list(versions)))
+    return describe_profile(merge_profiles(rows.dropDuplicates(["version", "column_name"]).drop("dataset_name", "version")))
+
+
+# ---------------------------------------------------------------- D8 report log
+
+def append_reports(reports: DataFrame, path: str, run_id: str) -> bool:
+    """Append a run's report rows to the log at ``path``, once: whether they were written now.
+
+    The rows go to the run's own folder, replacing what a run that broke off has left there;
+    then the run's commit marker is created, which fails if another writer of the same run was
+    faster.  ``read_reports`` sees runs with a marker only, whole or not at all.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
+        raise ValueError(f"run id {run_id!r} has other characters than letters, digits, '_', '.' and '-'")
+    spark = reports.sparkSession
+    base = path.rstrip("/")
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/committed/{run_id}")
+    fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(marker):
+        return False
+    reports.write.mode("overwrite").parquet(f"{base}/runs/run_id={run_id}")
+    fs.mkdirs(marker.getParent())
+    try:
+        out = fs.create(marker, False)
+    except Py4JJavaError:
+        if fs.exists(marker):
+            return False
+        raise
+    out.writeBytes(run_id)  # readers list files that hold something
+    out.close()
+    return True
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all committed runs, with ``run_id``.  A log without committed runs raises FileNotFoundError."""
+    base = path.rstrip("/")
+    committed = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/committed")
+    if not committed.getFileSystem(spark._jsc.hadoopConfiguration()).exists(committed):
+        raise FileNotFoundError(path)
+    markers = spark.read.format("binaryFile").load(f"{base}/committed").select(F.element_at(F.split("path", "/"), -1).alias("run_id"))
+    rows = spark.read.option("basePath", f"{base}/runs").schema(f"{_ddl(spark, base)}, run_id string").parquet(f"{base}/runs")
+    return rows.join(markers, "run_id", "left_semi")
+
+
+def _ddl(spark: SparkSession, base: str) -> str:
+    fields = spark.read.parquet(f"{base}/runs").drop("run_id").schema.fields
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+
 def read_dataset_version(spark: SparkSession, root: str, name: str, version: str | None = None,
                          metadata_table: str | None = None, fmt: str = "parquet") -> DataFrame:
     """Read by name+version; without a version, the newest live one from the metadata table."""
