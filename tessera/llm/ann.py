@@ -13,10 +13,12 @@ Clustered data need few cells, spread-out data need many.
 d of D rotated dimensions a partial squared distance s estimates the whole as s * D / d;
 a candidate is abandoned if even s > r * d/D * (1 + EPSILON / sqrt(d))**2, where r is the
 query's tenth best squared distance so far: a test that rejects a true neighbour with a
-small probability only.  r comes from the first rows of a block and from the blocks that
-the task has scanned before, whichever is less; to it the rounding of the partial distances
-is added, which grows with the squared norms.  Those that stay to the end are measured on
-the original vectors in doubles.
+small probability only.  Every query searches the list of its nearest cell first; the tenth
+distance found there goes with it to its other lists, which then give what is nearer, and
+nothing else.  Within a block the first rows, and the blocks that the task has scanned
+before, may set a smaller r.  To r the rounding of the partial distances is added, which
+grows with the squared norms.  Candidates that stay to the end are measured on the original
+vectors in doubles.
 
 Queries move to the lists in blocks as well, and every pair of a query block and a list
 block is one row of a join on the cell, so a cell with a third of all vectors is many
@@ -30,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.components import shared_folder
 from tessera.llm.repeats import table_of
 from tessera.llm.vec_dedup import clean, matrix
 
@@ -88,19 +91,27 @@ def index_blocks(batches, turn: np.ndarray):
 
 
 def query_blocks(batches):
-    """Rows (cell, id, v), sorted by cell, as blocks (cell, queries, qv)."""
+    """Rows (cell, id, v, far), sorted by cell, as blocks (cell, queries, qv, far)."""
     for b in batches:
         if not b.num_rows:
             continue
-        cell, ids, x = b.column("cell").to_numpy(), b.column("id").to_numpy(), matrix(b.column("v"))
+        cell, ids, x, far = b.column("cell").to_numpy(), b.column("id").to_numpy(), matrix(b.column("v")), b.column("far").to_numpy()
         edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
         cut = [(i, min(i + QUERY_BLOCK, hi)) for lo, hi in zip(edge[:-1], edge[1:], strict=True) for i in range(lo, hi, QUERY_BLOCK)]
-        yield table_of(cell=np.array([cell[lo] for lo, _ in cut]), queries=binary([ids[lo:hi] for lo, hi in cut]), qv=binary([x[lo:hi] for lo, hi in cut]))
+        yield table_of(cell=np.array([cell[lo] for lo, _ in cut]), queries=binary([ids[lo:hi] for lo, hi in cut]), qv=binary([x[lo:hi] for lo, hi in cut]), far=binary([far[lo:hi] for lo, hi in cut]))
+
+
+def first_of_id(ids: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether a row is the first one of its id within its group."""
+    order = np.lexsort((np.arange(len(ids)), ids, group))
+    out = np.ones(len(ids), dtype=bool)
+    out[order[1:]] = (ids[order[1:]] != ids[order[:-1]]) | (group[order[1:]] != group[order[:-1]])
+    return out
 
 
 def scan(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, columns: np.ndarray, turn: np.ndarray, k: int, known: np.ndarray | None = None):
-    """(query, id, distance) of each query's `k` nearest of this block; those farther than `known`, a distance within
-    which each query has `k` vectors, may be left out."""
+    """(query, id, distance) of each query's `k` nearest ids of this block, none farther than `known`, a distance
+    within which each query has `k` of them."""
     n, d = x.shape
     parts, at = [], 0
     for s in range(0, d, COLUMNS):
@@ -111,9 +122,13 @@ def scan(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, columns
     lead = min(n, 8 * k)
     above = np.float32(1 + 1e-5)
     bound = np.full(len(q), np.inf, dtype=np.float32) if known is None else (known**2).astype(np.float32) * above
+    repeated = len(np.unique(ids)) < n
     for i in range(len(q)):  # the first rows of the block set the bound
         s = ((x[:lead] - q[i]) ** 2).sum(1)
         s = s[ids[:lead] != qid[i]]
+        if repeated:
+            own = ids[:lead][ids[:lead] != qid[i]]
+            s = np.sort(s)[first_of_id(own[np.argsort(s, kind="stable")], np.zeros(len(s)))]
         if len(s) >= k:
             bound[i] = min(bound[i], np.partition(s, k - 1)[k - 1] * above)
     qi, xi = np.divmod(np.arange(len(q) * n), n)
@@ -137,6 +152,10 @@ def scan(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, columns
     qi, xi = qi[~own], xi[~own]
     dist = np.sqrt(((q[qi] - x[xi]) ** 2).sum(1))
     order = np.lexsort((ids[xi], dist, qi))
+    if repeated:
+        order = order[first_of_id(ids[xi[order]], qi[order])]
+    if known is not None:
+        order = order[dist[order] <= known[qi[order]]]
     qi, xi, dist = qi[order], xi[order], dist[order]
     rank = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left")
     top = rank < k
@@ -176,35 +195,51 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
                 near = half - 2 * matrix(b.column("v")) @ centres.T
                 pick = np.argmin(near, axis=1)[:, None] if most == 1 else np.argsort(near, axis=1, kind="stable")[:, :most]
                 rep = pa.array(np.repeat(np.arange(b.num_rows), pick.shape[1]))
-                yield table_of(cell=pick.ravel(), id=b.column("id").take(rep), v=b.column("v").take(rep))
+                yield table_of(cell=pick.ravel(), id=b.column("id").take(rep), v=b.column("v").take(rep), nth=np.tile(np.arange(pick.shape[1]), b.num_rows))
 
-    kind = "cell long, id long, v array<double>"
+    kind = "cell long, id long, v array<double>, nth long"
     every, asked = every.where(F.size("v") == d), asked.where(F.size("v") == d)
-    salt = F.pmod(F.xxhash64("id"), F.lit(64))
-    lists = every.mapInArrow(lambda b: assign(b, 1), kind).repartition("cell", salt).sortWithinPartitions("cell", "id").mapInArrow(lambda b: index_blocks(b, turn), "cell long, ids binary, vectors binary, columns binary")
-    probed = asked.mapInArrow(lambda b: assign(b, probes), kind).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("cell", "id").mapInArrow(query_blocks, "cell long, queries binary, qv binary")
+    salt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    lists = every.mapInArrow(lambda b: assign(b, 1), kind).select("cell", "id", "v").repartition("cell", salt(64)).sortWithinPartitions("cell", "id").mapInArrow(lambda b: index_blocks(b, turn), "cell long, ids binary, vectors binary, columns binary")
+    probed = asked.mapInArrow(lambda b: assign(b, probes), kind)
 
     def search(batches):
         bounds: dict[int, float] = {}
         for b in batches:
             for r in range(b.num_rows):
-                raw = {c: b.column(c)[r].as_buffer() for c in ("ids", "vectors", "columns", "queries", "qv")}
+                raw = {c: b.column(c)[r].as_buffer() for c in ("ids", "vectors", "columns", "queries", "qv", "far")}
                 x, q = (np.frombuffer(raw[c], dtype=np.float64).reshape(-1, d) for c in ("vectors", "qv"))
                 ids, qid = (np.frombuffer(raw[c], dtype=np.int64) for c in ("ids", "queries"))
-                columns = np.frombuffer(raw["columns"], dtype=np.float32)
-                known = np.array([bounds.get(i, np.inf) for i in qid.tolist()])
+                columns, far = np.frombuffer(raw["columns"], dtype=np.float32), np.frombuffer(raw["far"])
+                known = np.minimum(far, [bounds.get(i, np.inf) for i in qid.tolist()])
                 a, v, s = scan(q, qid, x, ids, columns, turn, k, known)
                 last = np.flatnonzero(np.append(a[1:] != a[:-1], True)) if len(a) else np.zeros(0, dtype=int)
                 full = last[np.diff(last, prepend=-1) >= k]
                 if len(bounds) > REMEMBERED:
                     bounds.clear()
-                for i, far in zip(a[full].tolist(), s[full].tolist(), strict=True):
-                    bounds[i] = min(far, bounds.get(i, np.inf))
+                for i, limit in zip(a[full].tolist(), s[full].tolist(), strict=True):
+                    bounds[i] = min(limit, bounds.get(i, np.inf))
                 yield table_of(query_id=a, vec_id=v, score=s)
 
-    found = lists.join(probed, "cell").mapInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def found_in(rows: DataFrame) -> DataFrame:
+        """What queries (cell, id, v, far) find in their lists, each id once."""
+        blocks = rows.repartition("cell", salt(8)).sortWithinPartitions("cell", "id").mapInArrow(query_blocks, "cell long, queries binary, qv binary, far binary")
+        out = lists.join(blocks, "cell").mapInArrow(search, "query_id long, vec_id long, score double")
+        return out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    nowhere = F.lit(float("inf"))
+    first = ranked(found_in(probed.where("nth = 0").select("cell", "id", "v", nowhere.alias("far"))))
+    # both phases and the bounds between them read it: at most `k` rows a query
+    shared_folder(vectors)
+    first = first.checkpoint()
+    far = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("far"))
+    rest = probed.where("nth > 0").join(far, "id", "left").select("cell", "id", "v", F.coalesce("far", nowhere).alias("far"))
+    every = first.drop("rank").unionByName(found_in(rest)).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return ranked(every).select("query_id", "rank", "vec_id", "score")
 
 
 def digest(vectors: DataFrame) -> DataFrame:
