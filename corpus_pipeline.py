@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns
 as Parquet and read again as the `docs` of the next, which cuts the lineage: a lost
 executor costs tasks of one stage only.  All stages but the last return the columns of
 `documents`.
+
+Odd rows: a NULL text counts as empty; documents without words stay through all stages (a
+NULL text comes out of the third as the empty text).  Rows that share an id are judged by
+their own texts.  Of copies one row stays, that of the least id (NULL last), also where id
+and text are equal.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,12 +46,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_copies), ("substring_dedup", cut_repeats), ("best_fit_packing", pack)]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what lies between them goes to the shared folder, and goes from there once
-    the next stage is written.  The last of it stays, as the result reads it."""
+def run(spark: SparkSession, sf_dir: str, cleaned: str | None = None) -> DataFrame:
+    """All stages: the places of the cleaned documents in their bins.
+
+    What lies between the stages goes to the shared folder, and goes from there once the next
+    stage is written.  The cleaned documents, which the result reads, are written to
+    `cleaned`, a folder that must not be there yet; without one, they stay in the shared folder."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, f"pipeline-{name}")
+        path = cleaned if cleaned and name == STAGES[-2][0] else scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
