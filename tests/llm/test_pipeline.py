@@ -33,3 +33,41 @@ def test_stages(spark, tmp_path):
 
 def test_run_needs_nothing_of_the_driver_folder(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "substring_dedup", "best_fit_packing"]
+
+
+def test_odd_tables(spark, tmp_path, odd):
+    """NULLs, repeated ids and rows, blank texts and an empty table go through every stage."""
+    labels = "doc_id long, quality int, toxic int"
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, rows, marks in (("odd", docs, [(1, 1, 0), (None, 1, 1), (2, None, None)]), ("empty", docs.limit(0), [])):
+        d = str(tmp_path / name)
+        rows.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(marks, labels).write.parquet(f"{d}/labels.parquet")
+        at = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            at = spark.createDataFrame(stage(spark, at, d).collect(), docs.schema)
+        cleaned = str(tmp_path / f"{name}-cleaned")
+        out = corpus_pipeline.run(spark, d, cleaned)
+        back = spark.read.parquet(cleaned)
+        assert back.columns == docs.columns and sorted(map(repr, back.collect())) == sorted(map(repr, at.collect()))
+        assert out.agg(F.sum("length")).first()[0] == back.agg(F.sum(F.octet_length("text"))).first()[0]
+        if name == "empty":
+            assert out.count() == 0
+        else:  # one of the copies, the one with a tail cut to it, and all rows without words
+            assert sorted((repr(r.doc_id) for r in back.where("length(text) > 10").collect())) == ["1"]
+            assert back.where("coalesce(text, '') = ''").count() == 4
+
+
+def test_scratch_goes_with_a_place_for_the_texts(spark, tmp_path):
+    from tessera.session import checkpoint_dir
+
+    rows = [(i, f"{i} " + "word " * 30, "en", "s", 9) for i in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    import glob
+
+    left = lambda: set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file://')}/tessera-scratch/pipeline-*"))
+    before = left()
+    assert corpus_pipeline.run(spark, str(tmp_path), str(tmp_path / "cleaned")).count() > 0 and left() == before
+    corpus_pipeline.run(spark, str(tmp_path))
+    assert len(left() - before) == 1

@@ -82,6 +82,29 @@ def test_written_shards(docs, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 4
 
 
+def test_shuffle_as_brute_force(docs):
+    """Buckets, their order, the swaps and the cut into shards, row by row."""
+    key = lambda c, *more: F.xxhash64(F.coalesce(c, F.lit("")), c.isNull(), *more)
+    rows = docs.select("doc_id", key(F.col("doc_id").cast("string"), F.lit(9)).alias("a"), key(F.col("text")).alias("b"), F.octet_length("text").alias("n"))
+    buckets = -(-sum(r.n for r in rows.collect()) // 3000)
+    rows = rows.select("*", F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).alias("k")).collect()
+    every = []
+    for k in range(buckets):
+        own = sorted((r for r in rows if r.k == k), key=lambda r: (r.a, r.b))
+        rng = np.random.Generator(np.random.PCG64([9, k]))
+        pick = [int(u * (i + 1)) for i, u in enumerate(rng.random(len(own)))]
+        for i in range(len(own) - 1, 0, -1):
+            own[i], own[pick[i]] = own[pick[i]], own[i]
+        every += [r.doc_id for r in own]
+    want, at = [], 0
+    for shard in range(5):
+        n = len(every) // 5 + (shard < len(every) % 5)
+        want += [(d, shard, slot) for slot, d in enumerate(every[at : at + n])]
+        at += n
+    got = sharding.shuffled(docs, 5, seed=9, bucket_bytes=3000).select("row.doc_id", "shard", "slot").collect()
+    assert buckets > 10 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_fisher_yates_is_even():
     rng = np.random.Generator(np.random.PCG64(1))
     seen = collections.Counter(tuple(sharding.fisher_yates(3, rng)) for _ in range(6000))
@@ -125,6 +148,45 @@ def test_tightest_compatible_bin():
     assert packing.best_fit([3, 3, 3], [0, 1, 2], [5, 5, 5], 10)[0] == [0, 1, 2]
 
 
+def brute_best_fit(size, source, cluster, capacity):
+    """Each item looks at every bin."""
+    bins, where = [], []
+    for n, s, c in zip(size, source, cluster, strict=True):
+        able = [(capacity - b["used"], i) for i, b in enumerate(bins) if capacity - b["used"] >= n and b["used"] < capacity and s not in b["s"] and c not in b["c"]]
+        if able:
+            i = min(able)[1]
+        else:
+            i = len(bins)
+            bins.append({"used": 0, "s": set(), "c": set()})
+        where.append((i, bins[i]["used"]))
+        bins[i]["used"] += n
+        bins[i]["s"].add(s)
+        bins[i]["c"].add(c)
+    return [i for i, _ in where], [o for _, o in where]
+
+
+def test_best_fit_as_brute_force():
+    rnd = random.Random(6)
+    for _ in range(60):
+        n = rnd.randrange(0, 120)
+        size = sorted((rnd.randrange(0, 101) for _ in range(n)), reverse=True)
+        source, cluster = [rnd.randrange(rnd.choice([2, 30])) for _ in range(n)], [rnd.randrange(40) for _ in range(n)]
+        assert packing.best_fit(size, source, cluster, 100) == brute_best_fit(size, source, cluster, 100)
+
+
+def test_packing_as_brute_force(docs, corpus_rows):
+    """The whole operator over one group: pieces, order of the items, bins and places."""
+    got = packing.pack(docs, F.octet_length("text"), F.col("source"), F.col("text"), capacity=700).select("row.doc_id", "piece", "length", "bin", "bin_start").collect()
+    code = lambda c: F.xxhash64(F.coalesce(c, F.lit("")), c.isNull())
+    rows = docs.select("doc_id", F.octet_length("text").alias("n"), code(F.col("doc_id").cast("string")).alias("key"), code(F.col("text")).alias("c"), code(F.col("source")).alias("s")).collect()
+    tail = lambda n: n - 700 * max(0, (n - 1) // 700)
+    items = sorted(rows, key=lambda r: (-tail(r.n), r.key, r.c, r.s))
+    bins, start = brute_best_fit([tail(r.n) for r in items], [r.s for r in items], [r.c for r in items], 700)
+    want = {(r.doc_id, max(0, (r.n - 1) // 700)): (tail(r.n), f"0-{b}", o) for r, b, o in zip(items, bins, start, strict=True)}
+    last = {(r.doc_id, r.piece): (r.length, r.bin, r.bin_start) for r in got if (r.doc_id, r.piece) in want}
+    assert last == want and sum(r.length == 700 and r.bin_start == 0 for r in got) >= len(got) - len(want)
+
+
 def test_packing_odd_rows(odd, none):
     out = packing.digest(odd).collect()
     assert len({(r.doc_id, r.bin) for r in out}) >= 7 and sum(r.length for r in out) == odd.agg(F.sum(F.octet_length("text"))).first()[0]
@@ -227,6 +289,30 @@ def test_exceptions_and_strongest_term():
     assert lex.score("trash") > lex.score("trash can") == lex.score("")
 
 
+def plain_hits(lexicon, folded):
+    """Every term and exception looked for at every place."""
+    places = lambda t: [p for p in range(len(folded) - len(t) + 1) if folded.startswith(t, p)]
+    spans = [(p, p + len(e)) for e in map(toxicity.fold, lexicon.exceptions) for p in places(e)]
+    best = {}
+    for term, weight in lexicon.weights.items():
+        for p in places(term):
+            if not any(a <= p and p + len(term) <= b for a, b in spans):
+                word = p if folded[p] == " " else folded.rindex(" ", 0, p)
+                best[word] = max(weight, best.get(word, 0.0))
+    return best
+
+
+def test_automaton_as_a_plain_scan():
+    """All hits, for all terms, in random texts of few letters, where terms overlap and exceptions cover some."""
+    rnd = random.Random(11)
+    make = lambda n: "".join(rnd.choice("ab ") for _ in range(n))
+    for _ in range(300):
+        terms = {t: float(rnd.randrange(1, 99)) for t in (make(rnd.randrange(2, 6)) for _ in range(12)) if t.strip() and "  " not in t and " " not in t[1:-1]}
+        lexicon = toxicity.Lexicon(terms, (0.0, 1.0, 0.0), tuple(x for x in (make(5).strip() for _ in range(2)) if x))
+        folded = toxicity.fold(make(60))
+        assert sorted(lexicon.hits(folded)) == sorted(plain_hits(lexicon, folded).values())
+
+
 def test_no_labels(spark, none):
     rows, _ = toxic_corpus(20)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
