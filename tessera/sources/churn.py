@@ -37,6 +37,13 @@ TENURE_MEAN, TENURE_MIN, TENURE_MAX = 24.0, 1, 72
 CHARGE_MEAN, CHARGE_SD, CHARGE_MIN, CHARGE_MAX = 65.0, 30.0, 20.0, 120.0
 DRIFT_CHARGE_FACTOR = 1.3
 DRIFT_CHURN_FACTOR = 1.5
+# What each trait adds to the churn probability, and the bounds of the sum.
+MONTH_TO_MONTH, ELECTRONIC_CHECK, FIBER = 0.25, 0.15, 0.10
+LONG_TENURE, LONG_TENURE_WEIGHT = 24, -0.15
+LONGER_TENURE, LONGER_TENURE_WEIGHT = 48, -0.10
+TECH_SUPPORT, ONLINE_SECURITY, SENIOR = -0.10, -0.08, 0.05
+HIGH_CHARGES, HIGH_CHARGES_WEIGHT = 80, 0.10
+LEAST_CHURN, MOST_CHURN = 0.05, 0.95
 
 
 def choice(u: Column, values: Sequence[str], probs: Sequence[float]) -> Column:
@@ -57,18 +64,15 @@ def churn_rule_score(contract: Column, payment: Column, internet: Column, tenure
                      online_security: Column, senior: Column, monthly_charges: Column, drift: bool = False
                      ) -> Column:
     """Additive churn probability, clipped to [0.05, 0.95] (×1.5 and capped at 0.95 under drift)."""
-    score = (F.when(contract == "Month-to-month", 0.25).otherwise(0.0)
-             + F.when(payment == "Electronic check", 0.15).otherwise(0.0)
-             + F.when(internet == "Fiber optic", 0.10).otherwise(0.0)
-             - F.when(tenure > 24, 0.15).otherwise(0.0)
-             - F.when(tenure > 48, 0.10).otherwise(0.0)
-             - F.when(tech_support == "Yes", 0.10).otherwise(0.0)
-             - F.when(online_security == "Yes", 0.08).otherwise(0.0)
-             + senior.cast("double") * 0.05
-             + F.when(monthly_charges > 80, 0.10).otherwise(0.0))
-    p = F.least(F.greatest(score, F.lit(0.05)), F.lit(0.95))
+    add = lambda cond, weight: F.when(cond, weight).otherwise(0.0)
+    score = (add(contract == "Month-to-month", MONTH_TO_MONTH) + add(payment == "Electronic check", ELECTRONIC_CHECK)
+             + add(internet == "Fiber optic", FIBER) + add(tenure > LONG_TENURE, LONG_TENURE_WEIGHT)
+             + add(tenure > LONGER_TENURE, LONGER_TENURE_WEIGHT) + add(tech_support == "Yes", TECH_SUPPORT)
+             + add(online_security == "Yes", ONLINE_SECURITY) + senior.cast("double") * SENIOR
+             + add(monthly_charges > HIGH_CHARGES, HIGH_CHARGES_WEIGHT))
+    p = F.least(F.greatest(score, F.lit(LEAST_CHURN)), F.lit(MOST_CHURN))
     if drift:
-        p = F.least(F.greatest(p * DRIFT_CHURN_FACTOR, F.lit(0.0)), F.lit(0.95))
+        p = F.least(F.greatest(p * DRIFT_CHURN_FACTOR, F.lit(0.0)), F.lit(MOST_CHURN))
     return p
 
 
