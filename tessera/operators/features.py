@@ -86,6 +86,26 @@ def onehot_encode(df: DataFrame, column: str, output: str, fit_df: DataFrame | N
     return df.withColumn(output, X.onehot(F.col(column), cats))
 
 
+def onehot_sparse(df: DataFrame, column: str, output: str, fit_df: DataFrame | None = None) -> DataFrame:
+    """One-hot codes of any number of categories: a struct of ``size`` (categories) and
+    ``indices`` (the one that is set, in sorted order of the values; none for a value that
+    ``fit_df`` lacks).  NULL → 'missing'.
+
+    Same positions as ``onehot_encode``, without its width: codes come from ranks spread over
+    all tasks, and no list of categories reaches the driver.
+    """
+    from tessera.session import checkpoint_dir
+
+    fit_df = fit_df if fit_df is not None else df
+    checkpoint_dir(df.sparkSession)
+    codes = label_codes(fit_df, column).checkpoint()  # read for the codes and for their number
+    size = codes.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
+    key = F.coalesce(F.col(column).cast("string"), F.lit("missing"))
+    out = df.withColumn("__v", key).join(codes, "__v", "left").withColumn("__size", size)
+    set_ = F.array_compact(F.array("__code"))
+    return out.withColumn(output, F.struct(F.col("__size").alias("size"), set_.alias("indices"))).drop("__v", "__code", "__size")
+
+
 def label_codes(fit_df: DataFrame, column: str) -> DataFrame:
     """(value, code): sorted distinct values → 0-based codes.
 

@@ -55,6 +55,21 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: Sequenc
     return wide.select("actual", F.inline(pairs))
 
 
+def confusion_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """The cells of the confusion matrix that are not 0, for any number of labels:
+    ``(actual, predicted, n, recall_share, precision_share)``, n as a share of its row and of
+    its column.  One aggregate over the rows, then joins of its result; rows with a NULL on
+    either side are no cell of the matrix.
+    """
+    cells = (df.select(F.col(actual).alias("actual"), F.col(predicted).alias("predicted"))
+             .where(F.col("actual").isNotNull() & F.col("predicted").isNotNull())
+             .groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n")))
+    of_row = cells.groupBy("actual").agg(F.sum("n").alias("row_n"))
+    of_column = cells.groupBy("predicted").agg(F.sum("n").alias("column_n"))
+    return cells.join(of_row, "actual").join(of_column, "predicted").select(
+        "actual", "predicted", "n", (F.col("n") / F.col("row_n")).alias("recall_share"), (F.col("n") / F.col("column_n")).alias("precision_share"))
+
+
 def per_class_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """``(cls, support, predicted_n, tp)`` from one (actual, predicted) aggregate."""
     pairs = df.groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(

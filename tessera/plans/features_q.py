@@ -83,6 +83,18 @@ def encode_onehot(spark, sf):
     return FE.onehot_encode(c, "seg", "vec").select("c_custkey", joined("vec").alias("vec"))
 
 
+@query("encode_onehot_sparse", """
+with v as (select distinct coalesce(cast(o_custkey as varchar), 'missing') v from orders),
+c as (select v, row_number() over (order by v) - 1 as code, count(*) over () as k from v)
+select o.o_orderkey, cast(c.k as int) "size", cast(c.code as int) "index"
+from orders o join c on c.v = coalesce(cast(o.o_custkey as varchar), 'missing')
+""")
+def encode_onehot_sparse(spark, sf):
+    """F6 over as many categories as there are customers."""
+    out = FE.onehot_sparse(tbl(spark, sf, "orders"), "o_custkey", "hot")
+    return out.select("o_orderkey", "hot.size", F.col("hot.indices")[0].alias("index"))
+
+
 @query("label_encode", """
 with codes as (select v, cast(row_number() over (order by v) - 1 as int) code
                from (select distinct coalesce(o_orderpriority, 'missing') v from orders))

@@ -36,6 +36,16 @@ f as (select *, coalesce(2 * prec * rec / nullif(prec + rec, 0), 0) f1 from m)
 """
 
 
+@query("confusion_counts", """
+with c as (select l_partkey actual, l_suppkey predicted, count(*) n from lineitem where l_partkey is not null and l_suppkey is not null group by all)
+select actual, predicted, n, round(n / sum(n) over (partition by actual), 6) recall_share,
+       round(n / sum(n) over (partition by predicted), 6) precision_share from c
+""")
+def confusion_counts(spark, sf):
+    """A9 over as many labels as there are parts and suppliers: the cells that are not 0."""
+    return round_doubles(MT.confusion_counts(tbl(spark, sf, "lineitem"), "l_partkey", "l_suppkey"))
+
+
 @query("classification_metrics", "with " + M.LINEITEM_SCORED_SQL + CLASS_METRICS_SQL + """
 select round(sum(tp) / sum(support), 6) accuracy, round(sum(prec * support) / sum(support), 6) "precision",
        round(sum(rec * support) / sum(support), 6) recall, round(sum(f1 * support) / sum(support), 6) f1_score,

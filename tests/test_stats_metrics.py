@@ -196,3 +196,28 @@ def test_ks_method(spark):
         D.ks_test(st, ["x"], method="other")
     none = D.ks_test(D.stack_sides(ref, cur.where("false")), ["x"]).first()
     assert none.p_value is None and not none.drift_detected
+
+
+def test_sparse_one_hot_as_the_wide_one(spark):
+    from tessera.operators import features as FE
+
+    fit = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string")
+    df = spark.createDataFrame([("a",), ("b",), (None,), ("new",)], "c string")
+    wide = FE.onehot_encode(df, "c", "hot", fit).select("c", "hot").collect()
+    got = {r.c: (r.hot.size, r.hot.indices) for r in FE.onehot_sparse(df, "c", "hot", fit).collect()}
+    assert got == {"a": (3, [0]), "b": (3, [1]), None: (3, [2]), "new": (3, [])} and len(wide) == 4
+    many = spark.range(25_000).selectExpr("cast(id as string) as c")
+    out = FE.onehot_sparse(many, "c", "hot")
+    assert out.agg(F.count_distinct(F.col("hot.indices")[0]), F.max("hot.size")).first() == (25_000, 25_000)
+    assert FE.onehot_sparse(fit.where("false"), "c", "hot").count() == 0
+
+
+def test_confusion_counts_of_many_labels(spark):
+    df = spark.createDataFrame([(i % 3000, (i * 7) % 3000 if i % 2 else i % 3000) for i in range(9000)] + [(None, 1), (1, None)], "a int, p int")
+    got = {(r.actual, r.predicted): r for r in MT.confusion_counts(df, "a", "p").collect()}
+    assert sum(r.n for r in got.values()) == 9000 and all(0 < r.recall_share <= 1 and 0 < r.precision_share <= 1 for r in got.values())
+    rows = {}
+    for (a, _), r in got.items():
+        rows[a] = rows.get(a, 0) + r.recall_share
+    assert len(rows) == 3000 and all(math.isclose(v, 1) for v in rows.values())
+    assert MT.confusion_counts(df.where("false"), "a", "p").count() == 0
