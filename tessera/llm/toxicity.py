@@ -21,6 +21,7 @@ bounds of the sample don't move the score.  A text without any hit, an empty one
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
@@ -38,6 +39,8 @@ from tessera.llm.repeats import table_of
 TOXIC_ROWS, OTHER_ROWS, TERMS, SHORT, LONG = 8192, 16384, 4096, 4, 8
 #: Rows of the sample are near copies from this Jaccard value of their word triples on.
 NEAR_WORDS, NEAR_PERCENT = 3, 80
+#: Bytes of sample text that one task counts: a term takes a row of each task that meets it.
+TASK_BYTES = 1 << 23
 #: Least G-test value of a term, and its largest weight.
 LEAST_G, MOST_WEIGHT = 30.0, 6.0
 #: Letters that look like a Latin one, and what digits and signs stand for.
@@ -211,12 +214,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield table_of(text=pa.array([fold(t) for t in b.column("text").to_pylist()], pa.string()), y=b.column("y"))
 
     known = kept.mapInArrow(folded, "text string, y int").checkpoint()
-    total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    na, nb = total.get(1, 0), total.get(0, 0)
+    total = {r.y: r for r in known.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    na, nb = (total[y].n if y in total else 0 for y in (1, 0))
     if not na or not nb:
         share = na / (na + nb) if na + nb else 0.0
         return Lexicon({}, (float(np.log((share + 1e-9) / (1 - share + 1e-9))), 0.0, 0.0), exceptions)
 
+    known = known.coalesce(math.ceil(sum(r["size"] for r in total.values()) / TASK_BYTES))
+
     # one row an id before the join, so a repeated id is no hot key
     every = docs.groupBy(i.alias("id")).agg(F.count("*").alias("n")).join(marked, "id").groupBy("y").agg(F.sum("n").alias("n"))
     of_class = {r.y: r.n for r in every.collect()}

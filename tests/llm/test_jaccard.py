@@ -85,6 +85,17 @@ def test_components(spark):
     assert components(df.where("false")).count() == 0
 
 
+def test_small_graph_in_one_task(spark):
+    """Rounds over few links leave no files of every shuffle partition."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "37")
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    links = own.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "a long, b long").repartition(5)
+    out = components(links)
+    assert out.rdd.getNumPartitions() < 37 + 5
+    assert {r.node: r.component for r in out.collect()} == {**dict.fromkeys(range(51), 0), 100: 100, 101: 100}
+
+
 def test_bands():
     for percent in (80, 85):
         assert (1 - (percent / 100) ** 4) ** bands_for(percent) <= 1e-8

@@ -354,3 +354,16 @@ def test_folding_of_letters_outside_the_bmp():
         assert toxicity.fold("".join(chr(first + ord(c) - 97) for c in "idiot")) == " idiot ", hex(first)
     assert toxicity.fold("".join(chr(0x1D41A + ord(c) - 97) for c in "idiot") + " \U0001F600 x") == " idiot x "
     assert toxicity.fold("𝟏d𝟏𝟎t \U00020000") == " idiot "
+
+
+def test_toxicity_counts_small_samples_in_one_task(spark, monkeypatch):
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "7")
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(i, f"w{i} x{i * 7} y{i * 13} " + ("awful" if i % 3 == 0 else "fine")) for i in range(90)]
+    docs = own.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = own.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    tasks, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, kind, *a: (str(kind).startswith("term ") and tasks.append(self.rdd.getNumPartitions())) or plain(self, f, kind, *a))
+    assert " awful " in toxicity.learn(docs, labels).weights
+    assert tasks == [1]
