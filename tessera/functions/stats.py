@@ -48,36 +48,74 @@ def ks_pvalue_sql(d: str, n: str, m: str) -> str:
 KS_EXACT_ROWS = 10_000
 
 
+#: Cells (tests x width of the widest band) that are carried on at a time.
+KS_CELLS = 1 << 15
+
+
 def ks_exact(d: float, n: int, m: int) -> float:
-    """P(D >= d) for two samples of n and m distinct values in random order.
+    """P(D >= d) for two samples of n and m distinct values in random order."""
+    return float(ks_exact_all(np.array([d]), np.array([n]), np.array([m]))[0])
+
+
+def ks_exact_all(d: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """P(D >= d) for each two samples of n and m (> 0) distinct values in random order.
 
     Such an order is a lattice path from (0, 0) to (n, m); D >= d if the path leaves the band
     |i m - j n| < d n m.  Step by step the chance of being at (i, j) is carried on inside the
-    band, and what steps out is added up, so that small p-values lose no digits.
+    band, and what steps out is added up, so that small p-values lose no digits.  Tests of
+    about one size go together, a row each, so that a step's cost is shared.
     """
-    out, size = int(round(d * n * m)), n + m
-    if out <= 0:
-        return 1.0
-    low = lambda k: max(0, k - m, (k * n - out) // size + 1)  # noqa: E731 -- least i inside the band at i + j = k
-    high = lambda k: min(n, k, -((-k * n - out) // size) - 1)
-    a, chance, outside = 0, np.ones(1), 0.0
-    for k in range(size):
-        i = np.arange(a, a + len(chance))
-        up, right = chance * (n - i) / (size - k), chance * (m - (k - i)) / (size - k)
-        step = np.append(right, 0.0)
-        step[1:] += up  # at i = a .. a + len
-        lo, hi = low(k + 1), high(k + 1)
-        inside = step[max(lo - a, 0):max(hi - a + 1, 0)]
-        outside += step.sum() - inside.sum() if len(inside) < len(step) else 0.0
-        if not len(inside):
-            break
-        a, chance = max(lo, a), inside
-    return float(min(max(outside, 0.0), 1.0))
+    n, m = np.asarray(n, dtype=np.int64), np.asarray(m, dtype=np.int64)
+    out = np.array([int(round(x * a * b)) for x, a, b in zip(d.tolist(), n.tolist(), m.tolist(), strict=True)], dtype=np.int64)
+    p = np.ones(len(n))
+    # places i inside the band at i + j = k lie less than 2 * out / (n + m) apart
+    width = np.minimum(np.minimum(n, m), 2 * out // (n + m) + 1) + 2
+    todo = np.flatnonzero(out > 0)
+    todo = todo[np.lexsort(((n + m)[todo], np.log2(width[todo]).astype(int)))]
+    while len(todo):
+        w = np.maximum.accumulate(width[todo])
+        k = max(1, int(np.searchsorted(w * np.arange(1, len(w) + 1), KS_CELLS, side="right")))
+        own, todo = todo[:k], todo[k:]
+        p[own] = _walk(out[own], n[own], m[own], int(w[k - 1]))
+    return p
+
+
+def _walk(out: np.ndarray, n: np.ndarray, m: np.ndarray, width: int) -> np.ndarray:
+    """The chances of leaving the bands; a row for each test, column c is i = a + c, a the least i inside the band."""
+    order = np.argsort(-(n + m), kind="stable")
+    out, n, m = out[order], n[order], m[order]
+    size, gone = n + m, np.zeros(len(n))
+    chance = np.zeros((len(n), width + 1))
+    chance[:, 0] = 1.0
+    a, c = np.zeros(len(n), dtype=np.int64), np.arange(width + 1)
+    live = len(n)
+    for k in range(int(size[0])):
+        live = int(np.searchsorted(-size[:live], -k, side="left"))  # longest first: the others are done
+        o, x, y, s = out[:live], n[:live], m[:live], size[:live]
+        i = a[:live, None] + c
+        each = chance[:live] / (s - k)[:, None]
+        step = each * np.maximum(y[:, None] - k + i, 0)
+        step[:, 1:] += (each * np.maximum(x[:, None] - i, 0))[:, :-1]
+        lo = np.maximum(np.maximum(0, k + 1 - y), ((k + 1) * x - o) // s + 1)
+        hi = np.minimum(np.minimum(x, k + 1), -((-(k + 1) * x - o) // s) - 1)
+        outside = (i < lo[:, None]) | (i > hi[:, None])
+        gone[:live] += np.where(outside, step, 0.0).sum(axis=1)
+        step[outside] = 0.0
+        shift = lo > a[:live]  # by 1 at most
+        step[shift, :-1] = step[shift, 1:]
+        step[shift, -1] = 0.0
+        chance[:live], a[:live] = step, lo
+    p = np.empty(len(n))
+    p[order] = np.clip(gone, 0.0, 1.0)
+    return p
 
 
 @F.pandas_udf(DoubleType())
 def _ks_exact(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series([ks_exact(x, int(a), int(b)) if x == x and a > 0 and b > 0 else None for x, a, b in zip(d, n, m, strict=True)], dtype="float64")
+    there = (d.notna() & (n > 0) & (m > 0)).to_numpy()
+    p = np.full(len(d), np.nan)
+    p[there] = ks_exact_all(d.to_numpy()[there], n.to_numpy()[there], m.to_numpy()[there])
+    return pd.Series(p)
 
 
 def ks_pvalue_by(method: str, d: Column, n: Column, m: Column) -> Column:

@@ -221,3 +221,24 @@ def test_confusion_counts_of_many_labels(spark):
         rows[a] = rows.get(a, 0) + r.recall_share
     assert len(rows) == 3000 and all(math.isclose(v, 1) for v in rows.values())
     assert MT.confusion_counts(df.where("false"), "a", "p").count() == 0
+
+
+def test_exact_ks_in_one_go_as_one_by_one():
+    """Tests of mixed sizes in one call; the tail keeps its digits."""
+    from tessera.functions.stats import ks_exact, ks_exact_all
+
+    r = np.random.default_rng(3)
+    n, m = r.integers(1, 90, 200), r.integers(1, 90, 200)
+    d = np.array([r.integers(0, a * b + 1) / (a * b) for a, b in zip(n, m, strict=True)])
+    assert ks_exact_all(d, n, m) == pytest.approx([ks_exact(*x) for x in zip(d.tolist(), n.tolist(), m.tolist(), strict=True)], rel=1e-12, abs=0)
+    assert ks_exact(1.0, 40, 50) == pytest.approx(2 / math.comb(90, 40), rel=1e-9, abs=0)
+
+
+def test_keyed_exact_ks_is_dealt_out(spark):
+    from tessera.operators import drift as D
+
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "6")
+    rows = own.createDataFrame([(k, float((i * 7 + k) % 11)) for k in range(20) for i in range(10)], "k long, x double")
+    out = D.data_drift(rows, rows.withColumn("x", F.col("x") + 1), ["x"], with_psi=False, keys=["k"], method="exact")
+    assert out.rdd.getNumPartitions() == 6 and out.where("p_value between 0 and 1").count() == 20
