@@ -100,8 +100,7 @@ def onehot_sparse(df: DataFrame, column: str, output: str, fit_df: DataFrame | N
     checkpoint_dir(df.sparkSession)
     codes = label_codes(fit_df, column).checkpoint()  # read for the codes and for their number
     size = codes.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
-    key = F.coalesce(F.col(column).cast("string"), F.lit("missing"))
-    out = df.withColumn("__v", key).join(codes, "__v", "left").withColumn("__size", size)
+    out = _with_codes(df, codes, column).withColumn("__size", size)
     set_ = F.array_compact(F.array("__code"))
     return out.withColumn(output, F.struct(F.col("__size").alias("size"), set_.alias("indices"))).drop("__v", "__code", "__size")
 
@@ -118,12 +117,18 @@ def label_codes(fit_df: DataFrame, column: str) -> DataFrame:
     return prefix_sums(d, [], "__v", ["__one"]).select("__v", (F.col("cum___one") - 1).cast("int").alias("__code"))
 
 
+def _with_codes(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``__v`` (the value, NULL as 'missing') and ``__code``.  Few categories go to the rows, which stay where
+    they are: a category can hold most of them, and would be one task of a join by its value."""
+    if codes.limit(MAX_CATEGORIES + 1).count() <= MAX_CATEGORIES:
+        codes = F.broadcast(codes)
+    return df.withColumn("__v", F.coalesce(F.col(column).cast("string"), F.lit("missing"))).join(codes, "__v", "left")
+
+
 def label_encode(df: DataFrame, column: str, output: str, fit_df: DataFrame | None = None,
                  on_unseen: str = "error") -> DataFrame:
     """Category → 0-based code in sorted order; NULL → 'missing'; unseen → error (or NULL)."""
-    codes = label_codes(fit_df if fit_df is not None else df, column)
-    key = F.coalesce(F.col(column).cast("string"), F.lit("missing"))
-    out = df.withColumn("__v", key).join(codes, "__v", "left")
+    out = _with_codes(df, label_codes(fit_df if fit_df is not None else df, column), column)
     code = F.col("__code")
     if on_unseen == "error":
         code = F.when(code.isNotNull(), code).otherwise(

@@ -279,3 +279,14 @@ def test_drift_report_of_every_model_and_type(spark):
     keyed = D.data_drift(ref, log, ["x", "actual"], keys=["model_name"]).where("model_name = 'b'").drop("model_name")
     for k, a in zip(keyed.select(alone.columns).orderBy("feature").collect(), alone.collect(), strict=True):
         assert all(x == pytest.approx(y) if isinstance(y, float) else x == y for x, y in zip(k, a))
+
+
+def test_codes_of_few_categories_go_to_the_rows(spark):
+    """A join by value would put a category's rows into one task."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    df = own.createDataFrame([(i, "b" if i % 10 else None) for i in range(50)], "id long, v string")
+    for out in (FE.label_encode(df, "v", "code"), FE.onehot_sparse(df, "v", "code")):
+        plan = out._jdf.queryExecution().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin [__v" not in plan
+    assert {(r.v, r.code) for r in FE.label_encode(df, "v", "code").collect()} == {("b", 0), (None, 1)}
