@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 import uuid
@@ -34,6 +35,8 @@ from tessera.operators.ranks import prefix_sums
 from tessera.operators.search import Choice, Needs, Number, Space, best_trial, search
 
 SEED = 42
+#: Feature values that one task of a search's fits takes.
+TASK_VALUES = 1 << 20
 
 
 # ---------------------------------------------------------------- W6 splits and folds
@@ -207,7 +210,8 @@ def tune(train: DataFrame, estimator_for: Callable[[dict], object], space: Space
     parameters and their mean ``metric`` over the folds.
 
     ``train`` holds the training rows only.  Preprocessing is fitted within each fold, on
-    its training part, once for all trials.  ``parallelism`` trials are under way at a time,
+    its training part, once for all trials; as a fit's passes are many, their number of tasks
+    goes by the values, not by the partitions.  ``parallelism`` trials are under way at a time,
     proposed from those that are finished (``search``); the first ``startup`` are drawn at
     random.  A trial that fails counts as poor.  The caller refits the winner.
     """
@@ -218,11 +222,12 @@ def tune(train: DataFrame, estimator_for: Callable[[dict], object], space: Space
     if n_folds is None:
         n_folds = int(train.agg(F.max(fold_col)).first()[0]) + 1
     evaluator = evaluator_for(metric)
+    tasks = max(1, math.ceil(train.count() * len(prep_stages[-1].getInputCols()) / TASK_VALUES))
     ready = []
     try:
         for fold in range(n_folds):
             prep = Pipeline(stages=prep_stages).fit(train.where(F.col(fold_col) != fold))
-            ready.append(prep.transform(train).select("features", "label", fold_col).persist(StorageLevel.MEMORY_AND_DISK))
+            ready.append(prep.transform(train).select("features", "label", fold_col).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK))
 
         def one(job):
             params, fold = job
@@ -465,37 +470,40 @@ def sampled_shapley(model: PipelineModel, rows: DataFrame, background: DataFrame
                     id_col: str, n_permutations: int = 8, seed: int = SEED, output: str = "p1") -> DataFrame:
     """Sampled Shapley values (Štrumbelj & Kononenko) for any fitted pipeline.
 
-    For each row, each seeded permutation and each feature j, two hybrid points
-    differ only in feature j: features before j in the permutation (and j itself
-    in the "with" point) come from the row, the rest from the background means.
-    The (permutation, feature, with/without) plan is a literal array of
-    2·permutations·features items exploded per row; all hybrids are scored by one
-    ``transform``; the contribution of j is the mean probability difference.
+    A seeded permutation gives features + 1 hybrid points of a row: the first k features in
+    its order come from the row, the rest from the background means.  Points that follow each
+    other differ in one feature j, whose contribution is the mean difference of their
+    probabilities.  The work lies in the points, so rows are dealt out first, however few
+    they are; all points are scored by one ``transform``.
     """
     feats = list(features)
+    spark = rows.sparkSession
     means = background.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in feats])
     bg = {f: means.select(f).scalar() for f in feats}
     rng = random.Random(seed)
-    items = []
-    for pi in range(n_permutations):
+    places = []  # by permutation, each feature's place in it, from 1
+    for _ in range(n_permutations):
         order = feats[:]
         rng.shuffle(order)
-        pos = {f: i for i, f in enumerate(order)}
-        for f in feats:
-            for with_j in (True, False):
-                take = [g for g in feats if pos[g] < pos[f] or (with_j and g == f)]
-                items.append(F.struct(F.lit(pi).alias("perm"), F.lit(f).alias("feature"),
-                                      F.lit(with_j).alias("with_j"),
-                                      F.array(*[F.lit(g) for g in take]).cast("array<string>").alias("from_row")))
-    hybrid = rows.select(id_col, *feats, F.explode(F.array(*items)).alias("w")).select(
-        id_col, "w.perm", "w.feature", "w.with_j",
-        *[F.when(F.array_contains("w.from_row", f), F.col(f).cast("double")).otherwise(bg[f]).alias(f)
-          for f in feats])
+        pos = {f: i for i, f in enumerate(order, 1)}
+        places.append([pos[f] for f in feats])
+    plan = F.array(*[F.struct(F.lit(pi).alias("perm"), F.array(*map(F.lit, own)).alias("places")) for pi, own in enumerate(places)])
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    hybrid = rows.select(id_col, *feats).repartition(spread).select("*", F.explode(plan).alias("__w")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(len(feats)))).alias("__k")).select(
+        id_col, F.col("__w.perm").alias("__perm"), "__k",
+        *[F.when(F.col("__w.places")[i] <= F.col("__k"), F.col(f).cast("double")).otherwise(bg[f]).alias(f)
+          for i, f in enumerate(feats)])
     scored = model.transform(hybrid).withColumn(output, vector_to_array("probability")[1])
-    diff = scored.groupBy(id_col, "perm", "feature").agg(
-        (F.max(F.when(F.col("with_j"), F.col(output))) - F.max(F.when(~F.col("with_j"), F.col(output))))
-        .alias("d"))
-    return diff.groupBy(id_col, "feature").agg(F.avg("d").alias("contribution"))
+    # rows that share an id are one; the points of an id are then bounded by the plan
+    points = scored.groupBy(id_col, "__perm", "__k").agg(F.max(output).alias("p"))
+    held = points.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("__perm", "__k", "p"))), lambda s: s["p"]).alias("p"))
+    size = len(feats) + 1
+    ends = F.array(*[F.struct(F.lit(f).alias("feature"), F.array(*[F.lit(pi * size + own[i]) for pi, own in enumerate(places)]).alias("at"))
+                     for i, f in enumerate(feats)])
+    each = held.select(id_col, "p", F.inline(ends))
+    total = F.aggregate("at", F.lit(0.0), lambda s, k: s + F.get("p", k) - F.get("p", k - 1))
+    return each.select(id_col, "feature", (total / n_permutations).alias("contribution"))
 
 
 # ---------------------------------------------------------------- S15

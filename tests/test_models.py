@@ -298,3 +298,54 @@ def test_tune_finds_the_strong_model(spark):
     build = lambda p: GBTClassifier(maxIter=p["n_estimators"], maxDepth=p["max_depth"], seed=1)
     got = [ML.tune(folds, build, space, ML.feature_pipeline(NAMES), n_trials=5, startup=2, parallelism=2, n_folds=2, metric="accuracy") for _ in range(2)]
     assert got[0] == got[1] and got[0][1] > 0.6
+
+
+class _Linear:
+    """Probability 0.1 a + 0.2 b; keeps what it scored."""
+
+    def __init__(self):
+        self.seen = []
+
+    def transform(self, df):
+        from pyspark.ml.functions import array_to_vector
+
+        self.seen.append(df)
+        p = 0.1 * F.col("a") + 0.2 * F.col("b")
+        return df.withColumn("probability", array_to_vector(F.array(1 - p, p)))
+
+
+def test_sampled_shapley_deals_out_few_rows(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "9")
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(i, float(i), float(i % 3)) for i in range(12)]
+    df = own.createDataFrame([*rows, rows[0], (None, 2.0, 1.0)], "id long, a double, b double").coalesce(1)
+    model = _Linear()
+    got = {(r.id, r.feature): r.contribution for r in ML.sampled_shapley(model, df, df, ["a", "b"], "id", n_permutations=3).collect()}
+    means = df.agg(F.avg("a"), F.avg("b")).first()
+    for i, a, b in [*rows, (None, 2.0, 1.0)]:
+        assert got[i, "a"] == pytest.approx(0.1 * (a - means[0])) and got[i, "b"] == pytest.approx(0.2 * (b - means[1]))
+    assert len(got) == 26
+    points = model.seen[0]
+    assert points.rdd.getNumPartitions() >= 9 and points.count() == 14 * 3 * 3  # a point more than features for each permutation
+
+
+def test_tune_fits_in_tasks_by_values(spark):
+    seen = []
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.enabled", "false")
+
+    class Spy:
+        def __init__(self, estimator):
+            self.estimator = estimator
+
+        def fit(self, data):
+            seen.append(data.rdd.getNumPartitions())
+            return self.estimator.fit(data)
+
+    df = own.createDataFrame([(i, float(i % 7), float(i % 2)) for i in range(60)], "id long, x double, label double")
+    folds = ML.stratified_folds(df, "label", ["id"], 2).repartition(11).persist()
+    tr = ML.trainers(60, 1, 2)["logistic_regression"]
+    ML.tune(folds, lambda p: Spy(tr.build(p)), tr.space, ML.feature_pipeline(["x"]), n_trials=2, startup=2, parallelism=1)
+    folds.unpersist()
+    assert len(seen) == 4 and set(seen) == {1}
