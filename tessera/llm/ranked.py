@@ -17,6 +17,10 @@
    threshold.  Where all pairs are non-essential, the block is passed over.
 4. Every task gives its best `k` a query, and a window with a partial limit the best of all.
 
+Small splits are read together and small results stay in few tasks, whatever the numbers of
+splits and shuffle partitions: each task writes a file of blocks, or of results, and gives `k`
+documents a query.
+
 All sums are 64-bit integers, so the result is exact and the same for every partitioning.
 Queries come to the driver in blocks of `QUERY_BYTES`; what is broadcast has that bound.
 """
@@ -41,6 +45,8 @@ from tessera.llm.words import FOLDED, WORD, word_pieces
 TOP = 50
 #: Documents of an index block at most (numbers in 16 bits), and bytes of query terms in one broadcast.
 BLOCK_DOCS, QUERY_BYTES = 1024, 4 << 20
+#: Documents that a task of small splits takes, and rows that a task of the last selection takes, about.
+TASK_DOCS, TASK_ROWS = 4 * 1024, 1 << 18
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -265,9 +271,11 @@ def ranked_search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     item with the terms of all their texts; items without terms get no rows.  An empty table
     on either side gives no rows.
     """
-    parts = []
+    docs = docs.coalesce(max(math.ceil(docs.count() / TASK_DOCS), docs.sparkSession.sparkContext.defaultParallelism))
+    parts, rows = [], 0
     for queries in query_blocks(items, item_id, item_text, block_bytes):
         parts.append(_search_block(docs, queries, id_col, text_col, items.schema[item_id].dataType, k))
+        rows += parts[-1].rdd.getNumPartitions() * len(queries.ids) * k  # at most
     kind = items.schema[item_id].dataType.simpleString()
     if not parts:
         return docs.sparkSession.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
@@ -275,7 +283,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     for part in parts[1:]:
         out = out.unionByName(part)
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score").coalesce(max(math.ceil(rows / TASK_ROWS), 1))
 
 
 def _search_block(docs: DataFrame, queries: Queries, id_col: str, text_col: str, kind, k: int) -> DataFrame:

@@ -88,3 +88,24 @@ def test_long_text(spark):
     text = "rare " + "common " * 400_000 + "rare end"
     got = ranked.digest(spark.createDataFrame([(1, text), (2, "common rare"), (3, "x")], "doc_id long, text string"), spark.createDataFrame([(7, "rare end")], "item_id long, text string"))
     assert sorted(tuple(r) for r in got.collect()) == brute([(1, text), (2, "common rare"), (3, "x")], [(7, "rare end")], 50)
+
+
+def test_small_splits_and_results_stay_in_few_tasks(spark, monkeypatch):
+    """Whatever the numbers of splits and shuffle partitions; each task writes a file of index blocks, or of results."""
+    docs, items = some(4)
+    held, made = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), []
+    index = ranked.index_blocks
+    monkeypatch.setattr(ranked, "index_blocks", lambda *a: made.append(index(*a)) or made[-1])
+    monkeypatch.setattr(ranked, "TASK_DOCS", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        d = spark.createDataFrame(docs, "doc_id long, text string").repartition(64)
+        got = ranked.ranked_search(d, spark.createDataFrame(items, "item_id long, text string"))
+        assert [b.rdd.getNumPartitions() for b in made] == [max(math.ceil(len(docs) / 100), spark.sparkContext.defaultParallelism)]
+        assert got.rdd.getNumPartitions() == 1
+        monkeypatch.setattr(ranked, "TASK_ROWS", 1)
+        many = ranked.ranked_search(d, spark.createDataFrame(items, "item_id long, text string"))
+        assert many.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted((tuple(r) for r in many.collect()), key=repr) == brute(docs, items, 50)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
